@@ -49,7 +49,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             ids = [x.astype("<u4").tobytes() for x in tokenizer.encode(batch["text"].to_pylist())]
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(ids, type=pa.binary())], names=["doc_id", "ids"])
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")), run, "doc_id long, ids binary")
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")), run, "doc_id long, ids binary", text="text")
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -76,4 +76,4 @@ def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             texts = [hashlib.sha256(decoder.decode(x).encode()).hexdigest() for x in found]
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array([len(x) for x in found], type=pa.int64()), pa.array(ids, type=pa.string()), pa.array(texts, type=pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty("text").alias("text")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty("text").alias("text")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", text="text")

@@ -6,7 +6,9 @@ import os
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +37,25 @@ def text_or_empty(col: str) -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+#: Bytes of text that a mapping sees at once; one text may be longer.
+SLICE_BYTES = 1 << 20
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the values of column come to about ``most`` bytes: arrays made from them stay small."""
+    for batch in batches:
+        size = np.cumsum(pc.binary_length(batch.column(batch.schema.get_field_index(column))).fill_null(0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            before = size[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(size, before + most, side="right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, text: str | None = None) -> DataFrame:
+    """mapInArrow; with text, over batches cut by the bytes of that column."""
+    return df.mapInArrow(fn if text is None else lambda batches: fn(sliced(batches, text)), schema)
 
 
 def local_path(uri: str) -> str | None:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import map_arrow, text_or_empty
+from docketry.llm.common import map_arrow, sliced, text_or_empty
 
 BITS = 20
 MAX_TRAIN, EPOCHS = 6000, 3
@@ -56,6 +56,7 @@ def train(examples: list[tuple[int, np.ndarray, np.ndarray]], bits: int = BITS,
     for _ in range(epochs):
         for i in rng.permutation(len(examples)):
             label, at, value = examples[i]
+            value = value.astype(float)
             w = weight(z[at], n[at])
             wb = -zb / ((beta + np.sqrt(nb)) / alpha)
             p = 1 / (1 + np.exp(-np.clip(w @ value + wb, -35, 35)))
@@ -86,11 +87,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, features: Features, may_
             cols = [pa.array([x.tobytes() for x in np.split(a.astype(k), cut)], type=pa.binary()) for a, k in ((at, "<i4"), (value, "<f4"))]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], *cols], names=["doc_id", "label", "at", "value"])
 
-    rows = map_arrow(chosen, run, "doc_id long, label int, at binary, value binary").dropDuplicates(["doc_id"]).collect()
+    rows = map_arrow(chosen, run, "doc_id long, label int, at binary, value binary", text="text").dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: r["doc_id"])
     if len({r["label"] for r in rows}) < 2:
         return None
-    return train([(r["label"], np.frombuffer(r["at"], dtype="<i4"), np.frombuffer(r["value"], dtype="<f4").astype(float)) for r in rows])
+    return train([(r["label"], np.frombuffer(r["at"], dtype="<i4"), np.frombuffer(r["value"], dtype="<f4")) for r in rows])
 
 
 def score(docs: DataFrame, model: Model | None, features: Features, untrained: float) -> DataFrame:
@@ -102,17 +103,17 @@ def score(docs: DataFrame, model: Model | None, features: Features, untrained: f
             found = np.full(len(texts), untrained) if model is None else model.scores(texts, features) if texts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, type=pa.float64())], names=["doc_id", "score"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")), run, "doc_id long, score double")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")), run, "doc_id long, score double", text="text")
 
 
 def keep(docs: DataFrame, model: Model | None, features: Features, stays: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """The rows of docs whose scores stay, with all their columns; texts don't leave their partition."""
     if model is None:
         return docs
-    text = docs.columns.index("text")
+    text, name = docs.columns.index("text"), "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, name):
             texts = [t or "" for t in batch.column(text).to_pylist()]
             yield batch.filter(pa.array(stays(model.scores(texts, features)))) if texts else batch
 

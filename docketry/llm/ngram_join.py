@@ -105,7 +105,7 @@ def sketch(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
                 sigs.append(signature(grams).view("<i8") if len(grams) else None)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, type=pa.int64()), pa.array(keys, type=pa.binary()), pa.array(sigs, type=pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "key", "sig"])
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")), run, "doc_id long, n_shingles long, key binary, sig array<long>")
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")), run, "doc_id long, n_shingles long, key binary, sig array<long>", text="text")
 
 
 class Compare:
@@ -209,7 +209,7 @@ class Join:
                 sig = [signature(g).tobytes() for g in found]
                 yield pa.RecordBatch.from_arrays([batch["rep"], pa.array(sig, type=pa.binary()), pa.array([g.tobytes() for g in found], type=pa.binary())], names=["rep", "sig", "grams"])
 
-        payload = map_arrow(texts, sets, "rep long, sig binary, grams binary")
+        payload = map_arrow(texts, sets, "rep long, sig binary, grams binary", text="text")
         blocks = F.ceil(F.col("c") / self.block).cast("int")
         placed = members.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         placed = placed.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "copies")

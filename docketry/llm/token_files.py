@@ -131,7 +131,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, lengt
             arrays = [pa.array(cols[0], type=pa.int64()), pa.array([f"{folder}/{name}"] * len(made)), pa.array([bucket] * len(made), type=pa.int32()), pa.array(cols[1], type=pa.int64()), pa.array(cols[2], type=pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "file", "bucket", "at", "n_tokens"])
 
-    index = materialise(map_arrow(dealt, run, "doc_id long, file string, bucket int, at long, n_tokens long"), "token-index")
+    index = materialise(map_arrow(dealt, run, "doc_id long, file string, bucket int, at long, n_tokens long", text="text"), "token-index")
     totals = {r["bucket"]: r["n"] for r in index.groupBy("bucket").agg(F.sum("n_tokens").alias("n")).collect()}
     return index, totals
 

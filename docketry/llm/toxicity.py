@@ -70,7 +70,7 @@ def count_trigrams(docs: DataFrame) -> np.ndarray:
 
     out = np.zeros(27**3)
     # at most 27^3 sums
-    for r in map_arrow(docs.select(text_or_empty("text").alias("text")), run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+    for r in map_arrow(docs.select(text_or_empty("text").alias("text")), run, "gram int, n long", text="text").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         out[r["gram"]] = r["n"]
     return out.reshape(27, 27, 27)
 
