@@ -1,6 +1,7 @@
 """Every query of the engine by name, and the SQL that gives the same rows."""
 
-from __future__ import annotations
+from docketry.plans import catalog, search
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+QUERIES, ORACLE_SQL = catalog.QUERIES, catalog.ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES", "catalog", "search"]
