@@ -9,7 +9,8 @@ What remains is verified on the whole n-gram sets.
 Pairs are made inside the tasks and never become rows of a shuffle: a bucket sends out the
 link count of each node and one edge to its component. Buckets with the same members are
 compared once; in the others a pair belongs to the first band that it shares, so that each is
-verified once. Buckets of over BLOCK nodes are compared block by block, in as many tasks as
+verified once. Only the MinHash values of a bucket's nodes travel at first; the n-gram sets follow
+for the nodes that have a partner left. Buckets of over BLOCK nodes are compared block by block, in as many tasks as
 there are pairs of blocks. With the defaults a pair at the threshold shares no band with a
 probability of 5e-8.
 
@@ -183,6 +184,33 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return np.array([top(x) for x in range(n)])
 
 
+_PLACE = ("band", "key", "i", "j", "own", "rep", "copies")
+
+
+def _dealt(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.repartition(*_PLACE[:4]).sortWithinPartitions(*_PLACE[:6]).select(*_PLACE, *more)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], more: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Each bucket or pair of blocks with its nodes, each once, where there are at least two."""
+    at, held = None, []
+    for batch in batches:
+        for row in zip(*(batch[c].to_pylist() for c in (*_PLACE, *more)), strict=True):
+            if row[:4] != at:
+                if len(held) > 1:
+                    yield at, held
+                at, held = row[:4], []
+            if not held or held[-1][5] != row[5]:
+                held.append(row)
+    if len(held) > 1:
+        yield at, held
+
+
+def _sides(at: tuple, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    left = np.flatnonzero(own == at[2])
+    return (left, left) if at[2] == at[3] else (left, np.flatnonzero(own == at[3]))
+
+
 class Join:
     """One similarity join: nodes, then verified links or pairs, classes and memberships."""
 
@@ -190,7 +218,7 @@ class Join:
         self.docs, self.n, self.threshold, self.tolerance, self.block = docs, n, threshold, tolerance, block
         self.id_col, self.text_col = id_col, text_col
         self.sketches = materialise(sketch(docs, n, id_col, text_col), "sketches")
-        nodes = self.sketches.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+        nodes = self.sketches.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("n_shingles").alias("size"))
         self.nodes = materialise(nodes, "nodes")
 
     def _blocks(self) -> DataFrame:
@@ -198,54 +226,51 @@ class Join:
         members = self.nodes.where("rep is not null").select("rep", "copies", F.posexplode("sig").alias("band", "key"))
         buckets = members.groupBy("band", "key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
         unique = buckets.groupBy("c", "x", "lo", "hi").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key", "c")
-        members = materialise(members.join(unique, ["band", "key"]), "members")
-        reps = members.select("rep").distinct()
+        blocks = F.ceil(F.col("c") / self.block).cast("int")
+        placed = members.join(unique, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        placed = placed.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "copies")
+        likely = self._likely(_dealt(placed.join(self.nodes.select("rep", "sig", "size"), "rep"), "sig", "size"))
+        reps = likely.select("rep").distinct()
         texts = self.docs.select(F.col(self.id_col).cast("long").alias("rep"), text_or_empty(self.text_col).alias("text")).join(reps, "rep", "left_semi")
         n = self.n
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = shingles(batch["text"].to_pylist(), n)
-                sig = [signature(g).tobytes() for g in found]
-                yield pa.RecordBatch.from_arrays([batch["rep"], pa.array(sig, type=pa.binary()), pa.array([g.tobytes() for g in found], type=pa.binary())], names=["rep", "sig", "grams"])
+                sig = [signature(g).view("<i8") for g in found]
+                yield pa.RecordBatch.from_arrays([batch["rep"], pa.array(sig, type=pa.list_(pa.int64())), pa.array([g.tobytes() for g in found], type=pa.binary())], names=["rep", "sig", "grams"])
 
-        payload = map_arrow(texts, sets, "rep long, sig binary, grams binary", text="text")
-        blocks = F.ceil(F.col("c") / self.block).cast("int")
-        placed = members.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        placed = placed.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "copies")
-        keys = ["band", "key", "i", "j"]
-        return placed.join(payload, "rep").repartition(*keys).sortWithinPartitions(*keys, "own", "rep").select(*keys, "own", "rep", "copies", "sig", "grams")
+        payload = map_arrow(texts, sets, "rep long, sig array<long>, grams binary", text="text")
+        return _dealt(likely.join(payload, "rep"), "sig", "grams")
+
+    def _likely(self, dealt: DataFrame) -> DataFrame:
+        """Members of a bucket that have a partner left after the comparison of MinHash values: only their sets travel."""
+        threshold, tolerance = self.threshold, self.tolerance
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            compare = Compare(threshold, tolerance)
+            for at, rows in _groups(batches, ("sig", "size")):
+                own, sig = np.array([r[4] for r in rows]), np.array([r[7] for r in rows], dtype="<i8")
+                size = np.array([r[8] for r in rows])
+                some = np.unique(np.concatenate(compare.candidates(sig, size, *_sides(at, own), at[0])))
+                if len(some):
+                    cols = list(zip(*[rows[k][:7] for k in some.tolist()], strict=True))
+                    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=list(_PLACE))
+
+        return materialise(map_arrow(dealt, run, "band int, key long, i int, j int, own int, rep long, copies long"), "likely")
 
     def _compare(self, emit, schema: str) -> DataFrame:
         threshold, tolerance = self.threshold, self.tolerance
-        names = ("band", "key", "i", "j", "own", "rep", "copies", "sig", "grams")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             compare = Compare(threshold, tolerance)
-            at, held = None, []
-
-            def finish():
-                ids = np.array([r[5] for r in held])
-                once = np.unique(ids, return_index=True)[1]
-                rows = [held[k] for k in once.tolist()]
-                own = np.array([r[4] for r in rows])
-                sig = np.stack([np.frombuffer(r[7], dtype="<i8") for r in rows])
+            for at, rows in _groups(batches, ("sig", "grams")):
+                own, sig = np.array([r[4] for r in rows]), np.array([r[7] for r in rows], dtype="<i8")
                 grams = [np.frombuffer(r[8], dtype="<u8") for r in rows]
                 size = np.array([len(g) for g in grams])
-                left = np.flatnonzero(own == at[2])
-                right = left if at[2] == at[3] else np.flatnonzero(own == at[3])
-                a, b, shared = compare.verify(grams, *compare.candidates(sig, size, left, right, at[0]))
-                return emit(np.array([r[5] for r in rows]), np.array([r[6] for r in rows]), size, a, b, shared)
-
-            for batch in batches:
-                for row in zip(*(batch[c].to_pylist() for c in names), strict=True):
-                    if row[:4] != at:
-                        if len(held) > 1:
-                            yield finish()
-                        at, held = row[:4], []
-                    held.append(row)
-            if len(held) > 1:
-                yield finish()
+                a, b, shared = compare.verify(grams, *compare.candidates(sig, size, *_sides(at, own), at[0]))
+                yield emit(np.array([r[5] for r in rows]), np.array([r[6] for r in rows]), size, a, b, shared)
 
         return map_arrow(self._blocks(), run, schema)
 
