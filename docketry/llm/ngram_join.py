@@ -227,9 +227,10 @@ class Join:
         buckets = members.groupBy("band", "key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
         unique = buckets.groupBy("c", "x", "lo", "hi").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key", "c")
         blocks = F.ceil(F.col("c") / self.block).cast("int")
-        placed = members.join(unique, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        placed = placed.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "copies")
-        likely = self._likely(_dealt(placed.join(self.nodes.select("rep", "sig", "size"), "rep"), "sig", "size"))
+        members = members.join(unique, ["band", "key"]).join(self.nodes.select("rep", "sig", "size"), "rep")
+        placed = members.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        placed = placed.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "copies", "sig", "size")
+        likely = self._likely(_dealt(placed, "sig", "size"))
         reps = likely.select("rep").distinct()
         texts = self.docs.select(F.col(self.id_col).cast("long").alias("rep"), text_or_empty(self.text_col).alias("text")).join(reps, "rep", "left_semi")
         n = self.n
@@ -241,7 +242,10 @@ class Join:
                 yield pa.RecordBatch.from_arrays([batch["rep"], pa.array(sig, type=pa.list_(pa.int64())), pa.array([g.tobytes() for g in found], type=pa.binary())], names=["rep", "sig", "grams"])
 
         payload = map_arrow(texts, sets, "rep long, sig array<long>, grams binary", text="text")
-        return _dealt(likely.join(payload, "rep"), "sig", "grams")
+        # a node once a bucket, with the pairs of blocks that it is in: one for each block of the bucket at most
+        once = likely.groupBy("band", "key", "rep", "copies").agg(F.collect_list(F.struct("i", "j", "own")).alias("blocks"))
+        placed = once.join(payload, "rep").withColumn("block", F.explode("blocks")).select("band", "key", "block.i", "block.j", "block.own", "rep", "copies", "sig", "grams")
+        return _dealt(placed, "sig", "grams")
 
     def _likely(self, dealt: DataFrame) -> DataFrame:
         """Members of a bucket that have a partner left after the comparison of MinHash values: only their sets travel."""
