@@ -117,7 +117,7 @@ def dominant(df: DataFrame, key: str, value: str) -> DataFrame:
     out = counts.groupBy(key).agg(F.max_by(F.col(value), F.struct("n", F.lit(0))).alias("__any"), F.max("n").alias("top"), F.sum("n").alias("total"))
     best = counts.join(out, key).where(F.col("n") == F.col("top")).groupBy(key).agg(F.min(value).alias("dominant"), F.first("top").alias("top"), F.first("total").alias("total"))
     share = F.col("top") / F.col("total")
-    return best.select(key, "dominant", F.round(share, 6).alias("share"), F.when(share == 1, 1.0).when(share >= 0.5, 0.65).otherwise(0.35).alias("agreement"))
+    return best.select(key, "dominant", F.round(share, 6).alias("share"), F.when(share == 1, 1.0).when(share >= 0.67, 0.65).otherwise(0.35).alias("agreement"))
 
 
 def fill_forward(df: DataFrame, key: str, order: str, value: str, out: str) -> DataFrame:

@@ -151,3 +151,85 @@ def sections(chunked: DataFrame, doc: str, order: str, kind: str, body: str) ->
     grouped = rows.groupBy(doc, "island").agg(F.first(kind).alias(kind), F.min(order).alias("first"), F.max(order).alias("last"), F.array_sort(F.collect_list(F.struct(order, body))).alias("parts"))
     key = F.format_string("section-%04d-%s", F.col("island").cast("int"), text.slug(F.coalesce(F.col(kind), F.lit("none")), 48))
     return grouped.select(doc, key.alias("section_key"), kind, "first", "last", F.array_join(F.transform("parts", lambda p: p[body]), "\n").alias("section_text"))
+
+
+#: Tokens under which a chunk is small, and what a merge may exceed the most by.
+SMALL, SMALL_IN_SHORT, TOLERANCE = 80, 120, 40
+FOOTER = re.compile(r"(?i)^\W*(page\s+\d+(\s+of\s+\d+)?|\d+|end of document|place\s*:.{0,60}|date\s*:.{0,40})\W*$")
+
+
+def _joined(a: dict, b: dict, heading: str | None) -> dict:
+    body = f"{a['chunk_text']} {b['chunk_text']}"
+    return {"heading": heading, "chunk_text": body, "token_count": count_tokens(body)}
+
+
+def _fits(a: dict, b: dict, most: int) -> bool:
+    return a["token_count"] + b["token_count"] <= most + min(a["token_count"], b["token_count"], TOLERANCE)
+
+
+def tidy(chunked: list[dict], most: int = MOST, short: bool = False) -> list[dict]:
+    """Chunks of one document after the cleaning passes, in this order:
+
+    a chunk that is only its heading goes into the next one; trailing footers go into the chunk before them, or away
+    where they don't fit; small chunks go into the neighbour under the same heading, else the smaller one, if the sum
+    fits; short documents of more than six chunks do that once more with a higher bound."""
+    work: list[dict] = []
+    held: dict | None = None
+    for c in chunked:
+        c = {k: c[k] for k in ("heading", "chunk_text", "token_count")}
+        if held is not None:
+            if _fits(held, c, most):
+                c = _joined(held, c, c["heading"])
+            else:
+                work.append(held)
+        last = (c["heading"] or "").split(" > ")[-1]
+        held = c if last and squeeze(c["chunk_text"]) == squeeze(last) else None
+        if held is None:
+            work.append(c)
+    if held is not None:
+        work.append(held)
+    while len(work) > 1 and FOOTER.match(work[-1]["chunk_text"]):
+        tail = work.pop()
+        if _fits(work[-1], tail, most):
+            work[-1] = _joined(work[-1], tail, work[-1]["heading"])
+    for bound in (SMALL, SMALL_IN_SHORT) if short and len(work) > 6 else (SMALL,):
+        i = 0
+        while i < len(work):
+            near = [j for j in (i - 1, i + 1) if 0 <= j < len(work) and _fits(work[i], work[j], most)] if work[i]["token_count"] < bound else []
+            if near:
+                j = min(near, key=lambda j: (work[j]["heading"] != work[i]["heading"], work[j]["token_count"], j))
+                a, b = min(i, j), max(i, j)
+                work[a : b + 1] = [_joined(work[a], work[b], work[j]["heading"])]
+                i = a
+            else:
+                i += 1
+    return [{"chunk_index": i, **c} for i, c in enumerate(work)]
+
+
+def squeeze(value: str) -> str:
+    return " ".join(value.split()).lower()
+
+
+def tidy_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: int = TARGET, most: int = MOST, overlap: int = OVERLAP) -> DataFrame:
+    """Ordered chunks of each document after the cleaning passes; a document of at most 3 pages of 3000 characters is short."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [{"doc_id": d, **c} for d, t in zip(frame["doc_id"], frame["t"], strict=True) for c in tidy(chunk_text(t, target, most, overlap), most, len(t) <= 9000)]
+            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "heading", "chunk_text", "token_count"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    return rows.mapInPandas(run, "doc_id long, chunk_index int, heading string, chunk_text string, token_count int")
+
+
+def opening_lines(docs: DataFrame, id_col: str, text_col: str, most: int = 3) -> DataFrame:
+    """The first lines of each document that have 20 characters, aren't a heading in capitals of at most ten words and are new."""
+    from pyspark.sql import Window
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "raw"))
+    line = F.trim(F.regexp_replace("raw", r"[ \t]+", " "))
+    rows = rows.select("doc_id", "line_no", line.alias("line"))
+    shout = (F.upper("line") == F.col("line")) & (F.size(F.split("line", " ")) <= 10)
+    rows = rows.where((F.length("line") >= 20) & ~shout).groupBy("doc_id", F.lower("line").alias("l")).agg(F.min(F.struct("line_no", "line")).alias("b"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("b.line_no"))
+    return rows.select("doc_id", "b.line_no", "b.line", place.alias("place")).where(F.col("place") <= most).drop("place")

@@ -164,7 +164,7 @@ def org_structure(spark, d):
 
 @query("""with c as (select o_custkey, o_orderpriority as v, count(*) as n from orders group by all),
 t as (select o_custkey, max(n) as top, sum(n) as total from c group by o_custkey)
-select o_custkey, min(v) as dominant, round(top / total, 6) as share, case when top = total then 1.0 when top / total >= 0.5 then 0.65 else 0.35 end as agreement
+select o_custkey, min(v) as dominant, round(top / total, 6) as share, case when top = total then 1.0 when top / total >= 0.67 then 0.65 else 0.35 end as agreement
 from c join t using (o_custkey) where n = top group by o_custkey, top, total""")
 def dominant_record(spark, d):
     return relational.dominant(table(spark, d, "orders"), "o_custkey", "o_orderpriority")
