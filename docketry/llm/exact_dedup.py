@@ -152,6 +152,5 @@ def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lar
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = True) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     keep = owners(docs, id_col, text_col, largest).select(F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"))
-    rows = docs.withColumn("__sha", F.sha2(text_or_empty(text_col), 256))
-    on = (rows["__sha"] == keep["__sha"]) & rows[id_col].cast("long").eqNullSafe(keep["__keep"])
-    return rows.join(keep, on, "left_semi").drop("__sha")
+    on = (F.sha2(F.coalesce(docs[text_col], F.lit("")), 256) == keep["__sha"]) & docs[id_col].cast("long").eqNullSafe(keep["__keep"])
+    return docs.join(keep, on, "left_semi")
