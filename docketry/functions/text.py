@@ -28,7 +28,7 @@ def uppercase_ratio(c: Column) -> Column:
 
 def lookup_key(c: Column) -> Column:
     """Lower case, & as and, everything but letters a to z and digits as one blank."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "&", " and "), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.replace(F.lower(c), F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", " "))
 
 
 def slug(c: Column, most: int) -> Column:
@@ -45,7 +45,7 @@ def split_heading_path(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    return F.filter(F.split(lookup_key(c), " "), lambda t: t != "")
+    return F.filter(F.split(F.replace(F.lower(c), F.lit("&"), F.lit(" and ")), "[^a-z0-9]+"), lambda t: t != "")
 
 
 def trigrams(c: Column) -> Column:

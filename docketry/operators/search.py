@@ -12,9 +12,27 @@ from pyspark.sql import functions as F
 from docketry.functions import scoring, text
 
 
-def postings(units: DataFrame, id_col: str, weighted: dict[str, float]) -> DataFrame:
-    """term, unit, weight: for each term the sum over fields of the field's weight times the count there."""
-    parts = [units.select(F.col(id_col).alias("unit"), F.explode(text.tokens(F.col(c))).alias("term")).groupBy("term", "unit").agg((F.count("*") * F.lit(w)).alias("w")) for c, w in weighted.items()]
+#: Terms that a scan compares each word with; a batch of queries with more is joined instead.
+MAX_TERMS = 1000
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_distinct(text.tokens(F.col("query")))).alias("term"))
+
+
+def postings(units: DataFrame, id_col: str, weighted: dict[str, float], queries: DataFrame | None = None) -> DataFrame:
+    """term, unit, weight: for each term the sum over fields of the field's weight times the count there.
+
+    With queries, an index for them alone: other words go before they are shuffled, by a list of the terms where
+    that is short, else by a semi join."""
+    wanted = None if queries is None else query_terms(queries).select("term").distinct()
+    short = [] if wanted is None else [r["term"] for r in wanted.limit(MAX_TERMS + 1).collect()]
+    parts = []
+    for c, w in weighted.items():
+        words = units.select(F.col(id_col).alias("unit"), F.explode(text.tokens(F.col(c))).alias("term"))
+        if wanted is not None:
+            words = words.where(F.col("term").isin(short)) if len(short) <= MAX_TERMS else words.join(wanted, "term", "left_semi")
+        parts.append(words.groupBy("term", "unit").agg((F.count("*") * F.lit(w)).alias("w")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -23,8 +41,7 @@ def postings(units: DataFrame, id_col: str, weighted: dict[str, float]) -> DataF
 
 def lexical(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """query_id, unit, score, rank: sum over shared terms of ln(1 + weight); the k best a query, ties by unit."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(text.tokens(F.col("query")))).alias("term"))
-    hits = index.join(terms, "term").groupBy("query_id", "unit").agg(F.round(F.sum(F.log1p("weight")), 6).alias("score"))
+    hits = index.join(query_terms(queries), "term").groupBy("query_id", "unit").agg(F.round(F.sum(F.log1p("weight")), 6).alias("score"))
     return ranked(hits, k)
 
 

@@ -223,13 +223,12 @@ def tidy_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def opening_lines(docs: DataFrame, id_col: str, text_col: str, most: int = 3) -> DataFrame:
-    """The first lines of each document that have 20 characters, aren't a heading in capitals of at most ten words and are new."""
-    from pyspark.sql import Window
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "raw"))
-    line = F.trim(F.regexp_replace("raw", r"[ \t]+", " "))
-    rows = rows.select("doc_id", "line_no", line.alias("line"))
-    shout = (F.upper("line") == F.col("line")) & (F.size(F.split("line", " ")) <= 10)
-    rows = rows.where((F.length("line") >= 20) & ~shout).groupBy("doc_id", F.lower("line").alias("l")).agg(F.min(F.struct("line_no", "line")).alias("b"))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("b.line_no"))
-    return rows.select("doc_id", "b.line_no", "b.line", place.alias("place")).where(F.col("place") <= most).drop("place")
+    """The first lines of each document that have 20 characters, aren't a heading in capitals of at most ten words and are new.
+
+    A fold over the lines where the document lies: nothing is shuffled."""
+    lines = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x, i: F.struct(i.alias("line_no"), F.trim(F.regexp_replace(x, r"[ \t]+", " ")).alias("line")))
+    shout = lambda x: (F.upper(x) == x) & (F.size(F.split(x, " ")) <= 10)
+    fit = F.filter(lines, lambda x: (F.length(x["line"]) >= 20) & ~shout(x["line"]))
+    new = lambda held, x: (F.size(held) < most) & ~F.exists(held, lambda h: F.lower(h["line"]) == F.lower(x["line"]))
+    first = F.aggregate(fit, F.array().cast("array<struct<line_no:int,line:string>>"), lambda held, x: F.when(new(held, x), F.concat(held, F.array(x))).otherwise(held))
+    return docs.select(F.col(id_col).alias("doc_id"), F.inline(first))

@@ -19,7 +19,7 @@ def questions(spark, d):
 
 
 def index(spark, d):
-    return search.postings(table(spark, d, "documents"), "doc_id", {"text": 1.0})
+    return search.postings(table(spark, d, "documents"), "doc_id", {"text": 1.0}, questions(spark, d))
 
 
 def units(spark, d):
