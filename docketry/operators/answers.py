@@ -158,3 +158,19 @@ def ranked_sources(sources: DataFrame, url: str, title: str, allowed: list[str],
     if unique_per_domain:
         rows = rows.withColumn("__rn", F.row_number().over(Window.partitionBy("domain").orderBy(*order))).where("__rn = 1").drop("__rn")
     return rows
+
+
+#: Words for places in a list of candidates.
+ORDINALS = ("first", "second", "third", "fourth", "fifth")
+
+
+def choose(reply: Column, titles: Column) -> Column:
+    """The place (from 1) that a reply picks of a list of titles: an ordinal, a number in the list, or the one title that holds the reply."""
+    said = text.lookup_key(F.coalesce(reply, F.lit("")))
+    place = F.when(F.lit(False), 0)
+    for i, word in enumerate(ORDINALS, 1):
+        place = place.when(said.rlike(rf"\b{word}\b"), F.lit(i))
+    place = place.otherwise(F.regexp_extract(said, r"^(?:(?:option|number|no|candidate) )?(\d{1,2})$", 1).try_cast("int"))
+    held = F.filter(F.transform(titles, lambda t, i: F.struct((i + 1).alias("i"), text.lookup_key(t).alias("t"))), lambda x: (said != "") & x["t"].contains(said))
+    named = F.when(F.size(held) == 1, held[0]["i"])
+    return F.when((place >= 1) & (place <= F.size(titles)), place).otherwise(named)

@@ -44,3 +44,45 @@ def signatories(pages: DataFrame, doc: str, page: str, body: str) -> DataFrame:
     before = F.lag("line").over(Window.partitionBy(doc, page).orderBy("line_no"))
     hits = lines.withColumn("name", F.trim(before)).where(F.col("line").rlike("(?i)(whole time member|chairman|general manager|adjudicating officer|executive director)"))
     return hits.groupBy(doc).agg(F.max_by(F.struct(F.col("name"), F.trim("line").alias("designation")), F.struct(page, "line_no")).alias("s")).select(doc, "s.*")
+
+
+#: How far a stated number may be from the expected one.
+TOLERANCES = {"price": 0.01, "percentage": 0.05, "share_count": 0.5, "amount": 1.0}
+_DAY = r"\d{1,2}[./-]\d{1,2}[./-]\d{4}"
+_ANCHOR = rf"(?<!\d)(\d{{1,2}})[.)]?\s+({_DAY})\s*(?:to|-|–)\s*({_DAY})"
+
+
+def numbers(c: Column) -> Column:
+    """Every number of a text as a double; commas between digits don't count."""
+    found = F.regexp_extract_all(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?<=\d),(?=\d)", ""), F.lit(r"(-?\d+(?:\.\d+)?)"), F.lit(1))
+    return F.transform(found, lambda x: x.cast("double"))
+
+
+def states_value(c: Column, value: Column, kind: str = "amount") -> Column:
+    """Whether a text states the value within the tolerance of its kind; null values are never stated."""
+    return F.coalesce(F.exists(numbers(c), lambda x: F.abs(x - value) <= TOLERANCES[kind]), F.lit(False))
+
+
+def price_rows(pages: DataFrame, doc: str, page: str, body: str) -> DataFrame:
+    """One row for each numbered period of a price table: dates, first, last, high, low, the last percentage and what is said after it.
+
+    A row of the table runs from its number and dates to those of the next one; equal rows of a document are one."""
+    flat = F.regexp_replace(F.coalesce(F.col(body), F.lit("")), r"\s+", " ")
+    rows = pages.select(doc, page, F.explode(F.regexp_extract_all(flat, F.lit(rf"({_ANCHOR}.*?(?=(?<!\d)\d{{1,2}}[.)]?\s+{_DAY}\s*(?:to|-|–)|$))"), F.lit(1))).alias("row_text"))
+    part = lambda i: F.regexp_extract("row_text", _ANCHOR, i)
+    day = lambda i: text.any_date(F.regexp_replace(part(i), r"[./]", "-"), ("d-M-yyyy",))
+    rest = F.regexp_replace("row_text", "^.*?" + _ANCHOR, "")
+    shares = F.regexp_extract_all(rest, F.lit(r"(-?\d+(?:\.\d+)?)\s*%"), F.lit(1))
+    prices = numbers(F.regexp_replace(rest, r"-?\d+(?:\.\d+)?\s*%.*$", ""))
+    out = rows.withColumns({"period_no": part(1).cast("int"), "from_day": day(2), "to_day": day(3), "first_price": F.get(prices, F.lit(0)), "last_price": F.get(prices, F.lit(1)), "high": F.array_max(prices), "low": F.array_min(prices)})
+    out = out.withColumns({"percentage": F.try_element_at(shares, F.lit(-1)).cast("double"), "rationale": text.whitespace_or_null(F.regexp_replace(rest, r"^.*%", ""))})
+    return out.withColumn("row_sha256", row_sha(F.col("row_text"))).dropDuplicates([doc, "row_sha256"])
+
+
+def place_label(c: Column) -> Column:
+    return text.whitespace_or_null(F.regexp_extract(c, r"(?im)^\s*place\s*:\s*([A-Za-z .]{2,40})", 1))
+
+
+def date_label(c: Column) -> Column:
+    said = F.trim(F.regexp_extract(c, r"(?im)^\s*dated?\s*:\s*([A-Za-z0-9 ,./-]{6,24})", 1))
+    return text.any_date(F.regexp_replace(said, r"[.]", "-"), ("yyyy-MM-dd", "dd-MM-yyyy", "dd/MM/yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy"))

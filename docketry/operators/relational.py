@@ -139,3 +139,28 @@ def budgeted(df: DataFrame, key: str, order: str, cost: str, most_rows: int, mos
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(cost).cast("long").alias("c"))))
     folded = df.groupBy(key).agg(F.aggregate(rows, state, step).alias("s"))
     return folded.select(key, F.posexplode("s.picked").alias("place", order)).withColumn("place", F.col("place") + 1)
+
+
+def advance(rows: DataFrame, outcomes: DataFrame, key: str, status: str = "status", error: str = "error") -> DataFrame:
+    """Statuses after a batch: pending rows with an outcome are done, or failed where it has an error; the others stay as they are.
+
+    outcomes: key and error; a key that fails once has failed. Bad rows don't stop a batch."""
+    told = outcomes.groupBy(key).agg(F.min(error).alias("__error"), F.lit(1).alias("__seen"))
+    rows = rows.join(told, key, "left")
+    moved = F.col("__seen").isNotNull() & F.coalesce(F.col(status), F.lit("pending")).isin("pending", "processing")
+    after = F.when(moved, F.when(F.col("__error").isNull(), "done").otherwise("failed")).otherwise(F.coalesce(F.col(status), F.lit("pending")))
+    return rows.withColumns({status: after, error: F.when(moved, F.col("__error")).otherwise(F.col(error))}).drop("__error", "__seen")
+
+
+def patch(seed: DataFrame, patches: DataFrame, key: str, columns: list[str], reasons: list[str]) -> DataFrame:
+    """seed with the values of patches whose reason is allowed; null values of a patch change nothing, of several patches the last reason's counts."""
+    allowed = patches.where(F.col("reason").isin(reasons)).groupBy(key).agg(F.max_by(F.struct(*columns), F.struct("reason", *columns)).alias("__p"))
+    out = seed.join(allowed, key, "left")
+    return out.withColumns({c: F.coalesce(F.col(f"__p.{c}"), F.col(c)) for c in columns}).drop("__p")
+
+
+def best_target(links: DataFrame, targets: DataFrame, link: str, target: str, words: str) -> DataFrame:
+    """Each link's target with the most shared words, ties by target; links that share none have no row. A join on words, not of all pairs."""
+    spread = lambda df, i: df.select(i, F.explode(F.array_distinct(words)).alias("__w"))
+    score = spread(links, link).join(spread(targets, target), "__w").groupBy(link, target).agg(F.count("*").alias("score"))
+    return score.groupBy(link).agg(F.min_by(F.struct(target, "score"), F.struct(-F.col("score"), F.col(target))).alias("b")).select(link, f"b.{target}", "b.score")

@@ -267,3 +267,33 @@ def last_contacts(spark, d):
 @query("select source, doc_id, n_chars from (select *, row_number() over (partition by source order by n_chars desc, doc_id) as rn from documents) where rn <= 2")
 def best_per_document(spark, d):
     return relational.first_per(table(spark, d, "documents").select("source", "doc_id", "n_chars"), ["source"], [F.desc("n_chars"), F.col("doc_id")], 2).select("source", "doc_id", "n_chars")
+
+
+@query("""with o as (select user_id, min(case when event_type = 'error' then 'broken' end) as e from events group by user_id)
+select c_custkey, case when user_id is null then 'pending' when e is null then 'done' else 'failed' end as status, e as error from customer left join o on user_id = c_custkey""")
+def advance_status(spark, d):
+    outcomes = table(spark, d, "events").select(F.col("user_id").alias("c_custkey"), F.when(F.col("event_type") == "error", "broken").alias("error"))
+    rows = table(spark, d, "customer").select("c_custkey", F.lit("pending").alias("status"), F.lit(None).cast("string").alias("error"))
+    return relational.advance(rows, outcomes, "c_custkey")
+
+
+@query("select doc_id, coalesce(case when quality = 1 then 'good' end, lang) as lang, source from documents left join labels using (doc_id)")
+def seed_patch(spark, d):
+    patches = table(spark, d, "labels").select("doc_id", F.lit("good").alias("lang"), F.when(F.col("quality") == 1, "checked").otherwise("stale").alias("reason"))
+    return relational.patch(table(spark, d, "documents").select("doc_id", "lang", "source"), patches, "doc_id", ["lang"], ["checked"])
+
+
+@query("""with a as (select distinct p_partkey, unnest(string_split(p_name, ' ')) as w from part), b as (select distinct p_type, unnest(string_split(lower(p_type), ' ')) as w from part union select distinct p_name, unnest(string_split(p_name, ' ')) from part),
+s as (select p_partkey, p_type as target, count(*) as score from a join b using (w) group by all)
+select p_partkey, target, score from s qualify row_number() over (partition by p_partkey order by score desc, target) = 1""")
+def best_targets(spark, d):
+    part = table(spark, d, "part")
+    targets = part.select(F.col("p_type").alias("target"), F.split(F.lower("p_type"), " ").alias("words")).unionByName(part.select(F.col("p_name").alias("target"), F.split("p_name", " ").alias("words"))).distinct()
+    return relational.best_target(part.select("p_partkey", F.split("p_name", " ").alias("words")), targets, "p_partkey", "target", "words")
+
+
+@query("select event_id, abs(cast(regexp_extract(props, '(\\d+)', 1) as double) - value) <= 1.0 as stated from events")
+def stated_values(spark, d):
+    from docketry.operators import facts
+
+    return table(spark, d, "events").select("event_id", facts.states_value(F.col("props"), F.col("value")).alias("stated"))

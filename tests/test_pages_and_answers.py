@@ -2,7 +2,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from docketry.operators import answers, directory, segmentation
+from docketry.operators import answers, directory, facts, segmentation
 from docketry.sources import artifacts, html
 
 STAFF = """<h2>Head Office</h2><table><tr><th>Name</th><th>Designation</th><th>Email ID</th><th>Tel. No</th><th>Staff No</th></tr>
@@ -111,3 +111,21 @@ def test_tidy():
     assert segmentation.tidy([]) == [] and len(segmentation.tidy([chunk(None, "alone")])) == 1
     full = chunk("A", "word " * 1000)
     assert len(segmentation.tidy([full, chunk("B", "word " * 79)])) == 2
+
+
+def test_price_rows(spark):
+    body = "Period table\n1. 01-02-2020 to 28.02.2020 10.50 20 25.5 9 95.2% slow rise 2) 1/3/2020 - 31/3/2020 1,200 900 -25% fell on news"
+    df = spark.createDataFrame([(1, 1, body), (1, 2, body), (2, 1, None), (3, 1, "no table")], "doc int, page int, body string")
+    got = [tuple(r) for r in facts.price_rows(df, "doc", "page", "body").orderBy("period_no").select("doc", "period_no", "from_day", "to_day", "first_price", "last_price", "high", "low", "percentage", "rationale").collect()]
+    day = datetime.date
+    assert got == [(1, 1, day(2020, 2, 1), day(2020, 2, 28), 10.5, 20.0, 25.5, 9.0, 95.2, "slow rise"), (1, 2, day(2020, 3, 1), day(2020, 3, 31), 1200.0, 900.0, 1200.0, 900.0, -25.0, "fell on news")]
+    labels = spark.createDataFrame([("x\nPlace: New Delhi\nDate: March 3, 2021",), ("Dated: 03.04.2021",), (None,)], "t string")
+    assert [tuple(r) for r in labels.select(facts.place_label(F.col("t")), facts.date_label(F.col("t"))).collect()] == [("New Delhi", day(2021, 3, 3)), (None, day(2021, 4, 3)), (None, None)]
+    stated = spark.createDataFrame([("paid 1,000.5 in all", 1000.0), ("none", 1.0), (None, 1.0), ("5", None)], "t string, v double")
+    assert [r[0] for r in stated.select(facts.states_value(F.col("t"), F.col("v"))).collect()] == [True, False, False, False]
+
+
+def test_choose(spark):
+    replies = ["the second one", "3", "option 1", "9", "beta", "order", "", None]
+    df = spark.createDataFrame([(i, r, ["Order of Alpha", "Order of Beta", "Gamma"]) for i, r in enumerate(replies)], "i int, r string, t array<string>")
+    assert [r[0] for r in df.select(answers.choose(F.col("r"), F.col("t"))).collect()] == [2, 3, 1, None, 2, None, None, None]
