@@ -2,7 +2,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from docketry.operators import answers, directory, facts, segmentation
+from docketry.operators import answers, directory, entities, facts, segmentation
 from docketry.sources import artifacts, html
 
 STAFF = """<h2>Head Office</h2><table><tr><th>Name</th><th>Designation</th><th>Email ID</th><th>Tel. No</th><th>Staff No</th></tr>
@@ -129,3 +129,29 @@ def test_choose(spark):
     replies = ["the second one", "3", "option 1", "9", "beta", "order", "", None]
     df = spark.createDataFrame([(i, r, ["Order of Alpha", "Order of Beta", "Gamma"]) for i, r in enumerate(replies)], "i int, r string, t array<string>")
     assert [r[0] for r in df.select(answers.choose(F.col("r"), F.col("t"))).collect()] == [2, 3, 1, None, 2, None, None, None]
+
+
+def test_chunks_hold_every_word():
+    body = "INTRODUCTION\n" + " ".join(f"Word{i} is here now." for i in range(300)) + "\n1. Findings\n" + " ".join(f"Later{i} stands alone;" for i in range(100)) + "\n1.1 Reasons\n" + "x" * 30 + " " + "run " * 500
+    plain = segmentation.chunk_text(body, 80, 100, 0)
+    said = " ".join(c["chunk_text"] for c in plain).split()
+    lines = body.split("\n")
+    assert said == " ".join((lines[1], lines[3], lines[5])).split()
+    assert all(c["token_count"] <= 100 for c in plain) and [c["chunk_index"] for c in plain] == list(range(len(plain)))
+    assert {c["heading"] for c in plain} == {"INTRODUCTION", "1. Findings", "1. Findings > 1.1 Reasons"}
+    lapped = [c["chunk_text"] for c in segmentation.chunk_text(body, 80, 100, 10) if c["heading"] == "INTRODUCTION"]
+    assert len(lapped) > 3 and all(b.startswith(a[a.rfind("Word") :]) or a[a.rfind("Word") :] in b for a, b in zip(lapped, lapped[1:], strict=False))
+    assert segmentation.chunk_text("") == [] and segmentation.chunk_text("one") == [{"chunk_index": 0, "heading": None, "chunk_text": "one", "token_count": 1}]
+
+
+def test_fuzzy_against_all_pairs(spark):
+    names = ["Shri Anil Kumar", "Anil Kumar", "Anil Kumara", "Kumar", "Sunil Kumar", "Annil Kumar", "José Pérez", "Jose Perez", "A & B Traders", "A and B Traders", "Zed", "", None]
+    rows = spark.createDataFrame(list(enumerate(names)), "id int, name string")
+    got = {(r.query_id, r.value_id): (r.score, r.how) for r in entities.fuzzy_candidates(rows.toDF("query_id", "query"), rows.toDF("value_id", "value")).collect()}
+    want = {}
+    for i, a in enumerate(names):
+        for j, b in enumerate(names):
+            score, how = entities.fuzzy_score(a, b)
+            if score >= 0.5:
+                want[i, j] = (round(score, 6), how)
+    assert got == want and got[0, 1] == (1.0, "exact") and got[6, 7][1] == "exact" and got[8, 9][1] == "exact" and got[1, 3][1] == "partial" and got[1, 5][1] == "name_tokens"
