@@ -254,7 +254,7 @@ def amount_extraction(spark, d):
 
 @query("""select 'Section' as kind, 'Sample Act, 1992' as statute, cast(l_linenumber as varchar) as reference, l_orderkey from lineitem where l_orderkey % 50 = 0 group by all""")
 def legal_provisions(spark, d):
-    rows = table(spark, d, "lineitem").where("l_orderkey % 50 = 0").select("l_orderkey", F.concat(F.lit("Under section "), F.col("l_linenumber").cast("string"), F.lit(" of the Sample Act, 1992 it was held.")).alias("body"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("Under section "), F.col("l_linenumber").cast("string"), F.lit(" of the Sample Act, 1992 it was held.")).alias("body"))
     return facts.provisions(rows, "l_orderkey", "body").select("kind", "statute", "reference", "l_orderkey")
 
 
