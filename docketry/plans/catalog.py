@@ -203,7 +203,7 @@ regexp_replace(substr(regexp_replace(regexp_replace(lower(substr(text, 1, 200)),
 substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 200) as preview from documents""")
 def text_functions(spark, d):
     docs = table(spark, d, "documents")
-    return docs.select("doc_id", text.inline_whitespace(F.substring("text", 1, 400)).alias("cleaned"), F.round(text.uppercase_ratio(F.col("text")), 6).alias("caps"), text.slug(F.substring("text", 1, 200), 48).alias("slug"), text.preview(F.col("text")).alias("preview"))
+    return docs.select("doc_id", text.inline_whitespace(F.col("text")).alias("cleaned"), F.round(text.uppercase_ratio(F.col("text")), 6).alias("caps"), text.slug(F.col("text"), 48).alias("slug"), text.preview(F.col("text")).alias("preview"))
 
 
 @query("select doc_id, 'derived:' || sha256(source || chr(31) || lang || chr(31) || doc_id) as record_key from documents where doc_id % 5 <> 0 union all select doc_id, 'external:' || doc_id from documents where doc_id % 5 = 0")
