@@ -50,7 +50,7 @@ def tokens(c: Column) -> Column:
 
 def trigrams(c: Column) -> Column:
     """Distinct trigrams of the words, each with two blanks before and one after."""
-    padded = F.transform(tokens(c), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    padded = F.transform(F.array_distinct(tokens(c)), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
     grams = F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))
     return F.array_distinct(F.flatten(grams))
 

@@ -1,6 +1,6 @@
 """Lexical, trigram and vector search with rank fusion and rule-based reranking over a table of queries.
 
-Queries are a small table; candidates come from posting tables (word or trigram to unit), so the corpus is joined on
+Queries are a small table; candidates come from posting tables (word to unit and trigram to unit), so the corpus is joined on
 terms and never crossed with the queries. Texts and embeddings are not carried through the joins.
 """
 
@@ -14,6 +14,8 @@ from docketry.functions import scoring, text
 
 #: Terms that a scan compares each word with; a batch of queries with more is joined instead.
 MAX_TERMS = 1000
+#: The similarity from which a unit without any of the query's words is found.
+ADMITTED = 0.05
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -39,10 +41,44 @@ def postings(units: DataFrame, id_col: str, weighted: dict[str, float], queries:
     return out.groupBy("term", "unit").agg(F.sum("w").alias("weight"))
 
 
-def lexical(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """query_id, unit, score, rank: sum over shared terms of ln(1 + weight); the k best a query, ties by unit."""
-    hits = index.join(query_terms(queries), "term").groupBy("query_id", "unit").agg(F.round(F.sum(F.log1p("weight")), 6).alias("score"))
-    return ranked(hits, k)
+def query_grams(queries: DataFrame) -> DataFrame:
+    grams = queries.select("query_id", text.trigrams(F.col("query")).alias("grams"))
+    return grams.select("query_id", F.size("grams").alias("asked"), F.explode("grams").alias("gram"))
+
+
+def gram_postings(units: DataFrame, id_col: str, fields: list[str], queries: DataFrame | None = None) -> DataFrame:
+    """gram, unit, place, n: the distinct trigrams of each field of each row, and how many the field has.
+
+    With queries, an index for them alone: other trigrams go before they are dealt out, but count in n."""
+    rows = units.withColumn("__row", F.monotonically_increasing_id())
+    wanted = None if queries is None else query_grams(queries).select("gram").distinct()
+    short = [] if wanted is None else [r["gram"] for r in wanted.limit(MAX_TERMS + 1).collect()]
+    out = None
+    for c in fields:
+        grams = rows.select(F.col(id_col).alias("unit"), F.struct(F.lit(c).alias("field"), "__row").alias("place"), text.trigrams(F.col(c)).alias("grams"))
+        kept = F.col("grams") if wanted is None or len(short) > MAX_TERMS else F.array_intersect("grams", F.array(*[F.lit(g) for g in short]).cast("array<string>"))
+        found = grams.select("unit", "place", F.size("grams").alias("n"), F.explode(kept).alias("gram"))
+        if len(short) > MAX_TERMS:
+            found = found.join(wanted, "gram", "left_semi")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def similar(queries: DataFrame, grams: DataFrame) -> DataFrame:
+    """query_id, unit, similarity: shared trigrams among all trigrams of query and field, of the field most alike."""
+    shared = grams.join(F.broadcast(query_grams(queries)), "gram").groupBy("query_id", "unit", "place", "n", "asked").agg(F.count("*").alias("both"))
+    return shared.groupBy("query_id", "unit").agg(F.max(F.col("both") / (F.col("n") + F.col("asked") - F.col("both"))).alias("similarity"))
+
+
+def lexical(queries: DataFrame, index: DataFrame, grams: DataFrame, k: int | None, share: float = 0.2) -> DataFrame:
+    """query_id, unit, score, rank: the k best a query, ties by unit. Admitted by a shared term or a similarity of 0.05.
+
+    The score is the sum over shared terms of ln(1 + weight) and the similarity, weighted 1 - share and share: 0.2 for documents
+    and sections, 0.15 for chunks."""
+    words = index.join(query_terms(queries), "term").groupBy("query_id", "unit").agg(F.sum(F.log1p("weight")).alias("words"))
+    both = words.join(similar(queries, grams), ["query_id", "unit"], "full_outer").where((F.col("words").isNotNull()) | (F.col("similarity") >= ADMITTED))
+    part = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return ranked(both.select("query_id", "unit", F.round((1 - share) * part("words") + share * part("similarity"), 6).alias("score")), k)
 
 
 def ranked(hits: DataFrame, k: int | None = None) -> DataFrame:
@@ -101,6 +137,6 @@ def diversify(hits: DataFrame) -> DataFrame:
     return hits.withColumn("final", F.round(F.when(F.col("section") == "header", F.col("final") * (1 - penalty)).otherwise(F.col("final")), 9))
 
 
-def hybrid(queries: DataFrame, index: DataFrame, units: DataFrame, k: int) -> DataFrame:
+def hybrid(queries: DataFrame, index: DataFrame, grams: DataFrame, units: DataFrame, k: int) -> DataFrame:
     """Three times k from either side, fused and cut to k."""
-    return fuse(lexical(queries, index, 3 * k), vector(queries, units, 3 * k), k)
+    return fuse(lexical(queries, index, grams, 3 * k), vector(queries, units, 3 * k), k)

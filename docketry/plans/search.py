@@ -22,6 +22,10 @@ def index(spark, d):
     return search.postings(table(spark, d, "documents"), "doc_id", {"text": 1.0}, questions(spark, d))
 
 
+def grams(spark, d):
+    return search.gram_postings(table(spark, d, "documents"), "doc_id", ["text"], questions(spark, d))
+
+
 def units(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("unit"), "embedding")
 
@@ -37,7 +41,7 @@ vr as (select *, row_number() over (order by score desc, unit) as rank from vec)
 
 @query(_LEX + " select 1 as query_id, unit, score, rank from lr where rank <= 30")
 def lexical_search(spark, d):
-    return search.lexical(questions(spark, d), index(spark, d), 30)
+    return search.lexical(questions(spark, d), index(spark, d), grams(spark, d), 30)
 
 
 @query("with " + _VEC + " select 1 as query_id, unit, score, rank from vr where rank <= 25")
@@ -49,7 +53,7 @@ def vector_topk(spark, d):
 round(coalesce(1.0 / (60 + l.rank), 0) + coalesce(1.15 / (60 + v.rank), 0), 9) as score from (select * from lr where rank <= 30) l full join (select * from vr where rank <= 30) v on l.unit = v.unit),
 r as (select *, row_number() over (order by score desc, unit) as rank from b) select 1 as query_id, unit, lexical_rank, vector_rank, cast(score as double) as score, rank from r where rank <= 10""")
 def hybrid_search(spark, d):
-    return search.hybrid(questions(spark, d), index(spark, d), units(spark, d), 10)
+    return search.hybrid(questions(spark, d), index(spark, d), grams(spark, d), units(spark, d), 10)
 
 
 _TITLE = "regexp_replace(regexp_replace(replace(lower({c}), '&', ' and '), '[^a-z0-9]+', ' ', 'g'), '^ +| +$', '', 'g')"
