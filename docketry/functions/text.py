@@ -116,7 +116,8 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"\n+|(?<=[.;])\s+(?=[A-Z])"), F.trim), lambda s: s != "")
 
 
-AMOUNT = r"(?i)((?:rs\.?|inr|eur|usd|\$)\s*\d[\d,]*(?:\.\d+)?(?:\s*(?:crore|lakh|million))?)"
+#: A currency and a number, or a bare number of crore or lakh.
+AMOUNT = r"(?i)((?:\b(?:rs\.?|inr|eur|usd)|[\u20b9$])\s*\d[\d,]*(?:\.\d+)?(?:\s*(?:crore|lakh|million)|/-)?|\b\d[\d,]*(?:\.\d+)?\s*(?:crore|lakh)\b)"
 
 
 def amounts(c: Column) -> Column:

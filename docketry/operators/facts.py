@@ -7,7 +7,26 @@ from pyspark.sql import functions as F
 
 from docketry.functions import text
 
-PROVISION = r"(?i)\b((?:sections?|regulations?|rules?)\s+[0-9]+[0-9A-Za-z()]*(?:\s*(?:,|and)\s*[0-9]+[0-9A-Za-z()]*)*\s+of\s+(?:the\s+)?[A-Za-z ]+?(?:Act|Regulations|Rules)(?:,?\s+[0-9]{4})?)"
+#: Statutes known by other names.
+STATUTES = {
+    "SEBI Act, 1992": ("sebi act", "securities and exchange board of india act"),
+    "PFUTP Regulations": ("pfutp", "pfutp regulations", "fraudulent and unfair trade practices regulations"),
+    "PIT Regulations": ("pit", "pit regulations", "insider trading regulations"),
+    "ICDR Regulations": ("icdr", "icdr regulations", "issue of capital and disclosure requirements regulations"),
+    "SAST Regulations": ("sast", "sast regulations", "substantial acquisition of shares and takeovers regulations"),
+    "Investment Advisers Regulations": ("ia", "ia regulations", "investment advisers regulations"),
+    "Research Analysts Regulations": ("ra", "ra regulations", "research analysts regulations"),
+    "REIT Regulations": ("reit", "reit regulations", "real estate investment trusts regulations"),
+    "Settlement Regulations": ("settlement regulations", "sebi settlement regulations"),
+}
+_KIND = r"(?:sections?|regulations?|rules?|schedules?)"
+#: A number with letters, dots and brackets, a bracketed part, a Roman number or a letter; and what may stand between two.
+_REF = r"(?:[0-9][0-9A-Za-z().-]*|(?:\([0-9A-Za-z]{1,5}\))+|(?:[IVXLC]+|[A-Z])(?:\([0-9A-Za-z]{1,5}\))*(?![0-9A-Za-z]))"
+_WORD = r"(?:(?:and|or|to|read\s+with|r/w|as\s+well\s+as|along\s+with)\s++)?"
+_BETWEEN = rf"(?:\s*+(?:[,;/&]\s*+)+|\s++){_WORD}(?:{_KIND}\s++)?"
+_ALIAS = "|".join(a.replace(" ", r"\s+") for a in sorted((a for names in STATUTES.values() for a in names), key=len, reverse=True))
+_STATUTE = rf"(?:(?:{_ALIAS})\b(?!\s+(?:Act|Regulations|Rules)\b)|[A-Za-z][A-Za-z()&' -]{{0,160}}?\b(?:Act|Regulations|Rules)\b)(?:,?\s+[0-9]{{4}}\b)?"
+PROVISION = rf"(?i)\b({_KIND}\s+{_REF}(?:{_BETWEEN}{_REF}){{0,40}}\s+of\s+(?:the\s+)?{_STATUTE})"
 
 
 def row_sha(*cols: Column) -> Column:
@@ -25,13 +44,25 @@ def percentages(sentences: DataFrame, doc: str) -> DataFrame:
     return sentences.select(doc, "place", F.posexplode(found).alias("k", "v")).withColumn("v", F.col("v").cast("double"))
 
 
+def statute_name(c: Column) -> Column:
+    """The known name of a statute given by another, else the words with capitals."""
+    words = F.trim(F.regexp_replace(c, r"\s+", " "))
+    key = F.lower(F.regexp_replace(words, r",?\s+[0-9]{4}$", ""))
+    known = F.create_map(*[F.lit(x) for name, aliases in STATUTES.items() for a in aliases for x in (a, name)])
+    return F.coalesce(F.try_element_at(known, key), F.initcap(words))
+
+
 def provisions(units: DataFrame, doc: str, body: str) -> DataFrame:
-    """A row for each reference: kind, number, statute and a hash of the row; repeated ones once."""
+    """A row for each reference: kind, number, statute and a hash of the row; repeated ones once.
+
+    All references of a list have the kind of its first word."""
     hits = units.select(doc, F.explode(F.regexp_extract_all(F.col(body), F.lit(PROVISION), F.lit(1))).alias("hit"))
-    head = F.regexp_extract("hit", r"(?i)^(.*?)\s+of\s+", 1)
-    kind = F.initcap(F.regexp_extract("hit", r"(?i)^(section|regulation|rule)", 1))
-    statute = F.initcap(F.regexp_extract("hit", r"(?i)\s+of\s+(?:the\s+)?(.*)$", 1))
-    rows = hits.select(doc, kind.alias("kind"), statute.alias("statute"), F.explode(F.regexp_extract_all(head, F.lit(r"([0-9]+[0-9A-Za-z()]*)"), F.lit(1))).alias("reference"))
+    # No reference holds the word of: the first one ends the list.
+    sides = F.split("hit", r"(?i)\s+of\s+(?:the\s+)?", 2)
+    kind = F.initcap(F.regexp_extract("hit", "(?i)^(section|regulation|rule|schedule)", 1))
+    refs = F.regexp_replace(sides[0], rf"(?i)^{_KIND}\s+", "")
+    found = F.regexp_extract_all(refs, F.lit(rf"(?i)(?:^|\G(?<!^){_BETWEEN})({_REF})"), F.lit(1))
+    rows = hits.select(doc, kind.alias("kind"), statute_name(sides[1]).alias("statute"), F.explode(found).alias("reference"))
     return rows.withColumn("row_sha", row_sha(F.col(doc), F.col("kind"), F.col("reference"), F.col("statute"))).dropDuplicates(["row_sha"])
 
 
