@@ -49,6 +49,33 @@ def lock_factor(record_key: Column, locked: list) -> Column:
     return F.when(record_key.isin(locked), LOCKED).otherwise(UNLOCKED) if locked else F.lit(1.0)
 
 
+#: Phrases of settlement texts, of their headings, and of chunks that are only a header.
+BODY_TERMS = ("settlement amount", "settled on the following terms", "terms proposed by the applicant", "notice of demand", "remittance of the aforesaid amount", "remitted the said settlement amount", "credit of the same", "credit of said amount", "it is hereby ordered", "no enforcement action", "proceedings that may be initiated", "settlement proceedings")
+HEADING_TERMS = ("settlement order", "terms of settlement", "settlement proceedings", "settlement application")
+HEADING_BODY = ("it is hereby ordered", "settlement amount", "notice of demand", "remitted")
+HEADER_MARKERS = ("securities and exchange board of india", "settlement order", "in respect of", "in the matter of")
+
+
+def alignment_factor(title: Column, focused: Column, terms: Column) -> Column:
+    """How many of the names a settlement question has stand in the title; 1 for other questions and those with fewer than two."""
+    own = F.filter(F.split(F.lower(F.coalesce(title, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
+    asked = F.coalesce(F.array_distinct(terms), F.array().cast("array<string>"))
+    shared = F.size(F.array_intersect(asked, own))
+    factor = F.when(shared >= F.greatest(F.lit(2), F.size(asked)), 1.18).when(shared >= 2, 1.12).when(shared == 1, 1.06).otherwise(0.96)
+    return F.when(F.coalesce(focused, F.lit(False)) & (F.size(asked) >= 2) & (F.size(own) > 0), factor).otherwise(1.0)
+
+
+def content_factor(body: Column, headings: Column, section: Column, focused: Column, chunk: bool) -> Column:
+    """For settlement questions: body texts gain 1.10 (sections 1.04), chunks that are only a header lose (0.72)."""
+    low = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", " "))
+    said, above = low(body), low(headings)
+    words = F.when(said == "", 0).otherwise(F.size(F.split(said, " ")))
+    count = lambda c, terms: sum((c.contains(t).cast("int") for t in terms), F.lit(0))
+    full = (words >= 30) & ((count(said, BODY_TERMS) > 0) | (count(above, HEADING_TERMS) > 0) & (count(said, HEADING_BODY) > 0))
+    bare = F.lit(chunk) & section.isin("header", "operative_order") & (words > 0) & (words <= 28) & (count(said, HEADER_MARKERS) >= 2) & ~said.rlike("[.:] |;")
+    return F.when(~F.coalesce(focused, F.lit(False)), 1.0).when(F.coalesce(bare, F.lit(False)), 0.72).when(full, 1.10 if chunk else 1.04).otherwise(1.0)
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))

@@ -122,17 +122,17 @@ def rerank(hits: DataFrame, intent: Column, locked: list | None = None) -> DataF
     return hits.withColumn("final", F.round(F.greatest(final, F.lit(0.0)), 9))
 
 
-def suppress_headers(hits: DataFrame) -> DataFrame:
+def suppress_headers(hits: DataFrame, by: tuple[str, ...] = ("document",)) -> DataFrame:
     """A header up to a quarter above its document's best substantive hit is set just below it."""
-    w = Window.partitionBy("document")
+    w = Window.partitionBy(*by)
     best = F.max(F.when(F.col("section") != "header", F.col("final"))).over(w)
     ratio = F.col("final") / best
     return hits.withColumn("final", F.round(F.when((F.col("section") == "header") & (ratio > 1) & (ratio <= 1.25), best * 0.995).otherwise(F.col("final")), 9))
 
 
-def diversify(hits: DataFrame) -> DataFrame:
+def diversify(hits: DataFrame, by: tuple[str, ...] = ("document",)) -> DataFrame:
     """Each further header of a document loses 0.12 more of its score, 0.30 at most, in the order before the change."""
-    w = Window.partitionBy("document", F.col("section") == "header").orderBy(F.desc("final"), "unit")
+    w = Window.partitionBy(*by, F.col("section") == "header").orderBy(F.desc("final"), "unit")
     penalty = F.least(F.lit(0.30), 0.12 * (F.row_number().over(w) - 1))
     return hits.withColumn("final", F.round(F.when(F.col("section") == "header", F.col("final") * (1 - penalty)).otherwise(F.col("final")), 9))
 
@@ -140,3 +140,54 @@ def diversify(hits: DataFrame) -> DataFrame:
 def hybrid(queries: DataFrame, index: DataFrame, grams: DataFrame, units: DataFrame, k: int) -> DataFrame:
     """Three times k from either side, fused and cut to k."""
     return fuse(lexical(queries, index, grams, 3 * k), vector(queries, units, 3 * k), k)
+
+
+def _level(queries: DataFrame, units: DataFrame, weighted: dict[str, float], alike: list[str], k: int, share: float, parents: DataFrame | None) -> DataFrame:
+    """query_id, unit, score: three times k from either side, fused with the parent's score. parents: query_id, unit, parent; only these are searched."""
+    def side(found: DataFrame) -> DataFrame:
+        found = found.drop("rank")
+        return ranked(found if parents is None else found.join(parents.select("query_id", "unit"), ["query_id", "unit"], "left_semi"), 3 * k)
+
+    a = side(lexical(queries, postings(units, "unit", weighted, queries), gram_postings(units, "unit", alike, queries), None, share))
+    b = side(vector(queries, units.select("unit", "embedding"), None))
+    both = a.select("query_id", "unit", F.col("rank").alias("a")).join(b.select("query_id", "unit", F.col("rank").alias("b")), ["query_id", "unit"], "full_outer")
+    if parents is not None:
+        return both.join(parents, ["query_id", "unit"]).select("query_id", "unit", scoring.fused(F.col("a"), F.col("b"), F.col("parent")).alias("score"))
+    return both.select("query_id", "unit", scoring.fused(F.col("a"), F.col("b")).alias("score"))
+
+
+def levels(queries: DataFrame, documents: DataFrame, sections: DataFrame, chunks: DataFrame, k: tuple[int, int, int], locked: list | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The k best documents, sections and chunks of each query: query_id, unit, document, final, rank.
+
+    queries: query_id, query, q, intent, focused (on settlement), terms (names asked for). documents: unit, title, body, embedding, bucket,
+    record. sections and chunks: unit, document, section_key, section, title, heading, body, embedding. Sections are those of the documents
+    found; chunks those of the documents and section keys found, if any section is. A section carries its document's score, a chunk the
+    greater one of its section and document. Ties go by unit."""
+    asked = queries.select("query_id", "intent", "focused", "terms")
+    about = documents.select(F.col("unit").alias("document"), F.col("title").alias("name"), "bucket", "record")
+
+    def judged(hits: DataFrame, units: DataFrame, chunk: bool | None) -> DataFrame:
+        rows = hits.join(units, "unit").join(about, "document").join(F.broadcast(asked), "query_id")
+        factor = scoring.alignment_factor(F.col("name"), F.col("focused"), F.col("terms")) * F.when(F.coalesce("focused", F.lit(False)) & F.col("bucket").contains("settlement"), scoring.SETTLEMENT).otherwise(1.0)
+        factor = factor * scoring.lock_factor(F.col("record"), locked or [])
+        if chunk is not None:
+            factor = factor * scoring.section_prior(F.col("section")) * scoring.intent_factor(F.col("intent"), F.col("section"))
+            factor = factor * scoring.content_factor(F.col("body"), F.concat_ws(" ", "title", "heading"), F.col("section"), F.col("focused"), chunk)
+        return rows.withColumn("final", F.round(F.greatest(F.col("score") * factor, F.lit(0.0)), 9))
+
+    def best(rows: DataFrame, n: int) -> DataFrame:
+        found = ranked(rows.drop("score").withColumnRenamed("final", "score"), n)
+        return found.withColumnRenamed("score", "final").select("query_id", "unit", "document", *(["section_key"] if "section_key" in rows.columns else []), "final", "rank")
+
+    by = ("query_id", "document")
+    docs = best(judged(_level(queries, documents, {"title": 1.0, "body": 0.4}, ["title", "body"], k[0], 0.2, None), documents.select("unit", F.col("unit").alias("document")), None), k[0])
+    of_docs = docs.select("query_id", "document", F.col("final").alias("above"))
+    parents = sections.select("unit", "document").join(of_docs, "document").select("query_id", "unit", F.col("above").alias("parent"))
+    kept = ["unit", "document", "section_key", "section", "title", "heading", "body"]
+    secs = best(suppress_headers(judged(_level(queries, sections, {"title": 1.0, "heading": 0.4, "body": 0.2}, ["title", "body"], k[1], 0.2, parents), sections.select(*kept), False), by), k[1])
+    of_secs = secs.groupBy("query_id", "document", "section_key").agg(F.max("final").alias("own"))
+    keys = secs.groupBy("query_id").agg(F.collect_set("section_key").alias("keys"))
+    scope = chunks.select("unit", "document", "section_key").join(of_docs, "document").join(keys, "query_id", "left").where(F.col("keys").isNull() | F.array_contains("keys", F.col("section_key")))
+    parents = scope.join(of_secs, ["query_id", "document", "section_key"], "left").select("query_id", "unit", F.greatest("above", F.coalesce("own", F.lit(0.0))).alias("parent"))
+    found = judged(_level(queries, chunks, {"title": 1.0, "body": 0.4}, ["body"], k[2], 0.15, parents), chunks.select(*kept), True)
+    return docs, secs, best(diversify(suppress_headers(found, by), by), k[2])
