@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
+#: Stands between the texts of a batch; where it is, is known by place, so a text may hold it too.
 SEPARATOR = "\x1c"
 OTHER, LETTER, NUMBER, BLANK, SPACE, END = range(6)
 #: The White_Space characters of Unicode besides U+0020.
@@ -21,7 +22,7 @@ def classes() -> np.ndarray:
         of = {"L": LETTER, "N": NUMBER}
         lut = np.fromiter((of.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), dtype=np.uint8, count=0x110000)
         lut[[ord(c) for c in SPACES]] = SPACE
-        lut[0x20], lut[ord(SEPARATOR)] = BLANK, END
+        lut[0x20] = BLANK
         _classes.append(lut)
     return _classes[0]
 
@@ -38,10 +39,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def joined(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
+    """All texts as one, each followed by SEPARATOR; its code points, and their classes with END after each text."""
+    one = SEPARATOR.join(texts) + SEPARATOR
+    cp = np.frombuffer(one.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    kind = classes()[cp]
+    kind[np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1) - 1] = END
+    return one, cp, kind
+
+
 def hashes(cp: np.ndarray, begin: np.ndarray, size: np.ndarray, upto: int | None = None) -> np.ndarray:
-    """A hash of each run of code points, or of its first ``upto`` ones."""
+    """A hash of each run of code points, or of its first ``upto`` ones: the sum of the mixed hashes of (place, code point)."""
     place = np.arange(len(cp), dtype=np.int64) - np.repeat(begin, size)
-    value = (cp.astype(np.uint64) + np.uint64(1)) * powers(int(size.max(initial=1)))[place]
+    value = mix(cp * np.uint64(0xD6E8FEB86659FD93) + powers(int(size.max(initial=1)))[place])
     if upto is not None:
         value[place >= upto] = 0
     total = np.add.reduceat(value, begin) if len(begin) else np.zeros(0, dtype=np.uint64)
@@ -68,9 +78,7 @@ class Words:
 def words(texts: list[str], marks_apart: bool = True, squeeze: bool = False) -> Words:
     """Lower-cased words. marks_apart: runs of letters, of numbers and of marks are words, else what stands between white space.
     squeeze: a letter that repeats the one before it is left out."""
-    joined = SEPARATOR.join([t.lower().replace(SEPARATOR, " ") for t in texts]) + SEPARATOR
-    cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    kind = classes()[cp]
+    _, cp, kind = joined([t.lower().replace(SEPARATOR, " ") for t in texts])
     if squeeze:
         keep = np.ones(len(cp), dtype=bool)
         keep[1:] = (cp[1:] != cp[:-1]) | (kind[1:] != LETTER)
