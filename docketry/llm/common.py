@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,13 +13,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no folder, as in tests on one machine.
+#: Used only where the session names no folder and runs on one machine, as in tests.
 FALLBACK_DIR = "file:///tmp/checkpoints/docketry"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or FALLBACK_DIR where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir; where that is unset, FALLBACK_DIR on one machine, an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return (found or FALLBACK_DIR).rstrip("/")
 
 
@@ -26,11 +29,49 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of the tables that materialise() has written and discard() has not yet removed.
+_written: list[str] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: lineage ends there and no step runs twice."""
     path = fresh_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def mark() -> int:
+    """For discard(): the tables written from now on."""
+    return len(_written)
+
+
+def discard(spark: SparkSession, *tables: DataFrame, since: int | None = None, but: DataFrame | None = None) -> None:
+    """Removes these tables of materialise(), or all since a mark() but one, when what was made from them has been written."""
+    paths = [t.stored_at for t in tables] + ([] if since is None else _written[since:])
+    context = spark.sparkContext
+    for path in dict.fromkeys(paths):
+        if path in _written and path != getattr(but, "stored_at", None):
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+            _written.remove(path)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df hasn't got."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (f"__{name}{k or ''}" for k in range(len(taken) + 1)) if n not in taken)
+
+
+def lookup(rows: DataFrame, keys: list[str], table: DataFrame, deal_by: list[str], parts: int) -> DataFrame:
+    """rows with the columns of table, which has each key once. The rows of a key are dealt into parts, and what goes to a
+    key's task is one row a part: no key meets in one task, however many rows it has."""
+    part = unused(rows, "part")
+    rows = rows.withColumn(part, F.pmod(F.xxhash64(*deal_by), F.lit(parts)).cast("int"))
+    asked = rows.select(*keys, part).distinct().join(table, keys)
+    return rows.join(asked, [*keys, part]).drop(part)
 
 
 def text_or_empty(col: str) -> Column:

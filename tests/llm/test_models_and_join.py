@@ -1,3 +1,5 @@
+import itertools
+import time
 import zlib
 
 import numpy as np
@@ -29,10 +31,44 @@ def test_held_out_accuracy(spark, module, label, base, left, threshold, least):
     assert len(hits) > 60 and np.mean(hits) >= least
 
 
-def test_scores_learn_nothing_from_held_out_rows(spark):
+@pytest.mark.parametrize(("module", "label", "base", "left"), [(quality, "quality", 3, 1), (toxicity, "toxic", 4, 2)])
+def test_scores_learn_nothing_from_held_out_rows(spark, module, label, base, left):
     docs, labels = table(spark, "documents"), table(spark, "labels")
-    turned = labels.selectExpr("doc_id", "case when crc32(string(doc_id)) % 3 = 1 then 1 - quality else quality end as quality", "toxic")
-    assert sorted(map(tuple, quality.score(docs, labels).collect())) == sorted(map(tuple, quality.score(docs, turned).collect()))
+    turned = labels.selectExpr("doc_id", f"case when crc32(string(doc_id)) % {base} = {left} then 1 - {label} else {label} end as {label}")
+    assert sorted(map(tuple, module.score(docs, labels).collect())) == sorted(map(tuple, module.score(docs, turned).collect()))
+
+
+def plain_leader(examples, width, epochs, alpha=linear.ALPHA, beta=linear.BETA, l1=linear.L1, l2=linear.L2):
+    """Follow-the-regularised-leader by its definition: each weight minimises the sum of past gradients, proximal terms and penalties."""
+    order, g_sum, shifts, n = np.random.default_rng(0), np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
+
+    def weight(k):
+        pull = g_sum[k] - shifts[k]
+        bias = k == width
+        if not bias and abs(pull) <= l1:
+            return 0.0
+        return -(pull - (0 if bias else np.sign(pull) * l1)) / ((beta + np.sqrt(n[k])) / alpha + (0 if bias else l2))
+
+    for _ in range(epochs):
+        for i in order.permutation(len(examples)):
+            label, at, value = examples[i]
+            row = [*zip(at.tolist(), value.tolist(), strict=True), (width, 1.0)]
+            w = {k: weight(k) for k, _ in row}
+            p = 1 / (1 + np.exp(-sum(w[k] * x for k, x in row)))
+            for k, x in row:
+                g = (p - label) * x
+                shifts[k] += (np.sqrt(n[k] + g * g) - np.sqrt(n[k])) / alpha * w[k]
+                g_sum[k] += g
+                n[k] += g * g
+    return np.array([weight(k) for k in range(width + 1)])
+
+
+def test_training_against_a_plain_leader():
+    rng = np.random.default_rng(5)
+    examples = [(int(rng.integers(2)), np.unique(rng.integers(0, 32, 6)), None) for _ in range(60)]
+    examples = [(y, np.append(at, 40 + y), np.append(rng.uniform(0.5, 2, len(at)), 1.5)) for y, at, _ in examples]
+    model, want = linear.train(examples, bits=6, epochs=2), plain_leader(examples, 64, 2)
+    assert np.allclose(model.weights, want[:64], atol=1e-5) and abs(model.bias - want[64]) < 1e-9 and (want[:64] != 0).any()
 
 
 @pytest.mark.parametrize(("module", "keeps", "label", "default"), [(quality, quality.keep_good, "quality", 1.0), (toxicity, toxicity.drop_toxic, "toxic", 0.0)])
@@ -76,6 +112,8 @@ def brute_classes(rows, threshold=0.8):
 
     for i in range(len(rows)):
         for j in range(i):
+            if min(len(sets[i]), len(sets[j])) < threshold * max(len(sets[i]), len(sets[j])) - 1e-9:
+                continue
             both = len(sets[i] & sets[j])
             if both and both >= threshold * (len(sets[i]) + len(sets[j]) - both) - 1e-12:
                 links[i] += 1
@@ -95,8 +133,10 @@ def near(rng, words, changes):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("block", [256, 7])
-def test_ngram_join_against_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "most", "tile"), [(1024, 64, 256), (7, 64, 3), (7, 2, 5)])
+def test_ngram_join_against_brute_force(spark, monkeypatch, block, most, tile):
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "PAIRS", 4 * tile)
     rng = np.random.default_rng(3)
     rows, doc = [], 0
     for size in (1, 2, 5, 60):
@@ -105,7 +145,7 @@ def test_ngram_join_against_brute_force(spark, block):
             rows.append((doc := doc + 1, near(rng, base, int(rng.integers(0, 5)))))
     rows += [(doc + 1, "a b"), (doc + 2, "A  b"), (doc + 3, ""), (doc + 4, None), (doc + 5, "only four words here"), (doc + 6, " ".join(rows[-1][1].split())), (doc + 7, rows[0][1].upper())]
     docs = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id long, text string, rep int, key string").repartition(3)
-    join = ngram_join.Join(docs, block=block)
+    join = ngram_join.Join(docs, block=block, max_blocks=most)
     want = brute_classes(rows)
     assert sorted(map(tuple, join.classes().collect())) == want
     sets = dict(zip([i for i, _ in rows], brute([t for _, t in rows]), strict=True))
@@ -119,12 +159,41 @@ def test_ngram_join_against_brute_force(spark, block):
     assert ngram_join.Join(docs.limit(0)).classes().count() == 0
 
 
-def test_ngram_join_on_the_whole_small_table(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+def test_tiles_are_used_in_the_tasks():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**62, 40)
+    grams = [np.unique(np.append(rng.integers(0, 2**62, 3), base)).astype("<u8") for _ in range(60)]
+    sig = np.array([ngram_join.signature(g).view("<i8") for g in grams])
+    left, right = np.arange(35), np.arange(35, 60)
+    want = {(i, j) for i in range(60) for j in range(min(i, 35))}
+    compare = ngram_join.Compare(0.8, 1e-8)
+    before, ngram_join.TILE = ngram_join.TILE, 8
+    try:
+        got = [(max(x), min(x)) for sides in ((left, left), (left, right)) for a, b, _ in compare.pairs(sig, grams, *sides, 0) for x in zip(a.tolist(), b.tolist(), strict=True)]
+    finally:
+        ngram_join.TILE = before
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_ngram_join_finds_every_pair_of_the_whole_table(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     assert sorted(map(tuple, ngram_join.Join(docs).classes().collect())) == brute_classes(rows)
 
 
+def test_ngram_join_with_repeated_and_null_ids(spark):
+    one, two = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(5, one), (5, two), (5, two), (7, one + " end"), (None, two + " end"), (None, two + " end"), (3, two + " End"), (None, "quite alone here"), (None, None), (None, None), (2, ""), (2, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, `__rep` int")
+    got = sorted(map(tuple, ngram_join.Join(docs).classes().select("doc_id", "class_id", "n_links").collect()), key=str)
+    assert got == sorted([(5, 5, 1), (7, 5, 1), *[(5, 3, 4)] * 2, *[(None, 3, 4)] * 2, (3, 3, 4), (None, None, 0), *[(None, None, 0)] * 2, *[(2, 2, 0)] * 2], key=str)
+    kept = ngram_join.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    # of each class its first row, and the rows without words
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(5, one), (3, two + " End"), (None, "quite alone here"), (None, None), (None, None), (2, ""), (2, "")], key=str)
+
+
 def test_posterior_bound():
     for n, least in zip(range(16, 129, 16), ngram_join.least_matches(0.8, 1e-4), strict=True):
         grid = (np.arange(20000) + 0.5) / 20000
@@ -146,11 +215,64 @@ def test_components(spark, edges):
     assert got == {x: r for x, r in up.items() if x != r}
 
 
+def test_components_of_a_star_and_a_path(spark, monkeypatch):
+    monkeypatch.setattr(components, "PARTS", 5)
+    edges = [(500, i) for i in range(600) if i != 500] + [(i, i + 1) for i in range(1000, 1300)]
+    pairs = spark.createDataFrame(edges, "a long, b long").selectExpr("struct(a as x, -a as y) as u", "struct(b as x, -b as y) as v")
+    got = {r["node"]["x"]: r["root"]["x"] for r in components.components(pairs).collect()}
+    assert got == {i: 0 for i in range(1, 600)} | {i: 1000 for i in range(1001, 1301)}
+
+
+def decoder_of(text):
+    code = toxicity.letter_codes(" " + text).astype(int)
+    return toxicity.Decoder(np.bincount(code[:-2] * 729 + code[1:-1] * 27 + code[2:], minlength=27**3).reshape(27, 27, 27).astype(float))
+
+
+def test_viterbi_against_all_paths():
+    decoder = decoder_of("you loser and idiot , a stupid worthless moron , disgusting scum , pathetic clown " * 20)
+    for span in ("1d10t", "$tuuup!d", "l0.s3r", "m-0-r0n", "é1e1", "aaaa", "c|0wn+", "5cu(m"):
+        best = -np.inf
+        for path in itertools.product(*decoder.lattice(span)):
+            a = b = 0
+            score = 0.0
+            for letter, c, cost in path:
+                score += cost
+                if letter:
+                    score += decoder.log[a][b][c]
+                    a, b = b, c
+            score += decoder.log[a][b][0]
+            if score > best + 1e-9:
+                best, want = score, "".join(letter for letter, _, _ in path)
+        assert decoder.decode(span) == want
+
+
+def test_decoding_takes_time_in_proportion():
+    decoder = decoder_of("some words of a text " * 50)
+    million = 10**6
+    plain = ["".join(chr(97 + i % 26) for i in range(million)), "".join(chr(0x4E00 + i % 2000) for i in range(million)), "a" + "." * million, "a" + "!" * million]
+    began = time.process_time()
+    assert decoder.restore_all(plain) == plain
+    for text in ("".join(chr(0x4E00 + i % 2000) + "7" * (i % 50 == 0) for i in range(million)), "QkFTRTY0+/9" * 90_000, "ab1." * 250_000, "a " * (million // 2), "b" * million, "1.1." * 200_000 + "x"):
+        assert decoder.restore(text)
+    assert time.process_time() - began < 60
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab1!$. -éB\n\x1c中", max_size=40), max_size=6))
+def test_batches_are_decoded_like_single_texts(texts):
+    decoder = decoder_of("abba baab " * 20)
+    assert decoder.restore_all(texts) == [decoder.restore(t) for t in texts]
+
+
+def test_words_without_blanks_beside_are_found_like_by_patterns():
+    decoder = decoder_of("you loser and idiot , a stupid worthless moron " * 20)
+    for text in ("1d10t", "x 1d10t y", "a\ti d i o t\nb", "stuuupid 1d10t", "no marks here.", "i d", "end. a b c d", "e.g. m0r0n, and", "(w0rthless)"):
+        assert decoder.restore(text).split() == decoder.piece(text).split()
+
+
 def test_deobfuscation():
     text = "you loser and idiot , a stupid worthless moron , disgusting scum , pathetic clown , trash " * 50
-    code = toxicity.letter_codes(" " + text).astype(int)
-    counts = np.bincount(code[:-2] * 729 + code[1:-1] * 27 + code[2:], minlength=27**3).reshape(27, 27, 27).astype(float)
-    decoder = toxicity.Decoder(counts)
+    decoder = decoder_of(text)
     for seen, meant in (("1d10t", "idiot"), ("i d i o t", "idiot"), ("l0s3r", "loser"), ("stuuuupid", "stupid"), ("p@thetic!", "pathetic"), ("d.i.s.g.u.s.t.i.n.g", "disgusting"), ("m-o-r-o-n", "moron"), ("$cum", "scum"), ("tr4$h", "trash")):
         assert meant in decoder.restore(f"a {seen} b").split(), seen
     assert decoder.restore("plain words, as they are.") == "plain words, as they are."
