@@ -43,7 +43,7 @@ BANDS, ROWS = 32, 4
 HASHES, STEP = BANDS * ROWS, 16
 TOLERANCE = 1e-8
 #: Nodes of a bucket that are compared in one task, or twice as many for two blocks, until there are MAX_BLOCKS blocks.
-BLOCK, MAX_BLOCKS = 1024, 64
+BLOCK, MAX_BLOCKS = 256, 64
 #: Nodes on each side whose pairs are made at once, and pairs that are verified at once.
 TILE, PAIRS = 256, 1 << 20
 #: Stands for a null id: it comes after every other one.
@@ -271,7 +271,8 @@ class Join:
         self.likely = likely = self._likely(_dealt(placed, "sig", "size"))
         names = likely.select("rep", "tie").distinct()
         texts = self.docs.select(F.col(self.id_col).alias("id"), text_or_empty(self.text_col).alias("text"))
-        texts = named(texts, "id", "text").select("rep", "tie", "text").join(names, ["rep", "tie"], "left_semi")
+        # shuffled at every size: a plan that changes to it only on large tables can't be measured on small ones
+        texts = named(texts, "id", "text").select("rep", "tie", "text").join(names.hint("shuffle_hash"), ["rep", "tie"], "left_semi")
         n = self.n
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
