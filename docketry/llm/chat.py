@@ -1,11 +1,13 @@
 """Chat formatting by cumulative-snapshot collapse. DataFrame functions only.
 
 A log that writes a conversation again after each turn holds every prefix of it. Each turn
-has the rolling hash of its conversation up to there: two sums of hashes of (place, role,
-text), so that long conversations are summed by chunks of turns and no task has to hold one.
-Anti-joins drop the conversations whose whole hash is a shorter prefix of another, and
+has the rolling hash of its conversation up to there: two running sums of hashes of (place, role,
+text). Anti-joins drop the conversations whose whole hash is a shorter prefix of another, and
 the copies of one; the rest are rendered.
 
+Turns are dealt by conversation once, and the hashes and the rendering read that same exchange; a rendered conversation is
+one value, so one task has to hold it anyway, while sorting and running sums spill. Only places and hashes travel further.
+
 Defined results: null roles and texts are empty; turns are ordered by (turn, role, text), null
 turns first, and rows that repeat a whole turn count once; of equal conversations the one with
 the smallest conv_id stays; rows without a conv_id are dropped; an empty table gives no rows;
@@ -17,37 +19,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turns in a chunk that is numbered and summed by itself.
-CHUNK = 512
 _SUMS = ("a0", "a1", "b0", "b1")
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
-    """conv_id, place (from 1), role, text and the prefix hash up to there."""
-    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).where("conv_id is not null").distinct()
-    rows = rows.withColumn("chunk", F.floor(F.coalesce("turn", F.lit(-1)) / CHUNK))
-    inner = Window.partitionBy("conv_id", "chunk").orderBy(F.asc_nulls_first("turn"), "role", "text")
-    earlier = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("k", F.row_number().over(inner).cast("long"))
-    base = rows.groupBy("conv_id", "chunk").agg(F.count("*").alias("n")).withColumn("k0", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
-    rows = rows.join(base, ["conv_id", "chunk"]).withColumn("place", F.col("k") + F.col("k0"))
+    """conv_id, place (from 1), last (whether the conversation ends there), role, text and the prefix hash up to there."""
+    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).where("conv_id is not null").repartition("conv_id")
+    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
+    before = F.lag(F.struct("turn", "role", "text")).over(order)
+    rows = rows.withColumn("again", before.eqNullSafe(F.struct("turn", "role", "text"))).where(~F.col("again"))
+    rows = rows.withColumn("place", F.row_number().over(order).cast("long"))
     one = F.xxhash64("place", "role", "text")
     two = F.xxhash64(F.lit("second"), "text", "role", "place")
-    half = {"a0": one.bitwiseAND(F.lit(0xFFFFFFFF)), "a1": F.shiftrightunsigned(one, 32), "b0": two.bitwiseAND(F.lit(0xFFFFFFFF)), "b1": F.shiftrightunsigned(two, 32)}
-    rows = rows.withColumns(half)
-    sums = rows.groupBy("conv_id", "chunk").agg(*[F.sum(c).alias(c) for c in _SUMS]).select("conv_id", "chunk", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}0") for c in _SUMS])
-    running = inner.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(sums, ["conv_id", "chunk"])
-    return rows.select("conv_id", "place", "role", "text", *[(F.sum(c).over(running) + F.col(f"{c}0")).alias(c) for c in _SUMS])
+    rows = rows.withColumns({"a0": one.bitwiseAND(F.lit(0xFFFFFFFF)), "a1": F.shiftrightunsigned(one, 32), "b0": two.bitwiseAND(F.lit(0xFFFFFFFF)), "b1": F.shiftrightunsigned(two, 32)})
+    running = order.rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("conv_id", "place", F.lead("place").over(order).isNull().alias("last"), "role", "text", *[F.sum(c).over(running).alias(c) for c in _SUMS])
 
 
 def maximal(turns: DataFrame) -> DataFrame:
     """conv_id and n_turns of the conversations that no longer one begins with."""
-    steps = prefixes(turns).select("conv_id", "place", *_SUMS)
-    whole = steps.groupBy("conv_id").agg(F.max(F.struct("place", *_SUMS)).alias("w")).select("conv_id", "w.*")
-    unique = whole.groupBy("place", *_SUMS).agg(F.min("conv_id").alias("conv_id"))
-    longest = whole.select("conv_id", F.col("place").alias("n_turns"))
-    shorter = steps.join(longest, "conv_id").where("place < n_turns").select("place", *_SUMS).distinct()
+    steps = prefixes(turns)
+    unique = steps.where("last").groupBy("place", *_SUMS).agg(F.min("conv_id").alias("conv_id"))
+    shorter = steps.where(~F.col("last")).select("place", *_SUMS).distinct()
     return unique.join(shorter, ["place", *_SUMS], "left_anti").select("conv_id", F.col("place").alias("n_turns"))
 
 
@@ -57,9 +50,10 @@ def rendered(role: Column, text: Column) -> Column:
 
 def render(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns and chat, the rendered text, of each maximal conversation."""
-    parts = prefixes(turns).select("conv_id", "place", rendered(F.col("role"), F.col("text")).alias("part"))
-    kept = parts.join(maximal(turns), "conv_id").groupBy("conv_id", "n_turns").agg(F.array_sort(F.collect_list(F.struct("place", "part"))).alias("p"))
-    return kept.select("conv_id", "n_turns", F.array_join(F.transform("p", lambda x: x["part"]), "").alias("chat"))
+    kept = maximal(turns)
+    parts = prefixes(turns).select("conv_id", "place", rendered(F.col("role"), F.col("text")).alias("part")).join(kept, "conv_id")
+    whole = parts.groupBy("conv_id", "n_turns").agg(F.array_sort(F.collect_list(F.struct("place", "part"))).alias("p"))
+    return whole.select("conv_id", "n_turns", F.array_join(F.transform("p", lambda x: x["part"]), "").alias("chat"))
 
 
 ORACLE_SQL = """
