@@ -1,13 +1,15 @@
 """Exact duplicates by Patricia-trie owners.
 
-Texts are dealt by length and content hash; a compressed radix trie holds the full byte
+Texts are dealt by length class and bits of a content hash; a compressed radix trie holds the full byte
 strings of each deal, and its terminal nodes store the owner (the largest or smallest id)
-and the count. Each input partition first builds its own tries, so a text travels once a
-partition however many copies it has; a full trie is handed on subtree by subtree.
+and the count. Each input partition first builds tries of its own, so a text travels once a
+partition however many copies it has; where they hold over TRIE_BYTES, the largest subtree is handed on and cut off. After the
+shuffle each deal comes in the order of its texts: a subtree is whole as soon as a text beyond it comes, is handed on with its
+owners and cut off, and what is left in memory is one path.
 
 Defined results: a null text equals an empty one; among equal texts the row with the largest
-(or smallest) id stays, and null ids stay only where no copy has one; rows that repeat both id
-and text count each in group_size, and share the id that stays; an empty table gives no rows;
+(or smallest) id stays, and null ids stay only where no copy has one (ids are above -2^63); rows that repeat both id
+and text count each in group_size, and share the id that stays, but ``drop_copies`` keeps one of them; an empty table gives no rows;
 other columns are ignored by ``owners`` and ``resolve`` and kept by ``drop_copies``.
 """
 
@@ -17,14 +19,17 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import map_arrow, text_or_empty
+from docketry.llm.common import map_arrow, text_or_empty, unused
 
-#: Bytes of text that a partition's tries hold before their subtrees are handed on.
+#: Bytes of text that a partition's tries hold before a subtree is handed on.
 TRIE_BYTES = 48 << 20
-_PARTIAL = "n_bytes long, hash long, text binary, owner long, n long"
+#: Bits of the content hash that deal the texts of a length class.
+BITS = 12
+_PARTIAL = "size_class int, bits int, text binary, owner long, n long"
+_NO_ID = -(2**63)
 
 
 class PatriciaTrie:
@@ -63,13 +68,73 @@ class PatriciaTrie:
         return False
 
     def items(self) -> Iterator[tuple[bytes, int | None, int]]:
-        stack = [(self.root, b"")]
-        while stack:
-            node, prefix = stack.pop()
+        yield from below(self.root, b"")
+
+    def hand_on(self) -> Iterator[tuple[bytes, int | None, int]]:
+        """Cuts off the largest subtree under the first fork and gives what it holds."""
+        node, prefix = self.root, b""
+        while node[2] is None and len(node[1]) == 1:
+            (node,) = node[1].values()
             prefix += node[0]
+        if not node[1]:
+            yield from self.items()
+            self.root = [b"", {}, None]
+            return
+        first = max(node[1], key=lambda k: held(node[1][k]))
+        yield from below(node[1].pop(first), prefix)
+        # a node without an end or a fork is no node of its own
+        if node[2] is None and len(node[1]) == 1 and node is not self.root:
+            (child,) = node[1].values()
+            node[:] = [node[0] + child[0], child[1], child[2]]
+
+    def pass_by(self, key: bytes) -> Iterator[tuple[bytes, int | None, int]]:
+        """Cuts off every subtree that comes before key in byte order, and gives what it holds; the path to key stays."""
+        node, at, prefix = self.root, 0, b""
+        while at < len(key):
             if node[2] is not None:
                 yield prefix, *node[2]
-            stack += [(c, prefix) for c in node[1].values()]
+                node[2] = None
+            for first in [k for k in node[1] if k < key[at]]:
+                yield from below(node[1].pop(first), prefix)
+            child = node[1].get(key[at])
+            if child is None:
+                return
+            if not key.startswith(child[0], at):
+                same = shared(child[0], key, at)
+                if at + same < len(key) and child[0][same] < key[at + same]:
+                    yield from below(node[1].pop(key[at]), prefix)
+                return
+            node, at, prefix = child, at + len(child[0]), prefix + child[0]
+
+    def forks(self) -> int:
+        """Nodes with at least two ways on."""
+        stack, out = [self.root], 0
+        while stack:
+            node = stack.pop()
+            out += len(node[1]) > 1
+            stack += node[1].values()
+        return out
+
+
+def below(node: list, prefix: bytes) -> Iterator[tuple[bytes, int | None, int]]:
+    """The keys under a node whose parent ends at prefix, in byte order."""
+    stack = [(node, prefix)]
+    while stack:
+        node, prefix = stack.pop()
+        prefix += node[0]
+        if node[2] is not None:
+            yield prefix, *node[2]
+        stack += [(node[1][k], prefix) for k in sorted(node[1], reverse=True)]
+
+
+def held(node: list) -> int:
+    """Bytes of the labels under a node."""
+    stack, out = [node], 0
+    while stack:
+        node = stack.pop()
+        out += len(node[0]) + 200
+        stack += node[1].values()
+    return out
 
 
 def shared(label: bytes, key: bytes, at: int) -> int:
@@ -84,62 +149,80 @@ def shared(label: bytes, key: bytes, at: int) -> int:
     return low
 
 
-def content_hash(data: bytes) -> int:
-    return int.from_bytes(hashlib.sha256(data).digest()[:8], "little", signed=True)
-
-
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     cols = zip(*rows, strict=True) if rows else [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
-def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = True, trie_bytes: int = TRIE_BYTES) -> DataFrame:
+def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = True, trie_bytes: int = TRIE_BYTES, bits: int = BITS) -> DataFrame:
     """text_sha256, keep_id and group_size for each distinct text."""
-    partial = pa.schema([("n_bytes", pa.int64()), ("hash", pa.int64()), ("text", pa.binary()), ("owner", pa.int64()), ("n", pa.int64())])
+    partial = pa.schema([("size_class", pa.int32()), ("bits", pa.int32()), ("text", pa.binary()), ("owner", pa.int64()), ("n", pa.int64())])
     final = pa.schema([("text_sha256", pa.string()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
 
-    def handed(tries: dict) -> Iterator[pa.RecordBatch]:
+    def handed(deal: tuple, items: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
-        for (n_bytes, h), trie in tries.items():
-            for text, owner, n in trie.items():
-                rows.append((n_bytes, h, text, owner, n))
-                size += n_bytes
-                if size > 4 << 20:
-                    yield _batch(rows, partial)
-                    rows, size = [], 0
+        for text, owner, n in items:
+            rows.append((*deal, text, owner, n))
+            size += len(text)
+            if size > 4 << 20:
+                yield _batch(rows, partial)
+                rows, size = [], 0
         if rows:
             yield _batch(rows, partial)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[tuple, PatriciaTrie] = {}
-        held = 0
+        sizes: dict[tuple, int] = {}
+        total = 0
         for batch in batches:
-            for doc, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                key = (len(text), content_hash(text))
-                if key not in tries:
-                    tries[key] = PatriciaTrie(largest)
-                if tries[key].insert(text, doc):
-                    held += len(text) + 200
-            if held > trie_bytes:
-                yield from handed(tries)
-                tries, held = {}, 0
-        yield from handed(tries)
+            for kind, low, doc, text in zip(*(batch[c].to_pylist() for c in ("size_class", "bits", "id", "text")), strict=True):
+                deal = kind, low
+                if deal not in tries:
+                    tries[deal], sizes[deal] = PatriciaTrie(largest), 0
+                if tries[deal].insert(text, doc):
+                    sizes[deal] += len(text) + 200
+                    total += len(text) + 200
+            while total > trie_bytes:
+                deal = max(sizes, key=sizes.__getitem__)
+                yield from handed(deal, tries[deal].hand_on())
+                left = held(tries[deal].root)
+                total -= sizes[deal] - left
+                sizes[deal] = left
+                if not tries[deal].root[1]:
+                    total -= left
+                    del tries[deal], sizes[deal]
+        rows: list[tuple] = []
+        size = 0
+        for deal, trie in tries.items():
+            for item in trie.items():
+                rows.append((*deal, *item))
+                size += len(item[0])
+                if size > 4 << 20:
+                    yield _batch(rows, partial)
+                    rows, size = [], 0
+        if rows:
+            yield _batch(rows, partial)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, trie = None, PatriciaTrie(largest)
-        done = lambda: [(hashlib.sha256(t).hexdigest(), owner, n) for t, owner, n in trie.items()]
+        deal, trie = None, PatriciaTrie(largest)
+        done = lambda items: [(hashlib.sha256(t).hexdigest(), owner, n) for t, owner, n in items]
         for batch in batches:
             rows: list[tuple] = []
-            for n_bytes, h, text, owner, n in zip(*(batch[c].to_pylist() for c in partial.names), strict=True):
-                if (n_bytes, h) != key:
-                    rows += done()
-                    key, trie = (n_bytes, h), PatriciaTrie(largest)
+            for kind, low, text, owner, n in zip(*(batch[c].to_pylist() for c in partial.names), strict=True):
+                if (kind, low) != deal:
+                    rows += done(trie.items())
+                    deal, trie = (kind, low), PatriciaTrie(largest)
+                else:
+                    rows += done(trie.pass_by(text))
                 trie.insert(text, owner, n)
             yield _batch(rows, final)
-        yield _batch(done(), final)
+        yield _batch(done(trie.items()), final)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(text_or_empty(text_col), "UTF-8").alias("text"))
-    dealt = map_arrow(rows, local, _PARTIAL).repartition("n_bytes", "hash").sortWithinPartitions("n_bytes", "hash")
+    text = F.encode(text_or_empty(text_col), "UTF-8")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    size_class = F.floor(F.log2(F.octet_length("text") + 1)).cast("int")
+    rows = rows.select("id", "text", size_class.alias("size_class"), F.pmod(F.xxhash64("text"), F.lit(1 << bits)).cast("int").alias("bits"))
+    dealt = map_arrow(rows, local, _PARTIAL).repartition("size_class", "bits").sortWithinPartitions("size_class", "bits", "text")
     return map_arrow(dealt, merge, "text_sha256 string, keep_id long, group_size long")
 
 
@@ -150,7 +233,10 @@ def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lar
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = True) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    keep = owners(docs, id_col, text_col, largest).select(F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"))
-    on = (F.sha2(F.coalesce(docs[text_col], F.lit("")), 256) == keep["__sha"]) & docs[id_col].cast("long").eqNullSafe(keep["__keep"])
-    return docs.join(keep, on, "left_semi")
+    """One row of each text stays, with all its columns."""
+    sha, own, place = (unused(docs, x) for x in ("sha", "own", "place"))
+    keep = owners(docs, id_col, text_col, largest).select(F.col("text_sha256").alias(sha), F.coalesce("keep_id", F.lit(_NO_ID)).alias(own))
+    rows = docs.withColumns({sha: F.sha2(F.coalesce(docs[text_col], F.lit("")), 256), own: F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID))}).join(keep, [sha, own], "left_semi")
+    # rows that repeat an id and its text
+    rows = rows.withColumn(place, F.row_number().over(Window.partitionBy(sha, own).orderBy(sha))).where(F.col(place) == 1)
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
