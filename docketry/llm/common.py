@@ -65,13 +65,24 @@ def unused(df: DataFrame, name: str) -> str:
     return next(n for n in (f"__{name}{k or ''}" for k in range(len(taken) + 1)) if n not in taken)
 
 
-def lookup(rows: DataFrame, keys: list[str], table: DataFrame, deal_by: list[str], parts: int) -> DataFrame:
-    """rows with the columns of table, which has each key once. The rows of a key are dealt into parts, and what goes to a
-    key's task is one row a part: no key meets in one task, however many rows it has."""
+def lookup(rows: DataFrame, keys: list[str], table: DataFrame, deal_by: list[str], parts: int, how: str = "inner") -> DataFrame:
+    """rows with the columns of table, which has each key once (how: inner or left). The rows of a key are dealt into parts,
+    and what goes to a key's task is one row a part: no key meets in one task, however many rows it has."""
     part = unused(rows, "part")
     rows = rows.withColumn(part, F.pmod(F.xxhash64(*deal_by), F.lit(parts)).cast("int"))
     asked = rows.select(*keys, part).distinct().join(table, keys)
-    return rows.join(asked, [*keys, part]).drop(part)
+    return rows.join(asked, [*keys, part], how).drop(part)
+
+
+def tasks_for(total: int | None, each: int) -> int:
+    """How many tasks take ``each`` of the total: a number that adaptive execution doesn't lower."""
+    return max(1, -(-(total or 0) // each))
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate, for a scan the bytes of its files; 0 where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 2**60 else 0
 
 
 def text_or_empty(col: str) -> Column:

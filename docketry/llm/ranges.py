@@ -7,14 +7,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import shuffle_partitions
+from docketry.llm.common import estimated_bytes, shuffle_partitions
 
-BUCKETS_PER_PARTITION = 4
+#: Buckets for each shuffle partition at least, and one for each BUCKET_BYTES of input.
+BUCKETS_PER_PARTITION, BUCKET_BYTES, MOST_BUCKETS = 4, 128 << 20, 200_000
 
 
 def bounds(df: DataFrame, key: str, buckets: int | None = None) -> list[int]:
     """Ascending lower bounds of all buckets but the first, from approximate quantiles of the key alone."""
-    n = buckets or BUCKETS_PER_PARTITION * shuffle_partitions(df.sparkSession)
+    n = buckets or min(MOST_BUCKETS, max(BUCKETS_PER_PARTITION * shuffle_partitions(df.sparkSession), estimated_bytes(df) // BUCKET_BYTES))
     keys = df.select(F.col(key).cast("double").alias("k")).where("k is not null")
     found = keys.approxQuantile("k", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
     return sorted({int(np.ceil(x)) for x in found})
