@@ -5,7 +5,7 @@ import hashlib
 import pytest
 
 import corpus_pipeline
-from docketry.llm import bpe, chat, exact_dedup, fingerprints, ngram_join, packing, quality, token_files, toxicity, warc
+from docketry.llm import bpe, chat, common, exact_dedup, fingerprints, ngram_join, packing, quality, token_files, toxicity, warc
 from docketry.llm.queries import tokenizer_file
 
 BYTES, WORDS = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("word_bpe_49k.json")
@@ -57,6 +57,34 @@ def test_results_on_odd_rows(docs):
     assert near[4] == (3, 2) and near[3] == (3, 2) and near[1] == (1, 0) and near[5] == (5, 1)
 
 
+def test_the_packing_stage(spark, docs, tmp_path):
+    stage = corpus_pipeline.STAGES[4][1]
+    rows = stage(spark, docs, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in rows if r.piece == 0) == sorted(str(i) for i, _ in ROWS)
+    assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
+
+
+@pytest.mark.parametrize(("master", "right"), [("spark://somewhere:7077", False), ("local-cluster[2,1,1024]", False), ("local[4]", True), ("local", True)])
+def test_no_folder_of_one_machine_on_a_cluster(master, right):
+    class Unset:
+        def get(self, key, default):
+            return default
+
+    class Context:
+        def getConf(self):
+            return Unset()
+
+    class Session:
+        conf, sparkContext = Unset(), Context()
+
+    Session.sparkContext.master = master
+    if right:
+        assert common.shared_dir(Session()) == common.FALLBACK_DIR
+    else:
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            common.shared_dir(Session())
+
+
 @pytest.mark.parametrize("k", range(4))
 def test_stages(spark, docs, labels, tmp_path, k):
     labels.write.parquet(str(tmp_path / "labels.parquet"))

@@ -114,27 +114,83 @@ def test_packing_places_every_token_once(docs):
     assert packing.pack(docs.limit(0), BYTE).count() == 0
 
 
-def test_plan_is_near_the_bound():
+def checked(histogram, patterns, capacity=2048) -> int:
+    used: dict = {}
+    for pattern, times in patterns:
+        assert times > 0 and sum(n * k for n, k in pattern.items()) <= capacity
+        for n, k in pattern.items():
+            used[n] = used.get(n, 0) + k * times
+    assert used == histogram
+    return sum(t for _, t in patterns)
+
+
+def test_plan_is_never_worse_than_best_fit_and_near_the_bound():
     rng = random.Random(1)
-    for histogram in ({n: rng.randint(1, 2000) for n in rng.sample(range(1, 2049), 300)}, {1500: 10, 548: 10, 1025: 7}, {2048: 5}, {1: 3}, {}):
-        patterns = packing.plan(histogram, rounds=60)
-        used: dict = {}
-        for pattern, times in patterns:
-            assert sum(n * k for n, k in pattern.items()) <= 2048
-            for n, k in pattern.items():
-                used[n] = used.get(n, 0) + k * times
-        assert used == histogram
-        plain = sum(t for _, t in packing.plan(histogram, rounds=0))
-        assert sum(t for _, t in patterns) <= plain * 1.01 + 1
+    cases = [{n: rng.randint(1, 2000) for n in rng.sample(range(1, 2049), 300)}, {n: rng.randint(1, 3) for n in rng.sample(range(1, 2049), 900)}, {1500: 10, 548: 10, 1025: 7}, {2048: 5}, {1: 3}, {}]
+    # pairs of 690 with one 660, then 700 with two 660, then pairs of 700: best fit takes 116
+    mixed = {700: 99, 660: 99, 690: 99}
+    assert checked(mixed, packing.plan(mixed)) == 112
+    for histogram in cases:
+        n = checked(histogram, packing.plan(histogram))
+        least = packing.bound(histogram)
+        assert least <= n <= checked(histogram, packing.best_fit(histogram, 2048)) and n <= least * 1.02 + 1
     with pytest.raises(ValueError):
         packing.plan({2049: 1})
 
 
+def fewest(pieces: tuple, capacity: int) -> int:
+    """The optimum by trying every place for every piece, largest first."""
+    best = len(pieces)
+
+    def go(i: int, bins: list[int]) -> None:
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(pieces):
+            best = len(bins)
+            return
+        for k in range(len(bins)):
+            if bins[k] + pieces[i] <= capacity and bins[k] not in bins[:k]:
+                go(i + 1, [*bins[:k], bins[k] + pieces[i], *bins[k + 1 :]])
+        go(i + 1, [*bins, pieces[i]])
+
+    go(0, [])
+    return best
+
+
+def test_plan_and_bound_against_the_optimum():
+    rng = random.Random(4)
+    spare = 0
+    for _ in range(60):
+        capacity = rng.choice([10, 17, 24])
+        pieces = tuple(sorted((rng.randint(1, capacity) for _ in range(rng.randint(1, 11))), reverse=True))
+        histogram = {n: pieces.count(n) for n in set(pieces)}
+        n, optimum = checked(histogram, packing.plan(histogram, capacity), capacity), fewest(pieces, capacity)
+        assert packing.bound(histogram, capacity) <= optimum <= n <= optimum + 1
+        spare += n - optimum
+    assert spare <= 3
+
+
+def test_the_program_covers_every_row():
+    rng = random.Random(2)
+    histogram = {n: rng.randint(1, 500) for n in rng.sample(range(1, 2049), 400)}
+    covered: dict = {}
+    for pattern, x in packing.solve(histogram, 2048):
+        assert x > 0 and sum(n * k for n, k in pattern.items()) <= 2048
+        for n, k in pattern.items():
+            covered[n] = covered.get(n, 0) + k * x
+    assert all(covered[n] >= c - 1e-6 for n, c in histogram.items())
+
+
 def test_knapsack_against_brute_force():
     lengths, values = np.array([3, 5, 7]), np.array([3.0, 5.5, 7.2])
-    got = packing.best_pattern(lengths, values, 17)
+    table = packing.knapsack(lengths, values, 17)
     best = max(3 * a + 5.5 * b + 7.2 * c for a in range(6) for b in range(4) for c in range(3) if 3 * a + 5 * b + 7 * c <= 17)
-    assert abs(sum(dict(zip([3, 5, 7], values.tolist(), strict=True))[n] * k for n, k in got.items()) - best) < 1e-9
+    assert abs(table[17] - best) < 1e-9
+    rows, times, worth = packing.read_off(table, lengths, values, np.array([9, 9, 9]))
+    assert abs(worth - best) < 1e-9 and abs((values[rows] * times).sum() - best) < 1e-9
+    rows, times, _ = packing.read_off(table, lengths, values, np.array([1, 1, 1]))
+    assert set(times) == {1} and lengths[rows].sum() <= 17
 
 
 def test_token_files(docs, tmp_path):
@@ -155,3 +211,29 @@ def test_token_files(docs, tmp_path):
         reader.tokens(row["at"], 10**6)
     index, totals = token_files.write(docs.limit(0), WORD)
     assert token_files.read(index, totals).count() == 0
+
+
+def test_token_files_of_many_parts(docs, tmp_path, monkeypatch):
+    want = sorted(map(tuple, token_files.read(*token_files.write(docs, WORD)).collect()))
+    monkeypatch.setattr(token_files, "bounds", lambda df, key: [4])
+    index, totals = token_files.write(docs, WORD, str(tmp_path / "t"), length=8, file_tokens=40)
+    assert index.select("file").distinct().count() > index.select("bucket").distinct().count()
+    assert sorted(map(tuple, token_files.read(index, totals).collect())) == want
+
+
+def test_a_batch_is_found_by_its_number(tmp_path):
+    path = str(tmp_path / "x.arrows")
+    with open(path, "wb") as out:
+        writer = token_files.Writer(out, 4, False)
+        for k in range(300):
+            writer.add(np.arange(k, k + 3))
+        writer.close()
+    flat = np.concatenate([np.arange(k, k + 3) for k in range(300)])
+    reader = token_files.Reader(path)
+    for start, n in ((899, 1), (0, 900), (255, 2), (256, 256), (700, 100), (5, 0)):
+        assert reader.tokens(start, n).tolist() == flat[start : start + n].tolist()
+    ids, mask = reader.sequence(224)
+    assert ids.tolist() == flat[896:].tolist() and mask.all()
+    for start, n in ((899, 2), (900, 1), (10**6, 1)):
+        with pytest.raises(IndexError):
+            reader.tokens(start, n)
