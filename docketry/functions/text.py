@@ -37,11 +37,11 @@ def slug(c: Column, most: int) -> Column:
 
 
 def heading_path(parts: Column) -> Column:
-    return F.nullif(F.array_join(F.filter(F.transform(parts, F.trim), lambda p: p != ""), " > "), F.lit(""))
+    return F.nullif(F.array_join(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != ""), " > "), F.lit(""))
 
 
 def split_heading_path(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, " > "), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(c, " > "), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def tokens(c: Column) -> Column:
@@ -113,7 +113,7 @@ def domain_allowed(host: Column, allowed: list[str]) -> Column:
 
 def sentences(c: Column) -> Column:
     """Cut at line ends, and after a full stop or semicolon and blanks before a capital; trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(c, r"\n+|(?<=[.;])\s+(?=[A-Z])"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(c, r"\n+|(?<=[.;])\s+(?=[A-Z])"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 #: A currency and a number, or a bare number of crore or lakh.
@@ -156,3 +156,35 @@ def person_name(c: Column) -> Column:
 
 def any_date(c: Column, formats: tuple[str, ...] = ("yyyy-MM-dd", "dd-MM-yyyy", "dd/MM/yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMMM yyyy")) -> Column:
     return F.coalesce(*[F.to_date(F.try_to_timestamp(c, F.lit(f))) for f in formats])
+
+
+#: Characters of an id that is derived from a hash.
+ID_LENGTH = 16
+
+
+def record_id(key: Column) -> Column:
+    """What follows external:, the first 16 characters of what follows derived:, else of the key's SHA-256."""
+    parts = F.split(key, ":", 2)
+    value = F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
+    return F.when((parts[0] == "external") & (value != ""), value).when((parts[0] == "derived") & (value != ""), F.substring(value, 1, ID_LENGTH)).otherwise(F.substring(F.sha2(key, 256), 1, ID_LENGTH))
+
+
+_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+
+
+def url_date(url: Column) -> Column:
+    """year, month, day from a url's path (/2020-01-31/ or /jan-2020/), or a year anywhere; 0 for what is missing."""
+    low = F.lower(F.coalesce(url, F.lit("")))
+    iso, month, year = r"/(\d{4})-(\d{2})-(\d{2})(?:/|$)", "/(" + "|".join(_MONTHS) + r")-(\d{4})/", r"(?<!\d)(20\d{2}|19\d{2})(?!\d)"
+    got = lambda p, g: F.regexp_extract(low, p, g)
+    numbers = F.array(*map(F.lit, _MONTHS))
+    made = lambda y, m, d: F.struct(y.cast("int").alias("year"), m.cast("int").alias("month"), d.cast("int").alias("day"))
+    zero = F.lit(0)
+    return F.when(low.rlike(iso), made(got(iso, 1), got(iso, 2), got(iso, 3))).when(low.rlike(month), made(got(month, 2), F.array_position(numbers, got(month, 1)), zero)).when(low.rlike(year), made(got(year, 1), zero, zero)).otherwise(made(zero, zero, zero))
+
+
+def json_items(c: Column) -> Column:
+    """The items of a JSON array as texts, without null and empty ones; other texts as one item, none for empty ones."""
+    found = F.from_json(c, "array<string>")
+    one = F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array(c))
+    return F.when(F.trim(c).startswith("[") & found.isNotNull(), F.filter(found, lambda x: x.isNotNull() & (x != ""))).otherwise(one)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,20 +42,30 @@ def validate(rows: DataFrame) -> DataFrame:
 
 
 def latest_by_key(rows: DataFrame) -> DataFrame:
-    """The last row of each record_key by last_seen, ties by all columns."""
+    """The row of each record_key that was seen last, ties by all columns; for the last row of a file see last_rows()."""
     best = F.max_by(F.struct(*rows.columns), F.struct("last_seen_at", *[c for c in COLUMNS if c in rows.columns])).alias("r")
     return rows.groupBy("record_key").agg(best).select("r.*")
 
 
+def last_rows(spark: SparkSession, path: str) -> DataFrame:
+    """One manifest, the last row of each record_key as the file has them."""
+    rows = spark.read.csv(path, schema=SCHEMA, header=True, enforceSchema=False, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", multiLine=True).where("_corrupt is null").drop("_corrupt")
+    return rows.withColumn("__at", F.monotonically_increasing_id()).groupBy("record_key").agg(F.max_by(F.struct(*COLUMNS), "__at").alias("r")).select("r.*")
+
+
 def write_manifest(rows: DataFrame, path: str) -> None:
     """One CSV file, the newest first; a manifest is a listing of bounded size."""
     rows.orderBy(F.desc("order_date"), F.desc(F.lower("title")), F.desc("record_key")).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
 def file_snapshots(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """path, size and sha256 of every file."""
+    """path, size and sha256 of every file, also of empty ones, which a scan passes over."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
-    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    read = files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    # the scan's own listing, which is on the driver
+    listed = spark.createDataFrame([(re.sub("^file:/+", "file:/", unquote(x)),) for x in files.inputFiles()], "path string")
+    empty = listed.join(files.select("path"), "path", "left_anti")
+    return read.unionByName(empty.select("path", F.lit(0).cast("long").alias("size"), F.sha2(F.lit(""), 256).alias("sha256")))
 
 
 def anchors(pages: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ EVENTS = T.StructType([T.StructField(n, t) for n, t in (("event_id", T.LongType(
 
 
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.readStream.schema(EVENTS).option("pathGlobFilter", "events*.parquet").parquet(folder)
+    """The events tables of a folder, each a file or a folder of files."""
+    return spark.readStream.schema(EVENTS).parquet(f"{folder}/events*.parquet")
 
 
 def windowed(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from docketry.functions import scoring
+from docketry.functions import scoring, text
 from docketry.operators import search
 
 SECTIONS = "unit long, document long, section_key string, section string, title string, heading string, body string, embedding array<double>"
@@ -37,3 +37,9 @@ def test_content(spark):
     args = [F.col(c) for c in "bhsf"]
     got = df.select(scoring.content_factor(*args, True), scoring.content_factor(*args, False)).collect()
     assert [tuple(r) for r in got] == [r[4:] for r in rows]
+
+
+def test_parts_of_paths_and_sentences_are_trimmed(spark):
+    df = spark.createDataFrame([([" 1. Facts ", "", "0 is first"], " A  >  0B > ", " 0 One.  Two; \n  Three ")], "p array<string>, s string, t string")
+    row = df.select(text.heading_path(F.col("p")).alias("p"), text.split_heading_path(F.col("s")).alias("s"), text.sentences(F.col("t")).alias("t")).first()
+    assert row.p == "1. Facts > 0 is first" and row.s == ["A", "0B"] and row.t == ["0 One.", "Two;", "Three"]
