@@ -7,67 +7,153 @@ import unicodedata
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketry.functions import text
-
-HONORIFICS = {"mr", "mrs", "ms", "dr", "shri", "smt", "prof"}
+#: Titles before names that don't count.
+HONORIFICS = ("mr", "mrs", "ms", "m/s", "dr", "shri", "smt")
+#: Fixed values of the name score: for a name inside the other, for names with one last word, and for all others.
+PARTIAL = {"base": 0.79, "compact": 0.12, "last": 0.05, "most": 0.97}
+NAMES = {"base": 0.58, "first": 0.22, "shared": 0.16, "compact": 0.08, "least_first": 0.72, "most": 0.96}
+FUZZY = {"whole": 0.42, "compact": 0.33, "shared": 0.25, "last": 0.05, "short": 0.08, "most": 0.95}
+#: Scores from which a match counts, is worth asking about, is trusted, and how far the next one has to be.
+LEAST, MEDIUM, CONFIDENT, GAP = 0.72, 0.82, 0.84, 0.05
+_HONORIFIC = re.compile(r"\b(?:" + "|".join(HONORIFICS) + r")\b")
+_FOUND = T.StructType([T.StructField(n, T.DoubleType()) for n in ("score", "shared", "first", "last")] + [T.StructField("how", T.StringType()), T.StructField("words", T.IntegerType())])
 
 
 def normalize_fuzzy(value: str | None) -> str:
-    """ASCII, lower case, & as and, letters and digits, without honorifics."""
-    plain = unicodedata.normalize("NFKD", value or "").encode("ascii", "ignore").decode().lower().replace("&", " and ")
-    return " ".join(w for w in re.sub("[^a-z0-9]+", " ", plain).split() if w not in HONORIFICS)
+    """ASCII, lower case, without honorifics, & as and, letters and digits."""
+    plain = unicodedata.normalize("NFKD", value or "").encode("ascii", "ignore").decode().lower()
+    return " ".join(re.sub("[^a-z0-9]+", " ", _HONORIFIC.sub(" ", plain).replace("&", " and ")).split())
 
 
-def fuzzy_score(query: str | None, candidate: str | None) -> tuple[float, str]:
-    """Score from 0 to 1 and how it matched: exact, partial, name_tokens, fuzzy or none."""
+def fuzzy_match(query: str | None, candidate: str | None) -> dict:
+    """score from 0 to 1, how (exact, partial, name_tokens, fuzzy or none), the share of common words, the likeness of first and last words, and the query's words."""
     q, c = normalize_fuzzy(query), normalize_fuzzy(candidate)
     if not q or not c:
-        return 0.0, "none"
-    if q == c:
-        return 1.0, "exact"
+        return {"score": 0.0, "shared": 0.0, "first": 0.0, "last": 0.0, "how": "none", "words": len(q.split())}
     a, b = q.split(), c.split()
-    ratio = lambda x, y: SequenceMatcher(None, x, y).ratio()
-    compact = ratio(q.replace(" ", ""), c.replace(" ", ""))
-    same_last = a[-1] == b[-1]
-    short, long_ = (q, c) if len(q) <= len(c) else (c, q)
-    if f" {short} " in f" {long_} " and (len(short) >= 5 or len(short.split()) >= 2):
-        return min(0.97, 0.79 + 0.12 * compact + 0.05 * same_last), "partial"
-    shared = len(set(a) & set(b)) / max(len(set(a)), len(set(b)))
-    if len(a) >= 2 and len(b) >= 2 and same_last and ratio(a[0], b[0]) >= 0.72:
-        return min(0.96, 0.58 + 0.22 * ratio(a[0], b[0]) + 0.16 * shared + 0.08 * compact), "name_tokens"
-    score = 0.42 * ratio(q, c) + 0.33 * compact + 0.25 * shared + 0.05 * same_last
-    if len(a) == 1 and len(a[0]) < 4 or len(b) == 1 and len(b[0]) < 4:
-        score -= 0.08
-    return max(0.0, min(0.95, score)), "fuzzy"
-
-
-@F.pandas_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("how", T.StringType())]))
+    like = lambda x, y: SequenceMatcher(None, x, y).ratio()
+    out = {"shared": len({*a} & {*b}) / max(len({*a}), len({*b})), "first": like(a[0], b[0]), "last": like(a[-1], b[-1]), "words": len(a)}
+    compact, same_last = like(q.replace(" ", ""), c.replace(" ", "")), a[-1] == b[-1]
+    if q == c:
+        return out | {"score": 1.0, "how": "exact"}
+    if (q in c or c in q) and (len(q) >= 5 or len(a) > 1):
+        score, limit, how = PARTIAL["base"] + PARTIAL["compact"] * compact + PARTIAL["last"] * same_last, PARTIAL["most"], "partial"
+    elif len(a) > 1 and same_last and out["first"] >= NAMES["least_first"]:
+        score, limit, how = NAMES["base"] + NAMES["first"] * out["first"] + NAMES["shared"] * out["shared"] + NAMES["compact"] * compact, NAMES["most"], "name_tokens"
+    else:
+        score = FUZZY["whole"] * like(q, c) + FUZZY["compact"] * compact + FUZZY["shared"] * out["shared"] + FUZZY["last"] * same_last
+        score, limit, how = score - FUZZY["short"] * (len(a) == 1 and len(q) < 4), FUZZY["most"], "fuzzy"
+    return out | {"score": min(score, limit), "how": how}
+
+
+def fuzzy_score(query: str | None, candidate: str | None) -> tuple[float, str]:
+    found = fuzzy_match(query, candidate)
+    return found["score"], found["how"]
+
+
+@F.pandas_udf(_FOUND)
 def fuzzy(query: pd.Series, candidate: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([fuzzy_score(q, c) for q, c in zip(query, candidate, strict=True)], columns=["score", "how"])
-
-
-def fuzzy_candidates(queries: DataFrame, values: DataFrame, least: float = 0.5) -> DataFrame:
-    """queries: query_id, query; values: value_id, value. Pairs that share a trigram are scored; no pair without one can pass as other than noise."""
-    q = queries.select("query_id", "query", F.explode(text.trigrams(F.col("query"))).alias("g"))
-    v = values.select("value_id", "value", F.explode(text.trigrams(F.col("value"))).alias("g"))
-    pairs = q.join(v, "g").groupBy("query_id", "query", "value_id", "value").agg(F.count("*").alias("shared"))
-    scored = pairs.withColumn("m", fuzzy("query", "value"))
-    return scored.select("query_id", "value_id", F.round("m.score", 6).alias("score"), F.col("m.how").alias("how")).where(F.col("score") >= least)
-
-
-def designation_group(title: Column) -> Column:
-    """Ordered rules; the more special titles come before those they contain."""
-    t = text.lookup_key(title)
-    has = lambda *words: F.coalesce(t.rlike("(^| )(" + "|".join(words) + ")( |$)"), F.lit(False))
-    return (
-        F.when(has("chairman", "chairperson"), "chairperson").when(has("whole time member"), "whole_time_member").when(has("executive director"), "executive_director")
-        .when(has("chief general manager"), "chief_general_manager").when(has("deputy general manager"), "deputy_general_manager").when(has("assistant general manager"), "assistant_general_manager")
-        .when(t.rlike("^general manager"), "general_manager").when(has("regional director"), "regional_director").when(t.rlike("^(deputy |assistant )?manager"), "manager").otherwise("staff")
-    )
+    return pd.DataFrame([fuzzy_match(q, c) for q, c in zip(query, candidate, strict=True)], columns=_FOUND.names)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def folded_trigrams(value: pd.Series) -> pd.Series:
+    """Distinct trigrams of the folded words, with two blanks before and one after each."""
+    return value.map(lambda v: sorted({f"  {w} "[i : i + 3] for w in normalize_fuzzy(v).split() for i in range(len(w) + 1)}))
+
+
+def fuzzy_candidates(queries: DataFrame, values: DataFrame, least: float = LEAST) -> DataFrame:
+    """queries: query_id, query; values: value_id, value. The pairs that score ``least`` (rounded to four places) with score, how, shared, first, last, words.
+
+    Only pairs that share a folded trigram are scored. No other pair reaches 0.52: without a common trigram no three letters in a row
+    and no word are common, so at most two letters of three are matched, and 0.75 of 0.67 is 0.5. Each name is scored once a query,
+    however many values have it."""
+    names = values.select("value").distinct()
+    q = queries.select("query_id", F.explode(folded_trigrams("query")).alias("gram"))
+    pairs = q.join(names.select("value", F.explode(folded_trigrams("value")).alias("gram")), "gram").select("query_id", "value").distinct()
+    scored = pairs.join(queries.select("query_id", "query"), "query_id").withColumn("m", fuzzy("query", "value")).where(F.col("m.score") >= least)
+    cols = [F.round(f"m.{c}", 4).alias(c) for c in ("score", "shared", "first", "last")]
+    return scored.select("query_id", "value", *cols, F.col("m.how").alias("how"), F.col("m.words").alias("words")).join(values.select("value_id", "value"), "value")
+
+
+def match_band(how: Column, words: Column, score: Column, second: Column, shared: Column, first: Column, last: Column) -> Column:
+    """high, medium or low for the best match of a query; second: the next score or null."""
+    clear = second.isNull() | (second <= F.round(score - GAP, 6))
+    one = F.when((score >= max(CONFIDENT + 0.08, 0.92)) & clear, "high").when((score >= MEDIUM) & clear, "medium").otherwise("low")
+    high = (score >= CONFIDENT) & (first >= 0.86) & (shared >= 0.5) & clear
+    medium = clear & ((score >= MEDIUM) & (last >= 0.995) & (first >= 0.45) | (score >= CONFIDENT + 0.04) & (shared >= 0.5))
+    return F.when(how == "exact", "high").when(words == 1, one).when(high, "high").when(medium, "medium").otherwise("low")
+
+
+def ranked_matches(found: DataFrame) -> DataFrame:
+    """The pairs of fuzzy_candidates() in each query's order (score, then value, then value_id), with rank, and on the first one band and ambiguous."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "value", "value_id")
+    second = F.lead("score").over(order)
+    rows = found.withColumns({"rank": F.row_number().over(order), "second": second})
+    band = match_band(*(F.col(c) for c in ("how", "words", "score", "second", "shared", "first", "last")))
+    rows = rows.withColumn("band", F.when(F.col("rank") == 1, band))
+    close = F.coalesce((F.col("score") < CONFIDENT) & (F.col("second") >= F.round(F.col("score") - GAP, 6)), F.lit(False))
+    return rows.withColumn("ambiguous", F.when(F.col("rank") == 1, (F.col("band") == "medium") | close)).drop("second", "words")
+
+
+#: Short forms and what they stand for; a form stands for the whole title that holds it as words.
+DESIGNATIONS = {
+    "whole time member": ("wtm", "whole time member"), "executive director": ("ed", "executive director"), "assistant manager": ("am", "assistant manager"),
+    "deputy general manager": ("dgm", "deputy general manager"), "chief general manager": ("cgm", "chief general manager"), "regional director": ("rd", "regional director"),
+}
+#: The groups with their labels, in the order of the labels' table.
+GROUP_LABELS = {
+    "chairperson": "Chairperson", "whole_time_member": "Whole-Time Member", "board_member": "Board Member", "executive_director": "Executive Director",
+    "chief_general_manager": "Chief General Manager", "general_manager": "General Manager", "deputy_general_manager": "Deputy General Manager",
+    "assistant_general_manager": "Assistant General Manager", "manager": "Manager", "assistant_manager": "Assistant Manager", "regional_director": "Regional Director",
+    "office_contact": "Office Contact", "staff": "Staff", "other": "Other",
+}
+
+
+def designation(title: Column) -> Column:
+    """A title in lower case, short forms written out; empty for a null one."""
+    low = F.trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"\s+", " "))
+    key = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.replace(low, F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", " ")), F.lit(" "))
+    out = F.replace(low, F.lit("-"), F.lit(" "))
+    for name, forms in reversed(DESIGNATIONS.items()):
+        out = F.when(key.rlike(" (" + "|".join(forms) + ") "), F.lit(name)).otherwise(out)
+    return out
+
+
+def designation_group(title: Column, role_group: Column | None = None, board_category: Column | None = None, board_role: Column | None = None) -> Column:
+    """The group of a person: by board category and role group first, then by the title's words, then by what is left."""
+    code = lambda c: F.lit("") if c is None else F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), "[- ]", "_")
+    named, role, category, board = designation(title), code(role_group), code(board_category), designation(F.lit("") if board_role is None else board_role)
+    begins = lambda name: (named == name) | named.startswith(name + " ")
+    out = F.when((category == "chairperson") | (role == "chairperson"), "chairperson").when((category == "whole_time_member") | (role == "wtm"), "whole_time_member")
+    out = out.when(category.isin("part_time_member", "government_nominee", "rbi_nominee"), "board_member")
+    for group in ("regional_director", "executive_director"):
+        out = out.when((role == group) | named.contains(group.replace("_", " ")), group)
+    for group in ("chief_general_manager", "deputy_general_manager", "assistant_general_manager"):
+        out = out.when(named.contains(group.replace("_", " ")), group)
+    for group in ("assistant_manager", "manager", "general_manager"):
+        out = out.when(begins(group.replace("_", " ")), group)
+    out = out.when(role == "office_contact", "office_contact").when(role.isin("staff", "department_head", "chief_vigilance_officer") | (named != ""), "staff")
+    return out.when(board != "", "board_member").otherwise("other")
+
+
+def people_counts(people: DataFrame, offices: DataFrame) -> dict[str, DataFrame]:
+    """people: designation_group, office_name, department_name; offices: canonical_office_id, office_name, city, region. The four count tables:
+    by group with label, by office (offices without people too), by department, and of three roles (those without people too)."""
+    labels = F.create_map(*[F.lit(x) for kv in GROUP_LABELS.items() for x in kv])
+    groups = people.groupBy("designation_group").agg(F.count("*").alias("people_count")).withColumn("designation_label", F.coalesce(F.try_element_at(labels, F.col("designation_group")), F.initcap(F.replace("designation_group", F.lit("_"), F.lit(" ")))))
+    at = people.where(F.coalesce("office_name", F.lit("")) != "").groupBy("office_name").agg(F.count("*").alias("n"))
+    by_office = offices.join(at, "office_name", "left").select("canonical_office_id", "office_name", "city", "region", F.coalesce("n", F.lit(0)).alias("people_count"), F.lit(1).alias("office_count"))
+    departments = people.where(F.coalesce("department_name", F.lit("")) != "").groupBy("department_name").agg(F.count("*").alias("people_count"))
+    group = F.col("designation_group")
+    roles = {"whole_time_member": ("Whole-Time Members", group == "whole_time_member"), "executive_director": ("Executive Directors", group == "executive_director"), "board_member": ("Board Members", group.isin("chairperson", "whole_time_member", "board_member"))}
+    counted = people.agg(*[F.count_if(test).alias(k) for k, (_, test) in roles.items()])
+    by_role = counted.select(F.explode(F.array(*[F.struct(F.lit(k).alias("role_key"), F.lit(label).alias("role_label"), F.col(k).alias("people_count")) for k, (label, _) in roles.items()])).alias("r")).select("r.*")
+    return {"designation": groups, "office": by_office, "department": departments, "role": by_role}
 
 
 def best_field(rows: DataFrame, key: str, field: str, priority: str, tie: str) -> DataFrame:
