@@ -12,11 +12,23 @@ SECTION_PRIORS = {
     "operative_order": 1.35, "directions": 1.30, "findings": 1.25, "issues": 1.15, "reply_or_submissions": 1.05, "background": 1.00,
     "facts": 1.00, "show_cause_notice": 0.98, "other": 0.92, "table_block": 0.90, "annexure": 0.88, "header": 0.70,
 }
+#: What the intent of a query makes of a section's type.
 INTENT_SECTION = {
-    "substantive": (1.20, 1.18, 1.15, 1.08, 1.03, 0.98, 0.98, 0.96, 0.92, 0.92, 0.90, 0.75),
-    "party_or_title": (0.94, 0.94, 0.95, 0.96, 0.98, 1.00, 1.00, 0.98, 1.05, 0.95, 0.94, 2.00),
-    "regulation": (1.00, 0.98, 1.06, 1.10, 1.02, 1.04, 1.04, 1.01, 1.00, 0.92, 0.95, 0.94),
-}
+    "substantive": {
+        "operative_order": 1.20, "directions": 1.18, "findings": 1.15, "issues": 1.08, "reply_or_submissions": 1.03, "background": 0.98,
+        "facts": 0.98, "show_cause_notice": 0.96, "other": 0.92, "table_block": 0.92, "annexure": 0.90, "header": 0.75,
+    },
+    "party_or_title": {
+        "operative_order": 0.94, "directions": 0.94, "findings": 0.95, "issues": 0.96, "reply_or_submissions": 0.98, "background": 1.00,
+        "facts": 1.00, "show_cause_notice": 0.98, "other": 1.05, "table_block": 0.95, "annexure": 0.94, "header": 2.00,
+    },
+    "regulation": {
+        "operative_order": 1.00, "directions": 0.98, "findings": 1.06, "issues": 1.10, "reply_or_submissions": 1.02, "background": 1.04,
+        "facts": 1.04, "show_cause_notice": 1.01, "other": 1.00, "table_block": 0.92, "annexure": 0.95, "header": 0.94,
+    },
+}
+#: The order in which comparisons show sections; others come last.
+COMPARED = {"operative_order": 0, "directions": 1, "findings": 2, "facts": 3, "background": 4, "issues": 5, "reply_or_submissions": 6, "table_block": 7, "annexure": 8, "other": 9, "header": 10}
 SETTLEMENT, LOCKED, UNLOCKED, CONFUSION = 1.12, 1.45, 0.62, 0.08
 
 
@@ -41,10 +53,14 @@ def section_prior(section: Column) -> Column:
 def intent_factor(intent: Column, section: Column) -> Column:
     out = F.lit(1.0)
     for name, row in INTENT_SECTION.items():
-        out = F.when(intent == name, lookup(dict(zip(SECTION_PRIORS, row, strict=True)), section, 1.0)).otherwise(out)
+        out = F.when(intent == name, lookup(row, section, 1.0)).otherwise(out)
     return out
 
 
+def comparison_priority(section: Column) -> Column:
+    return lookup(COMPARED, F.lower(F.trim(F.coalesce(section, F.lit("")))), len(COMPARED))
+
+
 def lock_factor(record_key: Column, locked: list) -> Column:
     return F.when(record_key.isin(locked), LOCKED).otherwise(UNLOCKED) if locked else F.lit(1.0)
 

@@ -117,3 +117,9 @@ def place_label(c: Column) -> Column:
 def date_label(c: Column) -> Column:
     said = F.trim(F.regexp_extract(c, r"(?im)^\s*dated?\s*:\s*([A-Za-z0-9 ,./-]{6,24})", 1))
     return text.any_date(F.regexp_replace(said, r"[.]", "-"), ("yyyy-MM-dd", "dd-MM-yyyy", "dd/MM/yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy"))
+
+
+def by_statute(provisions: DataFrame) -> DataFrame:
+    """statute and its references, each once, in the order of their first place. provisions: statute, reference, at."""
+    first = provisions.groupBy("statute", "reference").agg(F.min("at").alias("at"))
+    return first.groupBy("statute").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "reference"))), lambda x: x["reference"]).alias("references"))

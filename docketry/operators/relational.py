@@ -51,6 +51,24 @@ def jumps(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     return df.withColumn("is_jump", F.coalesce((before == after) & (before != F.col(value)), F.lit(False)))
 
 
+def section_jumps(chunks: DataFrame, document: str, order: str) -> DataFrame:
+    """Adds is_jump: a chunk between two of one type (not other or table_block) that differs from them, on at most two pages, and is
+    weak: of the type other or header, or under 120 tokens. chunks: section_type, page_start, page_end, token_count."""
+    w = Window.partitionBy(document).orderBy(order)
+    kind = F.col("section_type")
+    three = lambda c, pick: pick(F.lag(c).over(w), F.col(c), F.lead(c).over(w))
+    between = (F.lag(kind).over(w) == F.lead(kind).over(w)) & ~F.lag(kind).over(w).isin("other", "table_block") & (F.lag(kind).over(w) != kind)
+    near = three("page_end", F.greatest) - three("page_start", F.least) <= 1
+    weak = kind.isin("other", "header") | (F.col("token_count") < 120)
+    return chunks.withColumn("is_jump", F.coalesce(between & near & weak, F.lit(False)))
+
+
+def duplicate_events(chunks: DataFrame, document: str, sha: str) -> DataFrame:
+    """document, duplicate_events (chunks beyond the first of each text) and flagged (all chunks whose text the document has again)."""
+    groups = chunks.groupBy(document, sha).agg(F.count("*").alias("n"))
+    return groups.groupBy(document).agg(F.sum(F.col("n") - 1).alias("duplicate_events"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("flagged"))
+
+
 def duplicate_flags(df: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys)
     return df.withColumn("copies", F.count("*").over(w)).withColumn("is_duplicate", F.col("copies") > 1)

@@ -6,14 +6,22 @@ terms and never crossed with the queries. Texts and embeddings are not carried t
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from docketry.functions import scoring, text
 
-
 #: Terms that a scan compares each word with; a batch of queries with more is joined instead.
 MAX_TERMS = 1000
+#: Query vectors that go to the tasks at once.
+QUERY_BLOCK = 1024
 #: The similarity from which a unit without any of the query's words is found.
 ADMITTED = 0.05
 
@@ -87,12 +95,52 @@ def ranked(hits: DataFrame, k: int | None = None) -> DataFrame:
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def vector(queries: DataFrame, units: DataFrame, k: int) -> DataFrame:
-    """queries: query_id, q (array); units: unit, embedding. Exact cosine, null embeddings excluded.
-
-    The query table is one row a question and is broadcast; each unit is scored once a query where it lies."""
-    hits = units.where("embedding is not null").join(F.broadcast(queries.select("query_id", "q")), F.lit(True))
-    return ranked(hits.select("query_id", "unit", F.round(scoring.cosine(F.col("embedding"), F.col("q")), 6).alias("score")), k)
+def vector(queries: DataFrame, units: DataFrame, k: int | None) -> DataFrame:
+    """queries: query_id, q (array); units: unit, embedding. Exact cosine, null embeddings excluded, a null score where a vector is all zeros.
+
+    The queries are taken in blocks of QUERY_BLOCK, each sent to the tasks; a task scores its units where they lie and hands on its k best a query."""
+    count, out = queries.count(), None
+    blocks = max(1, -(-count // QUERY_BLOCK))
+    for b in range(blocks):
+        block = queries.select("query_id", "q") if blocks == 1 else queries.select("query_id", "q").where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        hits = _scored(block.collect(), queries.schema["query_id"], units.where("embedding is not null").select("unit", "embedding"), k)
+        out = hits if out is None else out.unionByName(hits)
+    return ranked(out, k)
+
+
+def _scored(asked: list, query_id: T.StructField, units: DataFrame, k: int | None) -> DataFrame:
+    """query_id, unit, score: of each task's units the k best of each query, ties by unit."""
+    schema = T.StructType([T.StructField("query_id", query_id.dataType), units.schema["unit"], T.StructField("score", T.DoubleType())])
+    names = [r["query_id"] for r in asked]
+    matrix = np.array([r["q"] for r in asked], dtype=float).reshape(len(asked), -1).T
+    lengths = np.linalg.norm(matrix, axis=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[list[tuple]] = [[] for _ in names]
+        for batch in batches:
+            rows = np.array(batch["embedding"].to_pylist(), dtype=float).reshape(batch.num_rows, -1)
+            if not batch.num_rows or not names:
+                continue
+            size = np.linalg.norm(rows, axis=1)[:, None] * lengths
+            with np.errstate(divide="ignore", invalid="ignore"):
+                score = np.round(rows @ matrix / size, 6) + 0.0
+            unit = batch["unit"].to_pylist()
+            for j in range(len(names)):
+                column = np.where(np.isnan(score[:, j]), -np.inf, score[:, j])
+                some = range(len(unit)) if k is None or len(unit) <= k else np.flatnonzero(column >= np.partition(column, len(unit) - k)[len(unit) - k]).tolist()
+                merged = kept[j] + [(-column[i], unit[i]) for i in some]
+                kept[j] = merged if k is None else heapq.nsmallest(k, merged)
+            if k is None:
+                yield made(kept)
+                kept = [[] for _ in names]
+        yield made(kept)
+
+    def made(kept: list[list[tuple]]) -> pa.RecordBatch:
+        rows = [(names[j], u, None if s == np.inf else -s + 0.0) for j, held in enumerate(kept) for s, u in held]
+        arrow = to_arrow_schema(schema)
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], type=f.type) for c, f in enumerate(arrow)], schema=arrow)
+
+    return units.mapInArrow(run, schema)
 
 
 def fuse(lexical_hits: DataFrame, vector_hits: DataFrame, k: int) -> DataFrame:
@@ -122,6 +170,22 @@ def rerank(hits: DataFrame, intent: Column, locked: list | None = None) -> DataF
     return hits.withColumn("final", F.round(F.greatest(final, F.lit(0.0)), 9))
 
 
+def adjusted(hits: DataFrame, chunk: bool | None, locked: list | None = None, confusable: list | None = None) -> DataFrame:
+    """Adds final, the score times four factors for documents (chunk is None), seven for sections and chunks; never below 0.
+
+    hits: score, name (of the document), bucket, record, intent, focused, terms; for sections and chunks also section, title, heading, body.
+    confusable: records that are easily taken for a locked one."""
+    focused = F.coalesce("focused", F.lit(False))
+    factor = scoring.alignment_factor(F.col("name"), focused, F.col("terms")) * F.when(focused & F.coalesce(F.col("bucket").contains("settlement"), F.lit(False)), scoring.SETTLEMENT).otherwise(1.0)
+    factor = factor * scoring.lock_factor(F.col("record"), locked or [])
+    if locked and confusable:
+        factor = factor * F.when(F.col("record").isin(confusable), scoring.CONFUSION).otherwise(1.0)
+    if chunk is not None:
+        factor = factor * scoring.section_prior(F.col("section")) * scoring.intent_factor(F.col("intent"), F.col("section"))
+        factor = factor * scoring.content_factor(F.col("body"), F.concat_ws(" ", "title", "heading"), F.col("section"), focused, chunk)
+    return hits.withColumn("final", F.round(F.greatest(F.col("score") * factor, F.lit(0.0)), 9))
+
+
 def suppress_headers(hits: DataFrame, by: tuple[str, ...] = ("document",)) -> DataFrame:
     """A header up to a quarter above its document's best substantive hit is set just below it."""
     w = Window.partitionBy(*by)
@@ -167,13 +231,7 @@ def levels(queries: DataFrame, documents: DataFrame, sections: DataFrame, chunks
     about = documents.select(F.col("unit").alias("document"), F.col("title").alias("name"), "bucket", "record")
 
     def judged(hits: DataFrame, units: DataFrame, chunk: bool | None) -> DataFrame:
-        rows = hits.join(units, "unit").join(about, "document").join(F.broadcast(asked), "query_id")
-        factor = scoring.alignment_factor(F.col("name"), F.col("focused"), F.col("terms")) * F.when(F.coalesce("focused", F.lit(False)) & F.col("bucket").contains("settlement"), scoring.SETTLEMENT).otherwise(1.0)
-        factor = factor * scoring.lock_factor(F.col("record"), locked or [])
-        if chunk is not None:
-            factor = factor * scoring.section_prior(F.col("section")) * scoring.intent_factor(F.col("intent"), F.col("section"))
-            factor = factor * scoring.content_factor(F.col("body"), F.concat_ws(" ", "title", "heading"), F.col("section"), F.col("focused"), chunk)
-        return rows.withColumn("final", F.round(F.greatest(F.col("score") * factor, F.lit(0.0)), 9))
+        return adjusted(hits.join(units, "unit").join(about, "document").join(asked, "query_id"), chunk, locked)
 
     def best(rows: DataFrame, n: int) -> DataFrame:
         found = ranked(rows.drop("score").withColumnRenamed("final", "score"), n)
