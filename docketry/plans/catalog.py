@@ -78,6 +78,22 @@ def section_jump_flags(spark, d):
     return relational.jumps(table(spark, d, "events"), "user_id", ["event_id"], "event_type").select("event_id", "is_jump")
 
 
+@query("""with c as (select event_id, user_id, ['findings', 'other', 'findings', 'facts', 'table_block', 'header'][event_id * 7 % 6 + 1] as t, event_id // 40 as a, event_id // 40 + event_id % 2 as b, event_id % 200 as n from events),
+x as (select *, lag(t) over w as p, lead(t) over w as q, greatest(lag(b) over w, b, lead(b) over w) - least(lag(a) over w, a, lead(a) over w) as span, lag(b) over w is not null and lead(b) over w is not null as inner_ from c window w as (partition by user_id // 20 order by event_id))
+select event_id, coalesce(inner_ and p = q and p not in ('other', 'table_block') and t <> p and span <= 1 and (t in ('other', 'header') or n < 120), false) as is_jump from x""")
+def weak_section_jumps(spark, d):
+    kinds = F.array(*map(F.lit, ("findings", "other", "findings", "facts", "table_block", "header")))
+    e = F.col("event_id")
+    chunks = table(spark, d, "events").select("event_id", F.floor(F.col("user_id") / 20).alias("document"), F.element_at(kinds, (e * 7 % 6 + 1).cast("int")).alias("section_type"), F.floor(e / 40).alias("page_start"), (F.floor(e / 40) + e % 2).alias("page_end"), (e % 200).alias("token_count"))
+    return relational.section_jumps(chunks, "document", "event_id").select("event_id", "is_jump")
+
+
+@query("""with g as (select source, text, count(*) as n from documents group by all) select source, cast(sum(n - 1) as bigint) as duplicate_events, cast(sum(case when n > 1 then n else 0 end) as bigint) as flagged from g group by source""")
+def duplicate_events(spark, d):
+    rows = table(spark, d, "documents").select("source", F.sha2("text", 256).alias("sha"))
+    return relational.duplicate_events(rows, "source", "sha")
+
+
 @query("select doc_id, count(*) over (partition by sha256(text)) as copies, count(*) over (partition by sha256(text)) > 1 as is_duplicate from documents")
 def duplicate_text_flags(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
@@ -197,9 +213,9 @@ def filtered_documents(spark, d):
     return relational.scope(table(spark, d, "documents"), ids={"source": ["src2", "src1", "src1"], "doc_id": []}, equal={"lang": "en", "source": None}).where("n_chars > 500").select("doc_id", "source", "lang")
 
 
-@query("""select doc_id, trim(regexp_replace(substr(text, 1, 400), '[ \\t\\f\\v]+', ' ', 'g')) as cleaned,
+@query("""select doc_id, trim(regexp_replace(text, '[ \\t\\f\\v]+', ' ', 'g')) as cleaned,
 round(case when length(regexp_replace(text, '[^A-Za-z]', '', 'g')) = 0 then 0 else length(regexp_replace(text, '[^A-Z]', '', 'g')) / length(regexp_replace(text, '[^A-Za-z]', '', 'g')) end, 6) as caps,
-regexp_replace(substr(regexp_replace(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48), '-+$', '') as slug,
+regexp_replace(substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48), '-+$', '') as slug,
 substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 200) as preview from documents""")
 def text_functions(spark, d):
     docs = table(spark, d, "documents")
@@ -252,7 +268,7 @@ def amount_extraction(spark, d):
     return facts.amounts(rows, "id").select("id", "amount_text", "amount", "unit")
 
 
-@query("""select 'Section' as kind, 'Sample Act, 1992' as statute, cast(l_linenumber as varchar) as reference, l_orderkey from lineitem where l_orderkey % 50 = 0 group by all""")
+@query("""select 'Section' as kind, 'Sample Act, 1992' as statute, cast(l_linenumber as varchar) as reference, l_orderkey from lineitem group by all""")
 def legal_provisions(spark, d):
     rows = table(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("Under section "), F.col("l_linenumber").cast("string"), F.lit(" of the Sample Act, 1992 it was held.")).alias("body"))
     return facts.provisions(rows, "l_orderkey", "body").select("kind", "statute", "reference", "l_orderkey")

@@ -32,7 +32,12 @@ def units(spark, d):
 
 _WORDS = "with w as (select doc_id as unit, unnest(string_split(trim(regexp_replace(replace(lower(text), '&', ' and '), '[^a-z0-9]+', ' ', 'g')), ' ')) as term from documents), "
 _LEX = _WORDS + f"""p as (select unit, term, count(*) as weight from w where term in (select distinct unnest(string_split('{QUESTION}', ' '))) group by all),
-lex as (select unit, round(sum(ln(1 + weight)), 6) as score from p group by unit),
+said as (select unit, sum(ln(1 + weight)) as words from p group by unit),
+dw as (select distinct unit, term from w where term <> ''), dg as (select distinct unit, substr('  ' || term || ' ', i, 3) as g from dw, lateral (select unnest(range(1, length(term) + 2)) as i)),
+qw as (select distinct unnest(string_split('{QUESTION}', ' ')) as term), qg as (select distinct substr('  ' || term || ' ', i, 3) as g from qw, lateral (select unnest(range(1, length(term) + 2)) as i)),
+own as (select unit, count(*) as n, count(*) filter (where g in (select g from qg)) as common from dg group by unit),
+alike as (select unit, common / (n + (select count(*) from qg) - common) as similarity from own where common > 0),
+lex as (select coalesce(s.unit, a.unit) as unit, round(0.8::double * coalesce(words, 0) + 0.2::double * coalesce(similarity, 0), 6) as score from said s full join alike a on s.unit = a.unit where words is not null or similarity >= 0.05),
 lr as (select *, row_number() over (order by score desc, unit) as rank from lex)"""
 _VEC = """q as (select embedding as q from embeddings where vec_id = 0),
 vec as (select vec_id as unit, round(list_cosine_similarity(embedding::double[], q::double[]), 6) as score from embeddings, q where embedding is not null),
@@ -91,7 +96,7 @@ def _case(column: str, table: dict) -> str:
 
 _NAMES = "['" + "','".join(scoring.SECTION_PRIORS) + "']"
 _HITS = f"""h as (select doc_id as unit, source as document, source as record, case when lang = 'de' then 'settlement' else 'orders' end as bucket, {_NAMES}[doc_id % 12 + 1] as section, 1.0::double / (60 + n_chars % 100) as score from documents),
-f as (select *, round(greatest(score * {_case('section', scoring.SECTION_PRIORS)}::double * {_case('section', dict(zip(scoring.SECTION_PRIORS, scoring.INTENT_SECTION['substantive'], strict=True)))}::double * case when bucket = 'settlement' then 1.12 else 1.0 end::double * case when record = 'src1' then 1.45 else 0.62 end::double, 0), 9) as final from h)"""
+f as (select *, round(greatest(score * {_case('section', scoring.SECTION_PRIORS)}::double * {_case('section', scoring.INTENT_SECTION['substantive'])}::double * case when bucket = 'settlement' then 1.12 else 1.0 end::double * case when record = 'src1' then 1.45 else 0.62 end::double, 0), 9) as final from h)"""
 
 
 @query(f"with {_HITS} select unit, section, final from f")
@@ -116,18 +121,6 @@ def intent_classifier(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", routing.intent(F.col("text")).alias("intent"), routing.route(F.col("text")).alias("route"))
 
 
-def people(spark, d):
-    titles = F.array(*[F.lit(t) for t in ("Chairman", "Whole Time Member", "Executive Director", "Senior General Manager", "Deputy General Manager", "General Manager", "Regional Director", "Manager", "Clerk")])
-    return table(spark, d, "customer").withColumn("designation", F.element_at(titles, (F.col("c_custkey") % 9 + 1).cast("int")))
-
-
-@query("""with p as (select c_custkey % 9 as k, c_nationkey from customer)
-select ['chairperson', 'whole_time_member', 'executive_director', 'staff', 'deputy_general_manager', 'general_manager', 'regional_director', 'manager', 'staff'][k + 1] as designation_group, count(*) as n, count(distinct c_nationkey) as offices from p group by 1""")
-def designation_counts(spark, d):
-    rows = people(spark, d).withColumn("g", entities.designation_group(F.col("designation")))
-    return rows.groupBy(F.col("g").alias("designation_group")).agg(F.count("*").alias("n"), F.countDistinct("c_nationkey").alias("offices"))
-
-
 @query("""select n_regionkey, arg_max(n_name, (length(n_name), -n_nationkey)) as n_name, list_sort(list(distinct n_name)) as aliases, count(*) as merged_rows from nation group by n_regionkey""")
 def canonical_offices(spark, d):
     rows = table(spark, d, "nation").withColumn("priority", F.lit(1))
@@ -140,13 +133,6 @@ def office_parity(spark, d):
     return entities.parity(table(spark, d, "customer").select(F.col("c_nationkey").alias("k")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")), "k")
 
 
-@query()
-def fuzzy_match(spark, d):
-    nations = table(spark, d, "nation")
-    asked = nations.select(F.col("n_nationkey").alias("query_id"), F.concat(F.substring("n_name", 2, 50), F.lit(" office")).alias("query"))
-    return entities.fuzzy_candidates(asked, nations.select(F.col("n_nationkey").alias("value_id"), F.concat("n_name", F.lit(" Office")).alias("value")))
-
-
 def cases(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id")
     return rows.select("doc_id", F.nullif("lang", F.lit("es")).alias("route"), F.array(F.col("source"), F.lit(""), F.lit(None).cast("string")).alias("tags"), F.col("quality").alias("passed"), F.col("toxic").alias("abstained"), (F.col("n_chars") % 101 / 100).alias("confidence"))
