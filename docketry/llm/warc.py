@@ -1,6 +1,7 @@
 """WARC archives with a two-level capture index.
 
-Each task writes the records of its pages to one archive, a gzip member a record. The index
+Each task writes the records of its pages to archives, a gzip member a record; their names have the task's attempt in them, and
+the captures name the archives of the attempt that was committed. The index
 has a line for each capture, sorted by reversed-host URL key and page: range parts of it hold
 compressed blocks of BLOCK lines and a sparse directory with the first key of each block, and
 a list of the parts' first keys stands over them. A lookup searches that list, then the
@@ -31,11 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import fresh_dir, map_arrow, materialise, open_store, publish
+from docketry.llm.common import fresh_dir, lookup, map_arrow, materialise, open_store, publish, tasks_for
 
 MIN_SHARED, BLOCK = 100, 256
-#: Archives are closed at this size.
-ARCHIVE_BYTES = 256 << 20
+#: Archives are closed at this size; a part of the index is for so many bytes of them, in MOST_PARTS parts at most.
+ARCHIVE_BYTES, PART_BYTES, MOST_PARTS = 256 << 20, 4 << 20, 20_000
+#: The pages of one payload are dealt into so many parts.
+PARTS = 1024
 DATE = "2000-01-01T00:00:00Z"
 _CAPTURES = "url_key string, page_id long, archive string, offset long, length long"
 
@@ -84,20 +87,23 @@ def classify(pages: DataFrame, min_shared: int = MIN_SHARED) -> DataFrame:
     """page_id, url, payload, digest and refers_to (null for responses)."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256)).withColumn("n", F.octet_length("payload"))
-    first = rows.where(F.col("n") >= min_shared).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    large = rows.where(F.col("n") >= min_shared)
+    first = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     refers = F.when(F.col("first") < F.col("page_id"), F.col("first"))
-    return rows.join(first, "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    found = lookup(large, ["digest"], first, ["page_id", "url"], PARTS, "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    # small payloads stay where they are
+    return found.unionByName(rows.where(F.col("n") < min_shared).select("page_id", "url", "payload", "digest", F.lit(None).cast("long").alias("refers_to")))
 
 
 def write_archives(classified: DataFrame, folder: str) -> DataFrame:
     """Writes the archives; returns a row for each capture (url_key, page_id, archive, offset, length)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId(), 0
+        part, number, attempt = TaskContext.get().partitionId(), 0, uuid.uuid4().hex[:12]
         pages = (row for b in batches for row in zip(*(b[c].to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True))
         ahead = next(pages, None)
         while ahead is not None:
-            name, made = f"{part:06d}-{number:04d}.warc.gz", []
+            name, made = f"{part:06d}-{number:04d}-{attempt}.warc.gz", []
 
             def fill(out, name=name, made=made):
                 nonlocal ahead
@@ -122,11 +128,12 @@ def _order(key: str, page: int | None) -> tuple[str, int]:
     return key, -1 if page is None else page
 
 
-def write_index(captures: DataFrame, folder: str, block: int = BLOCK) -> list[tuple[str, int, str]]:
+def write_index(captures: DataFrame, folder: str, block: int = BLOCK, part_bytes: int = PART_BYTES) -> list[tuple[str, int, str]]:
     """Writes the sorted parts; returns (first key, first page, part), in order: the level over the directories."""
+    parts = min(MOST_PARTS, tasks_for(captures.agg(F.sum("length")).first()[0], part_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, top = f"{TaskContext.get().partitionId():06d}.idx", []
+        name, top = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.idx", []
 
         def fill(out):
             at, lines = 0, []
@@ -165,7 +172,7 @@ def write_index(captures: DataFrame, folder: str, block: int = BLOCK) -> list[tu
             yield pa.RecordBatch.from_arrays([pa.array([top[0][0]]), pa.array([top[0][1]], type=pa.int64()), pa.array([name])], names=["k", "p", "part"])
 
     order = [F.col("url_key"), F.coalesce("page_id", F.lit(-1))]
-    dealt = captures.repartitionByRange(*order).sortWithinPartitions(*order, "archive", "offset")
+    dealt = captures.repartitionByRange(parts, *order).sortWithinPartitions(*order, "archive", "offset")
     # a row a part: the driver holds as many as there are partitions
     return sorted((r["k"], r["p"], r["part"]) for r in map_arrow(dealt, run, "k string, p long, part string").collect())
 
@@ -208,7 +215,7 @@ class IndexPart:
 
 
 def read_back(pages: DataFrame, archives: str, index: str, top: list[tuple[str, int, str]]) -> DataFrame:
-    """Looks up each distinct (url, page_id) of pages in the index and reads its records from the archives."""
+    """Looks up each distinct (url, page_id) of pages in the index and reads its records from the archives; as many tasks as the index has parts."""
     firsts, parts = [(k, p) for k, p, _ in top], [x for _, _, x in top]
 
     @F.pandas_udf("struct<key string, part int>")
@@ -219,7 +226,7 @@ def read_back(pages: DataFrame, archives: str, index: str, top: list[tuple[str,
 
     asked = pages.select("url", F.col("page_id").cast("long").alias("page_id")).withColumn("at", find("url", "page_id"))
     asked = asked.select("page_id", F.col("at.key").alias("key"), F.col("at.part").alias("part")).groupBy("part", "key", "page_id").agg(F.count("*").alias("n"))
-    dealt = asked.repartition("part").sortWithinPartitions("part", "key", "page_id")
+    dealt = asked.repartition(max(1, len(parts)), "part").sortWithinPartitions("part", "key", "page_id")
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

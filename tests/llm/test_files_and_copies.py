@@ -1,7 +1,8 @@
 import hashlib
+import math
 
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from docketry.llm import chat, exact_dedup, fingerprints, warc
@@ -17,8 +18,52 @@ def test_trie_against_dict(rows, largest):
     assert {k: (o, n) for k, o, n in trie.items()} == {k: (pick(v), len(v)) for k, v in want.items()}
 
 
-@pytest.mark.parametrize("trie_bytes", [1 << 20, 10])
-def test_exact_dedup(spark, trie_bytes):
+@given(st.lists(st.tuples(st.binary(max_size=5), st.integers(0, 50)), max_size=40), st.integers(0, 39))
+def test_subtrees_are_handed_on_whole(rows, cut):
+    """Some texts, a subtree handed on, the rest: together every text with its best owner and its count."""
+    trie, got, want = exact_dedup.PatriciaTrie(), {}, {}
+
+    def took(items):
+        for key, owner, n in items:
+            best, count = got.get(key, (None, 0))
+            got[key] = (trie.better(best, owner), count + n)
+
+    for k, (key, owner) in enumerate(rows):
+        trie.insert(key, owner)
+        best, count = want.get(key, (None, 0))
+        want[key] = (trie.better(best, owner), count + 1)
+        if k == cut:
+            before = len(list(trie.items()))
+            handed = list(trie.hand_on())
+            assert handed and len(list(trie.items())) + len(handed) == before
+            took(handed)
+    took(trie.items())
+    assert got == want
+
+
+@given(st.lists(st.tuples(st.binary(max_size=5), st.integers(0, 50)), max_size=40))
+def test_sorted_texts_leave_one_path(rows):
+    trie, got, want = exact_dedup.PatriciaTrie(), [], {}
+    for key, owner in sorted(rows):
+        got += trie.pass_by(key)
+        trie.insert(key, owner)
+        assert trie.forks() <= len(key)
+        want.setdefault(key, []).append(owner)
+    got += trie.items()
+    assert got == [(k, max(v), len(v)) for k, v in sorted(want.items())]
+
+
+def test_a_trie_forks_and_hands_on_its_largest_subtree():
+    trie = exact_dedup.PatriciaTrie()
+    for k, key in enumerate((b"the cat sat", b"the cat ran", b"the dog", b"the cat", b"the cat sat down" + b"x" * 500)):
+        trie.insert(key, k)
+    assert trie.forks() == 2
+    assert [k for k, _, _ in trie.hand_on()] == [b"the cat", b"the cat ran", b"the cat sat", b"the cat sat down" + b"x" * 500]
+    assert list(trie.items()) == [(b"the dog", 2, 1)] and trie.forks() == 0
+
+
+@pytest.mark.parametrize(("trie_bytes", "bits"), [(1 << 20, 12), (10, 0), (700, 1)])
+def test_exact_dedup(spark, trie_bytes, bits):
     rows = [(1, "a"), (2, None), (3, ""), (7, "a"), (5, "a "), (7, "a"), (None, "z"), (9, "x" * 200_000), (10, "x" * 200_000), (None, "a")]
     docs = spark.createDataFrame([(i, t, "s", 0) for i, t in rows], "doc_id long, text string, keep_id string, n int").repartition(3)
     got = sorted(map(tuple, exact_dedup.resolve(docs).collect()), key=str)
@@ -31,10 +76,10 @@ def test_exact_dedup(spark, trie_bytes):
         keep = max((x for x in ids if x is not None), default=None)
         want.append((i, keep, len(ids), i == keep, hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want, key=str)
-    owners = {tuple(r) for r in exact_dedup.owners(docs, trie_bytes=trie_bytes).collect()}
+    owners = {tuple(r) for r in exact_dedup.owners(docs, trie_bytes=trie_bytes, bits=bits).collect()}
     assert owners == {(w[4], w[1], w[2]) for w in want}
     stay = exact_dedup.drop_copies(docs)
-    assert stay.columns == docs.columns and sorted(r["doc_id"] or 0 for r in stay.collect()) == [0, 3, 5, 7, 7, 10]
+    assert stay.columns == docs.columns and sorted(r["doc_id"] or 0 for r in stay.collect()) == [0, 3, 5, 7, 10]
     assert exact_dedup.resolve(docs.limit(0)).count() == 0
 
 
@@ -103,6 +148,36 @@ def test_warc_index_spans_blocks(spark, tmp_path):
     top = warc.write_index(captures, f"{tmp_path}/i", block=4)
     assert warc.read_back(pages, f"{tmp_path}/a", f"{tmp_path}/i", top).count() == 309
     assert warc.IndexPart(f"{tmp_path}/i", top[0][2]).lookup("zzz", 1) == []
+    top = warc.write_index(captures, f"{tmp_path}/j", block=4, part_bytes=9000)
+    assert len(top) > 3 and warc.read_back(pages, f"{tmp_path}/a", f"{tmp_path}/j", top).count() == 309
+
+
+def plain_digest(text):
+    """The digest by its description: hashed byte triplets, quartile edges of the sorted counts, the step of the length."""
+    data = text.encode()
+    counts = [0] * 256
+    if len(data) < 3:
+        for x in data:
+            counts[x] += 1
+    for k in range(len(data) - 2):
+        counts[(int.from_bytes(data[k : k + 3], "big") * 0x9E3779B1 & 0xFFFFFFFF) >> 24] += 1
+    edges = [sorted(counts)[k] for k in (63, 127, 191)]
+    marks = [sum(c > e for e in edges) for c in counts]
+    return min(255, round(8 * math.log2(1 + len(data)))), marks
+
+
+@settings(deadline=None)
+@given(st.text(max_size=400), st.text(max_size=400))
+def test_fingerprint_against_its_description(a, b):
+    found = []
+    for text in (a, b):
+        step, marks = plain_digest(text)
+        digest = fingerprints.fingerprint(text)
+        assert int(digest[:2], 16) == step and [int(digest[2 + k // 4 * 2 : 4 + k // 4 * 2], 16) >> k % 4 * 2 & 3 for k in range(256)] == marks
+        found.append((step, marks))
+    (p, x), (q, y) = found
+    cost = sum({0: 0, 1: 1, 2: 2, 3: 6}[abs(i - j)] for i, j in zip(x, y, strict=True)) + max(0, abs(p - q) - 1)
+    assert fingerprints.likeness(fingerprints.fingerprint(a), fingerprints.fingerprint(b)) == 1 - min(cost, fingerprints.BOUND) / fingerprints.BOUND
 
 
 def test_url_key():
