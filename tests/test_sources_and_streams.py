@@ -3,7 +3,8 @@
 import datetime
 import hashlib
 
-from docketry.sources import manifest
+from docketry.operators import matters
+from docketry.sources import artifacts, manifest
 from docketry.streaming import events
 
 HEADER = "record_key,bucket_name,order_date,title,external_record_id,detail_url,pdf_url,local_filename,status,error,first_seen_at,last_seen_at\n"
@@ -57,3 +58,26 @@ def test_a_stream_of_events_is_counted_once(spark, tmp_path):
     assert [tuple(r) for r in events.windowed(table).orderBy("window_start").select("n", "total").collect()] == [(3, 4.5), (2, 3.0)]
     assert [r.n for r in events.sessions(table, "15 minutes").collect()] == [1] * 5 and [r.n for r in events.sessions(table, "30 minutes").collect()] == [5]
     assert events.once(spark.createDataFrame(rows, events.EVENTS)).count() == 5
+
+
+def test_logs_snapshots_and_reports(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "exact_lookup", [3, 4]), (2, "something new", None), (3, None, [])], "session int, route_mode string, cited array<int>")
+    for _ in range(2):
+        artifacts.append_log(rows, str(tmp_path / "log"))
+    got = sorted((r.session, r.route_mode or "", r.router_mode, r.cited or "") for r in spark.read.parquet(str(tmp_path / "log")).collect())
+    assert got == sorted([(1, "exact_lookup", "db_search", "[3,4]"), (2, "something new", "abstain", ""), (3, "", "abstain", "[]")] * 2)
+    artifacts.write_snapshot({"people": rows.select("session"), "log": rows}, str(tmp_path / "snap"))
+    artifacts.write_snapshot({"people": rows.select("session").limit(1)}, str(tmp_path / "snap"))
+    assert spark.read.json(str(tmp_path / "snap" / "people")).count() == 1 and spark.read.json(str(tmp_path / "snap" / "log")).count() == 3
+    chunks = spark.createDataFrame([("a", 1, ["tiny", "dup"], "x"), ("a", 2, ["dup"], "y"), ("a", 3, [], "z"), ("b", 1, [], "w")], "document string, place int, flags array<string>, preview string")
+    artifacts.write_report(chunks, str(tmp_path / "report"), "all", only_flagged=True)
+    found = {r.document: r for r in spark.read.json(str(tmp_path / "report")).collect()}
+    assert found["a"].chunk_count == 3 and found["a"].flags.asDict() == {"dup": 2, "tiny": 1} and [c.place for c in found["a"].chunks] == [1, 2] and found["b"].chunks is None and found["b"]["scope"] == "all"
+
+
+def test_scopes_under_locks():
+    scope = {"record_key": "r", "bucket_name": "b", "document_ids": [9], "section_keys": ["s"], "section_types": ["t"]}
+    assert matters.locked_scope(scope, None) == scope == matters.locked_scope(scope, {"single": True, "record_keys": []})
+    assert matters.locked_scope(scope, {"single": True, "record_keys": ["x", "y"]}) == {"record_key": "x", "bucket_name": "b", "document_ids": [], "section_keys": [], "section_types": ["t"]}
+    assert matters.locked_scope(scope, {"comparison": True, "document_ids": [4, 4, 5, 6]}) == {"record_key": None, "bucket_name": "b", "document_ids": [4, 5], "section_keys": [], "section_types": ["t"]}
+    assert matters.locked_scope(scope, {"comparison": True, "document_ids": [4]}) == scope
