@@ -12,8 +12,8 @@ def newlines(c: Column) -> Column:
 
 
 def inline_whitespace(c: Column) -> Column:
-    """Runs of blanks and tabs become one blank, line ends stay; trimmed."""
-    return F.trim(F.regexp_replace(c, r"[ \t\f\x0B]+", " "))
+    """Runs of blanks and tabs become one blank, line ends stay; trimmed. Single blanks are no match: a long text is copied once."""
+    return F.trim(F.regexp_replace(c, r"[\t\f\x0B][ \t\f\x0B]*+| [ \t\f\x0B]++", " "))
 
 
 def whitespace_or_null(c: Column) -> Column:
@@ -22,8 +22,8 @@ def whitespace_or_null(c: Column) -> Column:
 
 def uppercase_ratio(c: Column) -> Column:
     """Upper-case letters among letters a to z of either case; 0 without letters."""
-    letters = F.length(F.regexp_replace(c, "[^A-Za-z]", ""))
-    return F.when(letters == 0, F.lit(0.0)).otherwise(F.length(F.regexp_replace(c, "[^A-Z]", "")) / letters)
+    letters = F.length(F.regexp_replace(c, "[^A-Za-z]++", ""))
+    return F.when(letters == 0, F.lit(0.0)).otherwise(F.length(F.regexp_replace(c, "[^A-Z]++", "")) / letters)
 
 
 def lookup_key(c: Column) -> Column:
@@ -32,8 +32,11 @@ def lookup_key(c: Column) -> Column:
 
 
 def slug(c: Column, most: int) -> Column:
-    cut = F.substring(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, most)
-    return F.regexp_replace(cut, "-+$", "")
+    """At most ``most`` characters of letters and digits, with - for what is between. As each run of them gives a character and a -,
+    the first ``most`` runs of the text, wherever they are, hold all of the slug."""
+    runs = F.regexp_extract(F.lower(c), f"^[^a-z0-9]*+((?:[a-z0-9]++[^a-z0-9]*+){{0,{most}}}+)", 1)
+    cut = F.substring(F.regexp_replace(runs, "[^a-z0-9]++", "-"), 1, most)
+    return F.regexp_replace(cut, "-$", "")
 
 
 def heading_path(parts: Column) -> Column:
@@ -146,7 +149,9 @@ def strip_citations(c: Column) -> Column:
 
 
 def preview(c: Column, most: int = 200) -> Column:
-    return F.substring(F.trim(F.regexp_replace(c, r"\s+", " ")), 1, most)
+    """The first ``most`` characters, white space as single blanks; they are among the first ``most`` words."""
+    words = F.regexp_extract(c, rf"^\s*+((?:\S++\s*+){{0,{most}}}+)", 1)
+    return F.substring(F.trim(F.regexp_replace(words, r"\s++", " ")), 1, most)
 
 
 def person_name(c: Column) -> Column:
