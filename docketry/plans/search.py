@@ -61,6 +61,32 @@ def hybrid_search(spark, d):
     return search.hybrid(questions(spark, d), index(spark, d), grams(spark, d), units(spark, d), 10)
 
 
+TYPES = list(scoring.SECTION_PRIORS)
+
+
+def hierarchy(spark, d):
+    """Documents, their lines as sections and the lines' sentences as chunks, each with a stored vector."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("v"), "embedding")
+    with_vector = lambda rows, key: rows.withColumn("v", key % 500).join(vectors, "v", "left").drop("v")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("unit"), F.concat_ws(" ", "source", "lang").alias("title"), F.col("text").alias("body"), F.when(F.col("lang") == "de", "settlement").otherwise("orders").alias("bucket"), F.col("source").alias("record"))
+    parts = docs.select(F.col("unit").alias("document"), "title", F.posexplode(F.split("body", "\n")).alias("n", "body")).where("trim(body) <> ''")
+    kind = F.element_at(F.array(*map(F.lit, TYPES)), (F.col("n") % len(TYPES) + 1).cast("int"))
+    parts = parts.select((F.col("document") * 10000 + F.col("n")).alias("unit"), "document", F.concat(F.lit("s"), F.col("n") % 3).alias("section_key"), kind.alias("section"), F.lit("part of").alias("title"), F.lit("").alias("heading"), "body")
+    said = parts.select(F.col("unit").alias("part"), "document", "section_key", "section", "title", "heading", F.posexplode(text.sentences(F.col("body"))).alias("k", "body"))
+    said = said.select((F.col("part") * 1000 + F.col("k")).alias("unit"), "document", "section_key", "section", "title", "heading", "body")
+    return with_vector(docs, F.col("unit")), with_vector(parts, F.col("unit")), with_vector(said, F.col("unit"))
+
+
+def asked(spark, d):
+    return questions(spark, d).withColumns({"intent": F.lit("substantive"), "focused": F.lit(False), "terms": F.array().cast("array<string>")})
+
+
+@query()
+def hierarchical_search(spark, d):
+    """The best chunks of the best sections of the best documents, each with its parents' score carried on."""
+    return search.levels(asked(spark, d), *hierarchy(spark, d), (5, 8, 10))[2]
+
+
 _TITLE = "regexp_replace(regexp_replace(replace(lower({c}), '&', ' and '), '[^a-z0-9]+', ' ', 'g'), '^ +| +$', '', 'g')"
 _TRI = "list_distinct(flatten(list_transform(list_filter(string_split({t}, ' '), lambda x: x <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 
