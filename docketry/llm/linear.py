@@ -1,7 +1,7 @@
 """Logistic regression on hashed sparse features, by follow-the-regularised-leader updates.
 
 Training uses a bounded sample: the MAX_TRAIN labelled documents with the smallest hash of
-their id. Their features, not their texts, come to the driver; the weights, of fixed size,
+their id, and where an id has several texts the one with the smallest hash. Their features, not their texts, come to the driver; the weights, of fixed size,
 go back to every task.
 """
 
@@ -77,7 +77,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, features: Features, may_
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
     # max_train rows of two numbers
     sample = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    chosen = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
+    chosen = texts.join(F.broadcast(sample), "doc_id")
+    # one text an id: the first by hash; each task hands on one of its own
+    chosen = chosen.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "label", "t.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,11 +89,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, features: Features, may_
             cols = [pa.array([x.tobytes() for x in np.split(a.astype(k), cut)], type=pa.binary()) for a, k in ((at, "<i4"), (value, "<f4"))]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], *cols], names=["doc_id", "label", "at", "value"])
 
-    rows = map_arrow(chosen, run, "doc_id long, label int, at binary, value binary", text="text").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    if len({r["label"] for r in rows}) < 2:
+    found = map_arrow(chosen, run, "doc_id long, label int, at binary, value binary", text="text")
+    # one partition at a time, each row as two arrays
+    rows = sorted(((r["doc_id"], r["label"], np.frombuffer(r["at"], dtype="<i4"), np.frombuffer(r["value"], dtype="<f4")) for r in found.toLocalIterator()), key=lambda r: r[0])
+    if len({r[1] for r in rows}) < 2:
         return None
-    return train([(r["label"], np.frombuffer(r["at"], dtype="<i4"), np.frombuffer(r["value"], dtype="<f4")) for r in rows])
+    return train([r[1:] for r in rows])
 
 
 def score(docs: DataFrame, model: Model | None, features: Features, untrained: float) -> DataFrame:

@@ -4,7 +4,7 @@ Words are runs of letters, of numbers and of marks; features are single words an
 common feature for a word that stands twice in a row. A document's score is the probability of label 1.
 
 Defined results: a null text is empty and is scored by the bias alone; labels other than 0 and 1 and
-unknown ids are ignored, of several labels of an id the largest counts; without two kinds of labels
+unknown ids are ignored, of several labels of an id the largest counts, of several texts the one with the smallest hash is learnt from; without two kinds of labels
 every score is 1; repeated rows are scored each for itself; an empty table gives no rows; labels,
 lang, source and doc_id are no features, and other columns are ignored.
 """

@@ -10,7 +10,7 @@ words lose repeated letters, so that a word and its stretched form agree. Time g
 a text, whether it has blanks or not.
 
 Defined results: of equally likely readings the one found first stays, letters in the order of LOOKS and nothing last; a null text is empty and is scored by the bias alone; labels other than 0 and 1 and
-unknown ids are ignored, of several labels of an id the largest counts; without two kinds of labels
+unknown ids are ignored, of several labels of an id the largest counts, of several texts the one with the smallest hash is learnt from; without two kinds of labels
 every score is 0; repeated rows are scored each for itself; an empty table gives no rows; labels,
 lang, source and doc_id are no features, and other columns are ignored.
 """

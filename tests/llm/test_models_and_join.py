@@ -85,6 +85,18 @@ def test_edges_of_the_classifiers(spark, module, keeps, label, default):
     assert module.score(more, both).count() == 35
 
 
+def test_one_text_of_a_repeated_id_is_learnt_from(spark):
+    rows = [(i, "bad bad thing" if i % 2 else "fine day") for i in range(40)] + [(1, f"other text {k}") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    one, two = ({(r.doc_id, r.text): 0 for r in docs.collect()} for _ in range(2))
+    for part, found in ((1, one), (7, two)):
+        scored = quality.score(docs.repartition(part), labels).collect()
+        assert len(scored) == 70
+        found.update({("scores", k): x for k, x in enumerate(sorted((r.doc_id, round(r.score, 9)) for r in scored))})
+    assert one == two
+
+
 def test_training_separates_and_is_bounded(spark):
     rng = np.random.default_rng(1)
     examples = [(i % 2, np.unique(np.append(rng.integers(10, 1000, 20), i % 2)), np.ones(0)) for i in range(400)]
