@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docketry.llm import exact_dedup, ngram_join, packing, quality, toxicity
-from docketry.llm.common import materialise
+from docketry.llm.common import discard, mark, materialise
 from docketry.llm.queries import table, tokenizer_file
 from docketry.session import ship
 
@@ -42,8 +42,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage keeps is written and read again by the next."""
+    """All stages over documents; what a stage keeps is written and read again by the next, and removed with the stage's own tables when that is written."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), "stage")
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        since = mark()
+        kept = materialise(stage(spark, docs, sf_dir), "stage")
+        discard(spark, *([docs] if k else []), since=since, but=kept)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
