@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +25,8 @@ def bucket_of(key: Column, lows: list[int]) -> Column:
     """The bucket from 0 up; null keys are in bucket 0."""
     at = np.array(lows, dtype=np.int64)
 
-    @F.pandas_udf("int")
-    def find(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(at, k.fillna(-(2**62)).astype("int64"), side="right").astype("int32"))
+    @F.arrow_udf("int")
+    def find(k: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(at, k.fill_null(-(2**62)).to_numpy(zero_copy_only=False), side="right").astype("int32"))
 
     return find(key.cast("long")) if lows else F.lit(0)

@@ -26,7 +26,6 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from urllib.parse import quote, urlsplit
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -218,11 +217,11 @@ def read_back(pages: DataFrame, archives: str, index: str, top: list[tuple[str,
     """Looks up each distinct (url, page_id) of pages in the index and reads its records from the archives; as many tasks as the index has parts."""
     firsts, parts = [(k, p) for k, p, _ in top], [x for _, _, x in top]
 
-    @F.pandas_udf("struct<key string, part int>")
-    def find(url: pd.Series, page: pd.Series) -> pd.DataFrame:
-        keys = [url_key(u) for u in url]
-        at = [max(0, bisect_right(firsts, _order(k, None if pd.isna(p) else int(p))) - 1) for k, p in zip(keys, page, strict=True)]
-        return pd.DataFrame({"key": keys, "part": at})
+    @F.arrow_udf("struct<key string, part int>")
+    def find(url: pa.Array, page: pa.Array) -> pa.Array:
+        keys = [url_key(u) for u in url.to_pylist()]
+        at = [max(0, bisect_right(firsts, _order(k, p)) - 1) for k, p in zip(keys, page.to_pylist(), strict=True)]
+        return pa.StructArray.from_arrays([pa.array(keys, type=pa.string()), pa.array(at, type=pa.int32())], names=["key", "part"])
 
     asked = pages.select("url", F.col("page_id").cast("long").alias("page_id")).withColumn("at", find("url", "page_id"))
     asked = asked.select("page_id", F.col("at.key").alias("key"), F.col("at.part").alias("part")).groupBy("part", "key", "page_id").agg(F.count("*").alias("n"))
