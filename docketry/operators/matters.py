@@ -176,3 +176,40 @@ def triage_counts(results: DataFrame) -> DataFrame:
     """Failed and stale results by triage bucket."""
     rows = results.where(~is_set("passed") | is_set("stale_expectation"))
     return rows.groupBy(F.coalesce(F.nullif("triage_bucket", F.lit("")), F.lit("unclassified")).alias("triage_bucket")).agg(F.count("*").alias("n"))
+
+
+def annotated(cases: DataFrame, index: DataFrame, dump: DataFrame) -> DataFrame:
+    """Cases with what the document index has on their first expected key and what a failure dump has on their query. cases: query, expected_keys;
+    index: record_key, …; dump: query, …; the index has a key once, and of a query's dumped rows the first by bucket counts."""
+    key = F.get(items("expected_keys"), F.lit(0))
+    first = dump.groupBy(F.lower(F.trim("query")).alias("__q")).agg(F.min("bucket").alias("dumped_bucket"))
+    rows = cases.withColumns({"record_key": key, "__q": F.lower(F.trim("query"))})
+    return rows.join(index, "record_key", "left").join(first, "__q", "left").drop("__q")
+
+
+def current_rows(documents: DataFrame, versions: DataFrame, nodes: DataFrame, document_id: str, version_id: str) -> DataFrame:
+    """Every document with its current version (current_id) and that version's node, where there are any."""
+    return documents.join(versions, F.col("current_id") == versions[version_id], "left").join(nodes.withColumnRenamed(version_id, "__v"), F.col("__v") == F.col(version_id), "left").drop("__v")
+
+
+def alias_rows(titles: DataFrame) -> DataFrame:
+    """entity, its variants and the keys and titles of the records that name it, sorted. titles: record_key, title, entities (array), variants (array)."""
+    rows = titles.select("record_key", "title", "variants", F.explode("entities").alias("entity")).where("trim(entity) <> ''")
+    sets = rows.groupBy("entity").agg(F.array_sort(F.collect_set("record_key")).alias("record_keys"), F.array_sort(F.collect_set("title")).alias("titles"))
+    variants = rows.select("entity", F.explode_outer("variants").alias("v")).where("v is not null").groupBy("entity").agg(F.array_sort(F.collect_set("v")).alias("variants"))
+    return sets.join(variants, "entity", "left").withColumn("variants", F.coalesce("variants", F.array().cast("array<string>")))
+
+
+def same_city(offices: DataFrame, city: Column) -> DataFrame:
+    asked = text.lookup_key(F.coalesce(city, F.lit("")))
+    return offices.where((asked != "") & (text.lookup_key(F.coalesce("city", F.lit(""))) == asked))
+
+
+def memory_scope(states: DataFrame, versions: DataFrame) -> DataFrame:
+    """session_id and version: what a session's state names, or else the current versions of its records and documents. states: session_id,
+    version_ids, record_keys, document_ids (arrays); versions: version, record_key, document_id, current."""
+    named = states.select("session_id", F.explode("version_ids").alias("version"))
+    rest = states.where(F.size(F.coalesce("version_ids", F.array().cast("array<long>"))) == 0)
+    now = versions.where("current")
+    by = lambda array, key: rest.select("session_id", F.explode(array).alias(key)).join(now, key).select("session_id", "version")
+    return named.unionByName(by("record_keys", "record_key")).unionByName(by("document_ids", "document_id")).distinct()

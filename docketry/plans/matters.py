@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docketry.operators import matters
+from docketry.operators import matters, numbers
 from docketry.plans.catalog import query
 from docketry.plans.evaluations import _CASES, _FAILED, judged, run_cases
 from docketry.plans.people import _STAFF, staff
@@ -125,7 +125,7 @@ def best_of_variants(spark, d):
 @query(f"""with {_CASES}, x as (select *, case when case_id % 13 = 0 then '' else 'c' || case_id end as name, coalesce(allowed_routes, []) as ar, coalesce(expected_keys, []) as ek, case when case_id % 4 = 0 then 'redteam' else issue_class end as class from c)
 select case_id, array_to_string(list_filter([case when name = '' then 'case_id is required' end, case when query is null then name || ': query is required' end, case when must_abstain is true and must_clarify is true then name || ': cannot require both abstain and clarify' end,
  case when must_use_official_web is true and must_not_use_web is true then name || ': cannot require and forbid web usage' end, case when route_expected is not null and len(ar) > 0 and not list_contains(ar, route_expected) then name || ': route_expected must be one of the allowed routes' end,
- case when case_id % 3 = 0 and not (must_clarify is true and len(ek) > 0 and class = 'redteam') then name || ': fact without a type' end, case when case_id % 3 = 0 and not (must_clarify is true and len(ek) > 0 and class = 'redteam') then name || ': fact without a value' end], lambda e: e is not null), '; ') as errors from x""")
+ case when case_id % 3 = 0 and not (must_clarify is true and len(ek) > 0 and class is not distinct from 'redteam') then name || ': fact without a type' end, case when case_id % 3 = 0 and not (must_clarify is true and len(ek) > 0 and class is not distinct from 'redteam') then name || ': fact without a value' end], lambda e: e is not null), '; ') as errors from x""")
 def case_errors(spark, d):
     rows = run_cases(spark, d).withColumn("n", F.col("case_id"))
     fact = lambda kind, number, said: F.struct(F.lit(kind).alias("type"), F.lit(number).cast("double").alias("number"), F.lit(said).cast("string").alias("said"))
@@ -155,3 +155,112 @@ def control_summary(spark, d):
 def triage_counts(spark, d):
     rows = judged(spark, d).withColumn("triage_bucket", F.when(F.col("case_id") % 9 != 0, F.col("primary_failure_bucket")).when(F.col("case_id") % 2 == 0, ""))
     return matters.triage_counts(rows)
+
+
+_DAYS = "strftime(o_orderdate, '%B ') || cast(strftime(o_orderdate, '%d') as int) || strftime(o_orderdate, ', %Y')"
+
+
+def priced_pages(spark, d):
+    """Pages and chunks that state an order's numbers in the forms that matters use."""
+    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "MMMM d, yyyy")
+    n = lambda by: (F.floor(F.col("o_totalprice") / by)).cast("string")
+    head = F.concat(F.lit("Post listing on "), day, F.lit(" at the price of Rs."), n(100), F.lit("/share the scrip  was\nactive. It increased by "), (k % 50).cast("string"), F.lit(".5% during the period "), day, F.lit(" to March 3, 2021 and closed at Rs. "), n(10), F.lit(". "))
+    more = F.concat(F.lit("The highest price of Rs."), n(1), F.when(k % 2 == 0, F.concat(F.lit(", which is "), k % 300, F.lit("% of the listing price,"))).otherwise(""), F.lit(" on "), day, F.lit(". A low price of Rs. "), n(1000), F.when(k % 3 == 0, F.concat(F.lit(" on "), day)).otherwise(""), F.lit(" was seen.\nNo. Name PAN\n"), k % 9, F.lit(" Person "), k % 7, F.lit(" - abcde1234f rest\nABCDE1234F alone"))
+    rows = table(spark, d, "orders").select(k.alias("doc"), F.concat(F.lit("Final order in the matter of Co "), k % 5, F.lit(" (X) ")).alias("title"), F.lit(1).alias("page"), F.concat(head, more).alias("body"))
+    chunk = F.concat(F.lit("The settlement amount is Rs. "), n(1), F.lit(" in all. A penalty of "), k % 90, F.lit(" lakh and fees of INR "), n(10), F.lit(" were paid. Its shareholding was "), n(1), F.lit(" shares or "), k % 100, F.lit("%."))
+    chunks = table(spark, d, "orders").select(k.alias("doc"), F.concat(F.lit("Co "), k % 5).alias("title"), F.lit(2).alias("page_start"), F.lit(3).alias("page_end"), chunk.alias("body"))
+    moves = table(spark, d, "orders").where(k % 2 == 1).select(k.alias("doc"), F.lit("S").alias("subject"), F.lit("P1").alias("label"), F.when(k % 3 == 0, "a").alias("from_text"), F.lit("b").alias("to_text"), (k % 100 / 2).alias("start_price"), (k % 10).cast("double").alias("end_price"), F.when(k % 5 == 0, 7.25).alias("high_price"), F.lit(None).cast("double").alias("low_price"), F.lit(-1.5).alias("change"), F.lit(4).alias("page_start"), F.lit(4).alias("page_end"))
+    return rows, chunks, moves
+
+
+#: As a number may have commas, the one that follows the highest price stays in its text, not in its value.
+@query(f"""with o as (select o_orderkey as doc, {_DAYS} as day, cast(floor(o_totalprice) as bigint) as a, cast(floor(o_totalprice / 10) as bigint) as b, cast(floor(o_totalprice / 100) as bigint) as c, cast(floor(o_totalprice / 1000) as bigint) as e, 'Co ' || o_orderkey % 5 as s from orders),
+f as (select doc, 'listing_price' as fact_type, s as subject, 'Rs.' || c || '/share' as value_text, c::double as value, 'INR/share' as unit, 'listed on ' || day as context, 1 as page_start, 1 as page_end from o
+union all select doc, 'percentage_change', s, doc % 50 || '.5%', doc % 50 + 0.5, 'percent', day || ' to March 3, 2021', 1, 1 from o
+union all select doc, 'closing_price', s, 'Rs.' || b, b, 'INR', 'on March 3, 2021', 1, 1 from o
+union all select doc, 'highest_price', s, 'Rs.' || a || case when doc % 2 = 0 then ',' else '' end, a, 'INR', 'on ' || day, 1, 1 from o
+union all select doc, 'percentage_change_from_listing', s, doc % 300 || '%', doc % 300, 'percent', 'highest price on ' || day, 1, 1 from o where doc % 2 = 0
+union all select doc, 'lowest_price', s, 'Rs.' || e, e, 'INR', case when doc % 3 = 0 then 'on ' || day end, 1, 1 from o
+union all select doc, 'pan', 'Person ' || doc % 7, 'ABCDE1234F', null, 'PAN', null, 1, 1 from o
+union all select doc, 'settlement_amount', s, 'Rs. ' || a, a, 'INR', 'The settlement amount is Rs. ' || a || ' in all', 2, 3 from o
+union all select doc, 'penalty_amount', s, doc % 90 || ' lakh', doc % 90 * 100000.0, 'INR_lakh', 'A penalty of ' || doc % 90 || ' lakh and fees of INR ' || b || ' were paid', 2, 3 from o
+union all select doc, 'penalty_amount', s, 'INR ' || b, b, 'INR', 'A penalty of ' || doc % 90 || ' lakh and fees of INR ' || b || ' were paid', 2, 3 from o
+union all select doc, 'fee_amount', s, doc % 90 || ' lakh', doc % 90 * 100000.0, 'INR_lakh', 'A penalty of ' || doc % 90 || ' lakh and fees of INR ' || b || ' were paid', 2, 3 from o
+union all select doc, 'fee_amount', s, 'INR ' || b, b, 'INR', 'A penalty of ' || doc % 90 || ' lakh and fees of INR ' || b || ' were paid', 2, 3 from o
+union all select doc, 'share_count', s, a || ' shares', a, 'shares', 'Its shareholding was ' || a || ' shares or ' || doc % 100 || '%', 2, 3 from o
+union all select doc, 'holding_percentage', s, doc % 100 || '%', doc % 100, 'percent', 'Its shareholding was ' || a || ' shares or ' || doc % 100 || '%', 2, 3 from o
+union all select doc, 'period_start_price', 'S', 'Rs.' || regexp_replace(cast(doc % 100 / 2 as varchar), '\\.0$', ''), doc % 100 / 2, 'INR', 'P1' || case when doc % 3 = 0 then ' | a to b' else '' end, 4, 4 from o where doc % 2 = 1
+union all select doc, 'period_high_price', 'S', 'Rs.7.25', 7.25, 'INR', 'P1' || case when doc % 3 = 0 then ' | a to b' else '' end, 4, 4 from o where doc % 2 = 1 and doc % 5 = 0
+union all select doc, 'period_end_price', 'S', 'Rs.' || doc % 10, doc % 10, 'INR', 'P1' || case when doc % 3 = 0 then ' | a to b' else '' end, 4, 4 from o where doc % 2 = 1
+union all select doc, 'period_pct_change', 'S', '-1.5%', -1.5, 'percent', 'P1' || case when doc % 3 = 0 then ' | a to b' else '' end, 4, 4 from o where doc % 2 = 1)
+select * from f""")
+def numeric_facts(spark, d):
+    return numbers.numeric_facts(*priced_pages(spark, d))
+
+
+@query("""with f as (select o_orderkey as place, o_custkey % 30 as query_id, o_custkey % 4 as record, ['listing_price', 'closing_price', 'percentage_change', 'highest_price', 'percentage_change_from_listing', 'pan'][o_orderkey % 6 + 1] as fact_type,
+ case when o_orderkey % 11 = 0 then null else 'v' || o_orderkey % 100 end as value_text, case when o_orderkey % 7 = 0 then null when o_orderkey % 3 = 0 then 'on May 1' else 'May' end as context from orders where o_custkey % 4 <> 3 or o_orderkey % 6 < 2),
+s as (select query_id, record, sum(case when fact_type in ('listing_price', 'closing_price', 'percentage_change', 'highest_price') then 2 else 1 end) as p from f group by all), b as (select query_id, record from (select *, row_number() over (partition by query_id order by p desc, record) as rn from s) where rn = 1),
+x as (select query_id, record, fact_type, arg_min(coalesce(value_text, 'the cited figure'), place) as said, arg_min(coalesce(context, ''), place) as context from f join b using (query_id, record) group by all),
+p as (select query_id, record, max(said) filter (where fact_type = 'listing_price') as l, max(context) filter (where fact_type = 'listing_price') as lc, max(said) filter (where fact_type = 'closing_price') as c, max(context) filter (where fact_type = 'closing_price') as cc,
+ max(said) filter (where fact_type = 'percentage_change') as d, max(said) filter (where fact_type = 'highest_price') as h, max(context) filter (where fact_type = 'highest_price') as hc, max(said) filter (where fact_type = 'percentage_change_from_listing') as k from x group by all),
+t as (select *, case when lc <> '' then ' ' || lc else '' end as lt, case when hc <> '' then ' ' || hc else '' end as ht, case when cc = '' then '' when starts_with(cc, 'on ') then ' ' || cc else ' for ' || cc end as ct, case when k is not null then ', which was ' || k || ' of the listing price' else '' end as kt from p)
+select query_id, record, case when l is not null and d is not null then 'The share price increased by ' || d || case when c is not null then ', from ' || l || lt || ' to ' || c || ct else '' end || '.' || case when h is not null then ' It also reached a high of ' || h || ht || kt || '.' else '' end end as increase,
+ case when h is not null then 'The highest price recorded in this matter was ' || h || ht || kt || '.' end as highest, case when l is not null then 'The listing price recorded in this matter was ' || l || lt || '.' end as listing from t""")
+def price_answers(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    kinds = F.array(*map(F.lit, ("listing_price", "closing_price", "percentage_change", "highest_price", "percentage_change_from_listing", "pan")))
+    rows = table(spark, d, "orders").where((c % 4 != 3) | (k % 6 < 2)).select(
+        k.alias("at"), (c % 30).alias("query_id"), (c % 4).alias("record"), F.element_at(kinds, (k % 6 + 1).cast("int")).alias("fact_type"), F.when(k % 11 != 0, F.concat(F.lit("v"), k % 100)).alias("value_text"),
+        F.lit(None).cast("double").alias("value"), F.when(k % 7 == 0, None).when(k % 3 == 0, "on May 1").otherwise("May").alias("context"))
+    return numbers.price_answers(rows)
+
+
+@query("""with m as (select s_nationkey as query_id, s_suppkey % 3 as record, 'Period ' || s_suppkey as label, case when s_suppkey % 2 = 0 then 'a' end as f, s_suppkey % 40 / 2 as s, s_suppkey % 5 as h, s_suppkey % 7 - 3 as c, s_suppkey as k from supplier),
+b as (select query_id, record from (select *, row_number() over (partition by query_id order by n desc, record) as rn from (select query_id, record, count(*) as n from m group by all)) where rn = 1),
+t as (select m.*, label || case when f is not null then ' (a to b)' else '' end || ' : start Rs.' || regexp_replace(cast(s as varchar), '\\.0$', '') || case when k % 3 = 0 then ', high Rs.' || h else '' end || ', end Rs.8.25, ' || case when c > 0 then '+' else '' end || c || '%' as line from m join b using (query_id, record))
+select query_id, record, string_agg(line, ' ' order by k) as answer from t group by all""")
+def period_answers(spark, d):
+    k = F.col("s_suppkey")
+    rows = table(spark, d, "supplier").select(
+        F.col("s_nationkey").alias("query_id"), (k % 3).alias("record"), F.concat(F.lit("Period "), k).alias("label"), F.when(k % 2 == 0, "a").alias("from_text"), F.lit("b").alias("to_text"), (k % 40 / 2).alias("start_price"),
+        F.when(k % 3 == 0, (k % 5).cast("double")).alias("high_price"), F.lit(None).cast("double").alias("low_price"), F.lit(8.25).alias("end_price"), (k % 7 - 3).cast("double").alias("change"))
+    return numbers.period_answers(rows)
+
+
+@query(f"""with {_CASES}, x as (select case_id, lower(trim(query)) as q, coalesce(expected_keys, [])[1] as record_key from c), i as (select 'a' as record_key, 'Alpha' as title), d as (select * from (values ('income of y', 'numeric'), ('tell me more', 'follow up')) t(q, dumped_bucket))
+select case_id, record_key, title, dumped_bucket from x left join i using (record_key) left join d using (q)""")
+def annotated_cases(spark, d):
+    index = spark.createDataFrame([("a", "Alpha")], "record_key string, title string")
+    dump = spark.createDataFrame([("Income of Y", "wrong route"), (" income of y ", "numeric"), ("Tell me more", "follow up")], "query string, bucket string")
+    return matters.annotated(run_cases(spark, d), index, dump).select("case_id", "record_key", "title", "dumped_bucket")
+
+
+@query("""select c_custkey, v.o_orderkey as version, n.l_linenumber as node from customer left join orders v on c_custkey * 4 = v.o_orderkey left join (select l_orderkey, max(l_linenumber) as l_linenumber from lineitem group by 1) n on n.l_orderkey = v.o_orderkey""")
+def current_versions(spark, d):
+    documents = table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") * 4).alias("current_id"))
+    versions = table(spark, d, "orders").select(F.col("o_orderkey").alias("version"))
+    nodes = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("version")).agg(F.max("l_linenumber").alias("node"))
+    return matters.current_rows(documents, versions, nodes, "c_custkey", "version").select("c_custkey", "version", "node")
+
+
+@query("""with t as (select p_partkey as k, p_name as title, unnest([p_brand, p_type]) as entity, p_size from part)
+select entity, string_agg(distinct k, ',' order by k) as keys, count(distinct title) as titles, coalesce(string_agg(distinct p_size, ',' order by p_size) filter (where p_size % 3 = 0), '') as variants from t group by entity""")
+def entity_aliases(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("record_key"), F.col("p_name").alias("title"), F.array("p_brand", "p_type").alias("entities"), F.when(F.col("p_size") % 3 == 0, F.array("p_size")).alias("variants"))
+    join = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return matters.alias_rows(rows).select("entity", join("record_keys").alias("keys"), F.size("titles").cast("long").alias("titles"), join("variants").alias("variants"))
+
+
+@query("select n_nationkey from nation where n_name = 'NATION_7'")
+def offices_of_city(spark, d):
+    return matters.same_city(table(spark, d, "nation").withColumn("city", F.col("n_name")), F.lit(" Nation 7. ")).select("n_nationkey")
+
+
+@query("""with v as (select o_orderkey as version, o_custkey % 50 as record_key, o_custkey as document_id from orders where o_orderstatus = 'F'), s as (select s_suppkey as session_id, s_suppkey % 3 as k from supplier)
+select session_id, session_id * 10 as version from s where k = 0 union select session_id, version from s join v on record_key = session_id % 50 where k = 1 union select session_id, version from s join v on document_id = session_id where k = 2""")
+def memory_scopes(spark, d):
+    s = F.col("s_suppkey")
+    states = table(spark, d, "supplier").select(s.alias("session_id"), F.when(s % 3 == 0, F.array(s * 10)).alias("version_ids"), F.when(s % 3 < 2, F.array(s % 50)).alias("record_keys"), F.when(s % 3 != 1, F.array(s)).alias("document_ids"))
+    versions = table(spark, d, "orders").select(F.col("o_orderkey").alias("version"), (F.col("o_custkey") % 50).alias("record_key"), F.col("o_custkey").alias("document_id"), (F.col("o_orderstatus") == "F").alias("current"))
+    return matters.memory_scope(states, versions)
