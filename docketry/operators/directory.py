@@ -27,10 +27,12 @@ def office_keys(offices: DataFrame, office: str, name: str, key: str | None = No
 
 
 def office_scores(hints: DataFrame, keys: DataFrame, hint_id: str, hint: str, least: int = 60) -> DataFrame:
-    """hint_id, office and score of at least the threshold. Every substring of a hint is looked up, so the join is one on equality."""
+    """hint_id, office and score of at least the threshold. The substrings of a hint that are as long as some key are looked up, so the
+    join is one on equality, and a hint gives rows in proportion to its length."""
+    # one number for each length that keys have
+    lengths = F.array(*[F.lit(r["n"]) for r in keys.select(F.length("term").alias("n")).distinct().collect()]).cast("array<int>")
     h = hints.select(hint_id, text.lookup_key(F.col(hint)).alias("__hint")).where("__hint <> ''")
-    length = F.length("__hint")
-    subs = h.withColumn("__from", F.explode(F.sequence(F.lit(1), length))).withColumn("__long", F.explode(F.sequence(F.lit(1), length - F.col("__from") + 1)))
+    subs = h.withColumn("__long", F.explode(F.filter(lengths, lambda n: n <= F.length("__hint")))).withColumn("__from", F.explode(F.sequence(F.lit(1), F.length("__hint") - F.col("__long") + 1)))
     subs = subs.select(hint_id, "__hint", F.substring(F.col("__hint"), F.col("__from"), F.col("__long")).alias("term")).distinct()
     points = F.when(F.col("term") == F.col("__hint"), F.col("equal")).otherwise(F.col("inside"))
     return subs.join(keys, "term").groupBy(hint_id, "office").agg(F.sum(points).cast("long").alias("score")).where(F.col("score") >= least)

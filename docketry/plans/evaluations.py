@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docketry.operators import failures
+from docketry.operators import failures, routing
 from docketry.plans.catalog import query
 from docketry.session import table
 
@@ -151,3 +151,28 @@ def run_by_family(spark, d):
 {_MEAN.format(c='passed', n='precision')}, round(avg(case when answer_status in ('abstained', 'clarify') then 1.0 else 0.0 end), 6) as abstain_rate from t group by 1""")
 def run_calibration(spark, d):
     return failures.calibration(run_cases(spark, d))
+
+
+#: Signals of the questions, by the places of the events' mixed number.
+_SIGNALS = ", ".join(f"case when (h >> {k + 2}) % 13 = 0 then null else (h >> {k + 3}) % 5 = 0 end as {name}" for k, name in enumerate(routing.SIGNALS))
+
+
+@query(f"""with h as (select event_id, event_id * 2654435761 as h from events), s as (select event_id, {_SIGNALS} from h),
+p as (select *, case when empty then 'abstain empty_query' when smalltalk then 'general_knowledge smalltalk' when current_news then 'current_news current_news_lookup' when corpus_metadata then 'order_metadata corpus_metadata_first'
+ when active_override and metadata_asked then 'order_metadata active_matter_metadata_follow_up' when structured_info then 'structured_current_info structured_current_info' when historical_official then 'official_web historical_official_lookup'
+ when current_official then 'official_web official_public_fact' when company_role then 'official_web company_role_current_fact' when metadata_asked and explanatory and matter_specific is not true then 'general_knowledge general_knowledge'
+ when metadata_asked and (named_order or has_variants or session_scope) then 'order_metadata exact_order_fact_metadata_first' when metadata_asked then 'clarify missing_order_scope_for_metadata' when active_override then 'order_corpus_rag active_matter_corpus_follow_up'
+ when explanatory and matter_specific is not true then 'general_knowledge general_knowledge' when matter_specific or named_order then 'order_corpus_rag named_matter_query' when explanatory or other_person then 'general_knowledge general_knowledge'
+ when live then 'official_web live_public_fact' when ambiguous then 'clarify ambiguous_query' else 'general_knowledge general_knowledge_default' end as pr from s),
+q as (select *, split_part(pr, ' ', 1) as plan, split_part(pr, ' ', 2) as reason from p)
+select event_id, plan, reason, case plan when 'abstain' then 'abstain' when 'clarify' then 'clarify' when 'current_news' then 'current_news_lookup' when 'structured_current_info' then 'structured_current_info'
+ when 'general_knowledge' then case when smalltalk then 'smalltalk' else 'general_knowledge' end
+ when 'official_web' then case when company_role then 'general_knowledge' when historical_official then 'historical_official_lookup' else 'current_official_lookup' end
+ when 'order_metadata' then case when corpus_metadata then 'corpus_metadata' when active_override and session_scope then 'memory_scoped_rag' else 'hierarchical_rag' end
+ else case when active_override and session_scope then 'memory_scoped_rag' when comparison is not true and (strict_scope or title_or_party or court_style or has_variants) then 'exact_lookup' else 'hierarchical_rag' end end as mode,
+ case when smalltalk then 'smalltalk' when current_news then 'current_news_lookup' when historical_official then 'historical_official_lookup' when corpus_metadata then 'corpus_metadata' when structured_info then 'structured_current_info' when active_override and session_scope then 'follow_up'
+ when company_role then 'general_knowledge' when current_official then 'current_official_lookup' when likely_follow_up and session_scope then 'follow_up' when title_or_party then 'document_lookup' when asks_provision then 'legal_explanation' when explanatory then 'general_knowledge'
+ when outcome or settlement then 'substantive_outcome' when matter_specific then 'matter_specific' else 'ambiguous' end as label from q""")
+def route_plans(spark, d):
+    rows = table(spark, d, "events").select("event_id", (F.col("event_id") * 2654435761).alias("h")).selectExpr("event_id", *_SIGNALS.split(", "))
+    return routing.planned(rows).select("event_id", "plan", "reason", "mode", "label")

@@ -63,7 +63,7 @@ def diversified(final, units):
 
 def test_hierarchical_search_over_every_document(spark):
     docs, parts, said = ({r["unit"]: r.asDict() for r in df.collect()} for df in plans.hierarchy(spark, SF))
-    assert len(docs) == duckdb.sql(f"select count(*) from '{SF}/documents.parquet'").fetchone()[0]
+    assert len(docs) == duckdb.sql(f"select count(*) from '{SF}/documents.parquet'").fetchall()[0][0]
     vector = np.array(plans.questions(spark, SF).first()["q"], dtype=float)
     base = lambda r: PRIOR[r["section"]] * SUBSTANTIVE[r["section"]]
 
