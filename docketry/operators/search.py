@@ -74,7 +74,7 @@ def gram_postings(units: DataFrame, id_col: str, fields: list[str], queries: Dat
 
 def similar(queries: DataFrame, grams: DataFrame) -> DataFrame:
     """query_id, unit, similarity: shared trigrams among all trigrams of query and field, of the field most alike."""
-    shared = grams.join(F.broadcast(query_grams(queries)), "gram").groupBy("query_id", "unit", "place", "n", "asked").agg(F.count("*").alias("both"))
+    shared = grams.join(query_grams(queries), "gram").groupBy("query_id", "unit", "place", "n", "asked").agg(F.count("*").alias("both"))
     return shared.groupBy("query_id", "unit").agg(F.max(F.col("both") / (F.col("n") + F.col("asked") - F.col("both"))).alias("similarity"))
 
 
