@@ -86,10 +86,14 @@ class Cluster:
     offices: set = field(default_factory=set)
     boards: set = field(default_factory=set)
 
-    def add(self, r: dict) -> None:
+    def add(self, r: dict) -> bool:
+        """True if the row has a value that is new here."""
+        new = False
         for held, c in ((self.staff, "staff_key"), (self.emails, "email_key"), (self.phones, "phone_key"), (self.groups, "group"), (self.departments, "department_key"), (self.offices, "office_key"), (self.boards, "board_key")):
-            if r[c]:
+            if r[c] and r[c] not in held:
                 held.add(r[c])
+                new = True
+        return new
 
     def reasons(self, r: dict) -> dict[str, str]:
         """Why the row may be this person: the reason and the value that it rests on."""
@@ -108,6 +112,11 @@ class Cluster:
             out["same_board_role"] = r["board_key"]
         return out
 
+    def marks(self) -> set:
+        """What a row must share to have a reason for this cluster: a number, an address, a board role, or a group with a department, an office or alone."""
+        out = {(c, v) for c, held in (("staff_key", self.staff), ("email_key", self.emails), ("phone_key", self.phones), ("board_key", self.boards)) for v in held}
+        return out | {("group", g) for g in self.groups} | {(g, c, v) for g in self.groups for c, held in (("department_key", self.departments), ("office_key", self.offices)) for v in held}
+
     def takes(self, r: dict, reasons: dict[str, str]) -> bool:
         """Equal numbers or addresses settle it; else group, or department and office together, must not speak against it."""
         if any(name in reasons for name in IDENTITY):
@@ -117,6 +126,13 @@ class Cluster:
         return bool(reasons) and not against
 
 
+def wanted(r: dict) -> list:
+    """The marks that a row may share with a cluster."""
+    group, bare = r["group"], not r["department_key"] and not r["office_key"]
+    out = [(c, r[c]) for c in ("staff_key", "email_key", "phone_key", "board_key") if r[c]] + [(group, c, r[c]) for c in ("department_key", "office_key") if r[c]]
+    return out + ([("group", group)] if bare or group in LEADERSHIP else [])
+
+
 _COMPARED = ("name_key", "group", "department_key", "office_key", "email_key", "phone_key", "staff_key", "board_key", "source_type", "row_key")
 
 
@@ -125,23 +141,25 @@ def clusters(rows: DataFrame) -> DataFrame:
     schema = pa.schema([("name_key", pa.string()), ("row_key", pa.string()), ("source_type", pa.string()), ("cluster", pa.int32()), ("place", pa.int64()), ("reasons", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, found, place = None, [], 0
+        name, found, place, marked = None, [], 0, {}
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 if r["name_key"] != name:
-                    name, found, place = r["name_key"], [], 0
+                    name, found, place, marked = r["name_key"], [], 0, {}
                 place += 1
                 best, best_score, why = None, -1, {}
-                for k, cluster in enumerate(found):
-                    reasons = cluster.reasons(r)
+                for k in sorted(set().union(*(marked.get(m, ()) for m in wanted(r)))):
+                    reasons = found[k].reasons(r)
                     score = sum(REASON_SCORE[x] for x in reasons)
-                    if score > best_score and cluster.takes(r, reasons):
+                    if score > best_score and found[k].takes(r, reasons):
                         best, best_score, why = k, score, reasons
                 if best is None:
                     found.append(Cluster())
                     best, why = len(found) - 1, {"seed": f"{r['source_type']}:{r['row_key']}"}
-                found[best].add(r)
+                if found[best].add(r):
+                    for m in found[best].marks():
+                        marked.setdefault(m, set()).add(best)
                 out.append({"name_key": name, "row_key": r["row_key"], "source_type": r["source_type"], "cluster": best + 1, "place": place, "reasons": [f"{k}:{v}" for k, v in why.items()]})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
