@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), where value is worked out once however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), lambda x: then(x)), F.lit(0))
+
+
 def newlines(c: Column) -> Column:
     """CRLF and CR become LF."""
     return F.regexp_replace(c, r"\r\n?", "\n")

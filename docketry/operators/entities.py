@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docketry.functions import text
+
 #: Titles before names that don't count.
 HONORIFICS = ("mr", "mrs", "ms", "m/s", "dr", "shri", "smt")
 #: Fixed values of the name score: for a name inside the other, for names with one last word, and for all others.
@@ -118,16 +120,26 @@ def designation(title: Column) -> Column:
     """A title in lower case, short forms written out; empty for a null one."""
     low = F.trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"\s+", " "))
     key = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.replace(low, F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", " ")), F.lit(" "))
-    out = F.replace(low, F.lit("-"), F.lit(" "))
-    for name, forms in reversed(DESIGNATIONS.items()):
-        out = F.when(key.rlike(" (" + "|".join(forms) + ") "), F.lit(name)).otherwise(out)
-    return out
+
+    def written_out(x: Column) -> Column:
+        out = F.replace(x["low"], F.lit("-"), F.lit(" "))
+        for name, forms in reversed(DESIGNATIONS.items()):
+            out = F.when(x["key"].rlike(" (" + "|".join(forms) + ") "), F.lit(name)).otherwise(out)
+        return out
+
+    return text.bound(F.struct(low.alias("low"), key.alias("key")), written_out)
 
 
 def designation_group(title: Column, role_group: Column | None = None, board_category: Column | None = None, board_role: Column | None = None) -> Column:
     """The group of a person: by board category and role group first, then by the title's words, then by what is left."""
     code = lambda c: F.lit("") if c is None else F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), "[- ]", "_")
-    named, role, category, board = designation(title), code(role_group), code(board_category), designation(F.lit("") if board_role is None else board_role)
+    board = F.lit("") if board_role is None else F.trim(F.coalesce(board_role, F.lit("")))
+    parts = F.struct(designation(title).alias("named"), code(role_group).alias("role"), code(board_category).alias("category"), board.alias("board"))
+    # bound once: the rules would work out each part for every comparison
+    return text.bound(parts, lambda x: _group(x["named"], x["role"], x["category"], x["board"]))
+
+
+def _group(named: Column, role: Column, category: Column, board: Column) -> Column:
     begins = lambda name: (named == name) | named.startswith(name + " ")
     out = F.when((category == "chairperson") | (role == "chairperson"), "chairperson").when((category == "whole_time_member") | (role == "wtm"), "whole_time_member")
     out = out.when(category.isin("part_time_member", "government_nominee", "rbi_nominee"), "board_member")

@@ -120,10 +120,16 @@ GROUP_ALIASES = {
 
 def asked_group(value: Column) -> Column:
     """The designation group that a query names, in singular or plural, at its beginning; null for others."""
-    named = F.trim(designation(value))
-    single = F.when(named.endswith("s") & ~named.endswith("ss"), F.regexp_replace(named, "s$", "")).otherwise(named)
-    out = F.when(F.lit(False), F.lit(""))
-    for group, names in GROUP_ALIASES.items():
-        for name in names:
-            out = out.when((single == name) | single.startswith(name + " "), group)
-    return out
+
+    def named_group(named: Column) -> Column:
+        single = F.when(named.endswith("s") & ~named.endswith("ss"), F.regexp_replace(named, "s$", "")).otherwise(named)
+        return text.bound(single, found)
+
+    def found(single: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(""))
+        for group, names in GROUP_ALIASES.items():
+            for name in names:
+                out = out.when((single == name) | single.startswith(name + " "), group)
+        return out
+
+    return text.bound(F.trim(designation(value)), named_group)
