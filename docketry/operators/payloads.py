@@ -20,11 +20,15 @@ def procedural_type(title: Column, bucket: Column, headings: Column) -> Column:
     """The first kind whose phrase occurs, else the bucket's words, null without a bucket. headings: an array."""
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     said = F.concat_ws(" ", low(title), low(bucket), low(F.array_join(F.coalesce(headings, F.array().cast("array<string>")), " ")))
-    out = F.when(F.lit(False), F.lit(""))
-    for kind, phrases in PROCEEDINGS:
-        for phrase in phrases:
-            out = out.when(said.contains(phrase), kind)
-    return out.otherwise(F.nullif(F.replace(low(bucket), F.lit("-"), F.lit(" ")), F.lit("")))
+
+    def kind_of(said: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(""))
+        for kind, phrases in PROCEEDINGS:
+            for phrase in phrases:
+                out = out.when(said.contains(phrase), kind)
+        return out
+
+    return F.coalesce(text.bound(said, kind_of), F.nullif(F.replace(low(bucket), F.lit("-"), F.lit(" ")), F.lit("")))
 
 
 def major_headings(sections: DataFrame, document: str, order: str, most: int = MAX_HEADINGS) -> DataFrame:
