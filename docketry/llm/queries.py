@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.llm import bpe, chat, exact_dedup, fingerprints, ngram_join, packing, quality, token_files, toxicity, warc
+from docketry.llm import bpe, chat, exact_dedup, filter_audit, fingerprints, line_dedup, ngram_join, packing, quality, token_files, toxicity, warc, whitening
 
 
 def tokenizer_file(name: str) -> str:
@@ -60,7 +60,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_bpe_round_trip, op3_quality_classifier, op4_ngram_join, op5_chat_formatting, op6_token_files, op7_exact_dedup, op8_toxicity, op9_fingerprints, op10_warc)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_bpe_round_trip, op3_quality_classifier, op4_ngram_join, op5_chat_formatting, op6_token_files, op7_exact_dedup, op8_toxicity, op9_fingerprints, op10_warc, op11_filter_audit, op12_embedding_whitening, op13_line_dedup)}
 
 OP7_SQL = """
 with d as (select doc_id, sha256(coalesce(text, '')) as text_sha256, coalesce(text, '') as t from documents),
@@ -75,4 +87,4 @@ select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
        case when first < page_id then first end as refers_to
 from p left join f using (payload_digest)
 """
-ORACLE_SQL: dict[str, str] = {"op5_chat_formatting": chat.ORACLE_SQL, "op7_exact_dedup": OP7_SQL, "op10_warc": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_chat_formatting": chat.ORACLE_SQL, "op7_exact_dedup": OP7_SQL, "op10_warc": OP10_SQL, "op11_filter_audit": filter_audit.ORACLE_SQL, "op13_line_dedup": line_dedup.ORACLE_SQL}
