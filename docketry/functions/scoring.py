@@ -30,6 +30,10 @@ INTENT_SECTION = {
 #: The order in which comparisons show sections; others come last.
 COMPARED = {"operative_order": 0, "directions": 1, "findings": 2, "facts": 3, "background": 4, "issues": 5, "reply_or_submissions": 6, "table_block": 7, "annexure": 8, "other": 9, "header": 10}
 SETTLEMENT, LOCKED, UNLOCKED, CONFUSION = 1.12, 1.45, 0.62, 0.08
+#: Types of sections that outrank a header, and types that aren't substantive.
+STRONG, WEAK = ("operative_order", "findings", "directions"), ("header", "other", "table_block", "annexure")
+#: How far above a strong section a header is put below it, and where; the share of a header's score from which a substantive hit is lifted.
+HEADER_ABOVE, HEADER_BELOW, COMPETITIVE = 1.25, 0.995, 0.93
 
 
 def lookup(table: dict, key: Column, default: float) -> Column:
@@ -65,7 +69,7 @@ def lock_factor(record_key: Column, locked: list) -> Column:
     return F.when(record_key.isin(locked), LOCKED).otherwise(UNLOCKED) if locked else F.lit(1.0)
 
 
-#: Phrases of settlement texts, of their headings, and of chunks that are only a header.
+#: Phrases of settlement texts, of their headings, and of chunks that are only a header.
 BODY_TERMS = ("settlement amount", "settled on the following terms", "terms proposed by the applicant", "notice of demand", "remittance of the aforesaid amount", "remitted the said settlement amount", "credit of the same", "credit of said amount", "it is hereby ordered", "no enforcement action", "proceedings that may be initiated", "settlement proceedings")
 HEADING_TERMS = ("settlement order", "terms of settlement", "settlement proceedings", "settlement application")
 HEADING_BODY = ("it is hereby ordered", "settlement amount", "notice of demand", "remitted")

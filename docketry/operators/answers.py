@@ -130,13 +130,6 @@ def grounding(cases: DataFrame, expected: DataFrame, actual: DataFrame, key: str
     return out.select(key, claims.cast("long").alias("unsupported_claims"), rate.alias("hallucination_rate"))
 
 
-def penalised(hits: DataFrame, pairs: DataFrame, record: str, score: str, locked: list, penalty: float = 0.08) -> DataFrame:
-    """Hits on records that are listed as confusable with a locked one lose the penalty; pairs hold in both directions."""
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    risky = both.where(F.col("a").isin(locked) & ~F.col("b").isin(locked)).select(F.col("b").alias(record)).distinct().withColumn("__risk", F.lit(penalty))
-    return hits.join(risky, record, "left").withColumn(score, F.greatest(F.col(score) - F.coalesce("__risk", F.lit(0.0)), F.lit(0.0))).drop("__risk")
-
-
 def same_or_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, number: str, keys: str) -> DataFrame:
     """Pairs whose numbers are equal or whose key arrays share a value: two joins on equality instead of a nested loop."""
     by_number = left.select(left_id, number).join(right.select(right_id, number), number).select(left_id, right_id)

@@ -1,146 +1,50 @@
-"""Lexical, trigram and vector search with rank fusion and rule-based reranking over a table of queries.
+"""Fusion of lexical and vector search, three levels of search, and rule-based reranking, over a table of queries.
 
-Queries are a small table; candidates come from posting tables (word to unit and trigram to unit), so the corpus is joined on
-terms and never crossed with the queries. Texts and embeddings are not carried through the joins.
-"""
+Queries are a small table; what finds units is in lexical.py and vectors.py. Texts and embeddings are not carried through the joins."""
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from docketry.functions import scoring, text
+from docketry.operators import lexical as full_text
+from docketry.operators import vectors
 
-#: Terms that a scan compares each word with; a batch of queries with more is joined instead.
-MAX_TERMS = 1000
-#: Query vectors that go to the tasks at once.
-QUERY_BLOCK = 1024
-#: The similarity from which a unit without any of the query's words is found.
-ADMITTED = 0.05
-
-
-def query_terms(queries: DataFrame) -> DataFrame:
-    return queries.select("query_id", F.explode(F.array_distinct(text.tokens(F.col("query")))).alias("term"))
-
-
-def postings(units: DataFrame, id_col: str, weighted: dict[str, float], queries: DataFrame | None = None) -> DataFrame:
-    """term, unit, weight: for each term the sum over fields of the field's weight times the count there.
+#: The hits of a query are ranked in this many parts first, so that they don't meet in one task before they are few.
+PARTS = 32
 
-    With queries, an index for them alone: other words go before they are shuffled, by a list of the terms where
-    that is short, else by a semi join."""
-    wanted = None if queries is None else query_terms(queries).select("term").distinct()
-    short = [] if wanted is None else [r["term"] for r in wanted.limit(MAX_TERMS + 1).collect()]
-    parts = []
-    for c, w in weighted.items():
-        words = units.select(F.col(id_col).alias("unit"), F.explode(text.tokens(F.col(c))).alias("term"))
-        if wanted is not None:
-            words = words.where(F.col("term").isin(short)) if len(short) <= MAX_TERMS else words.join(wanted, "term", "left_semi")
-        parts.append(words.groupBy("term", "unit").agg((F.count("*") * F.lit(w)).alias("w")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("term", "unit").agg(F.sum("w").alias("weight"))
 
-
-def query_grams(queries: DataFrame) -> DataFrame:
-    grams = queries.select("query_id", text.trigrams(F.col("query")).alias("grams"))
-    return grams.select("query_id", F.size("grams").alias("asked"), F.explode("grams").alias("gram"))
-
-
-def gram_postings(units: DataFrame, id_col: str, fields: list[str], queries: DataFrame | None = None) -> DataFrame:
-    """gram, unit, place, n: the distinct trigrams of each field of each row, and how many the field has.
-
-    With queries, an index for them alone: other trigrams go before they are dealt out, but count in n."""
-    rows = units.withColumn("__row", F.monotonically_increasing_id())
-    wanted = None if queries is None else query_grams(queries).select("gram").distinct()
-    short = [] if wanted is None else [r["gram"] for r in wanted.limit(MAX_TERMS + 1).collect()]
-    out = None
-    for c in fields:
-        grams = rows.select(F.col(id_col).alias("unit"), F.struct(F.lit(c).alias("field"), "__row").alias("place"), text.trigrams(F.col(c)).alias("grams"))
-        kept = F.col("grams") if wanted is None or len(short) > MAX_TERMS else F.array_intersect("grams", F.array(*[F.lit(g) for g in short]).cast("array<string>"))
-        found = grams.select("unit", "place", F.size("grams").alias("n"), F.explode(kept).alias("gram"))
-        if len(short) > MAX_TERMS:
-            found = found.join(wanted, "gram", "left_semi")
-        out = found if out is None else out.unionByName(found)
-    return out
+def ranked(hits: DataFrame, k: int | None = None, order: tuple[str, ...] = ("-score", "unit"), by: str = "query_id") -> DataFrame:
+    """rank by these columns, those with - from the greatest; the k best of each query."""
+    keys = [F.desc(c[1:]) if c[0] == "-" else F.asc(c) for c in order]
+    if k is not None:
+        part = F.pmod(F.xxhash64("unit"), F.lit(PARTS))
+        hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy(by, part).orderBy(*keys))).where(F.col("rank") <= k).drop("rank")
+    out = hits.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*keys)))
+    return out if k is None else out.where(F.col("rank") <= k)
 
 
-def similar(queries: DataFrame, grams: DataFrame) -> DataFrame:
-    """query_id, unit, similarity: shared trigrams among all trigrams of query and field, of the field most alike."""
-    shared = grams.join(query_grams(queries), "gram").groupBy("query_id", "unit", "place", "n", "asked").agg(F.count("*").alias("both"))
-    return shared.groupBy("query_id", "unit").agg(F.max(F.col("both") / (F.col("n") + F.col("asked") - F.col("both"))).alias("similarity"))
+def _best(hits: DataFrame, k: int) -> DataFrame:
+    """A unit counts once, by its best row."""
+    return ranked(hits.groupBy("query_id", "unit").agg(F.max("score").alias("score")), k)
 
 
-def lexical(queries: DataFrame, index: DataFrame, grams: DataFrame, k: int | None, share: float = 0.2) -> DataFrame:
-    """query_id, unit, score, rank: the k best a query, ties by unit. Admitted by a shared term or a similarity of 0.05.
+def lexical(queries: DataFrame, units: DataFrame, weighted: dict[str, float], alike: list[str], k: int, share: float = 0.2, scope: DataFrame | None = None, held: list[Row] | None = None) -> DataFrame:
+    """query_id, unit, score, rank: the k best a query by cover density and similarity, ties by unit (see lexical.search).
 
-    The score is the sum over shared terms of ln(1 + weight) and the similarity, weighted 1 - share and share: 0.2 for documents
-    and sections, 0.15 for chunks."""
-    words = index.join(query_terms(queries), "term").groupBy("query_id", "unit").agg(F.sum(F.log1p("weight")).alias("words"))
-    both = words.join(similar(queries, grams), ["query_id", "unit"], "full_outer").where((F.col("words").isNotNull()) | (F.col("similarity") >= ADMITTED))
-    part = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    return ranked(both.select("query_id", "unit", F.round((1 - share) * part("words") + share * part("similarity"), 6).alias("score")), k)
+    share: 0.2 for documents and sections, 0.15 for chunks. scope: query_id, unit; only these are searched."""
+    return _best(full_text.search(queries, units, weighted, alike, k, share, scope, held), k)
 
 
-def ranked(hits: DataFrame, k: int | None = None) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "unit")
-    out = hits.withColumn("rank", F.row_number().over(w))
-    return out if k is None else out.where(F.col("rank") <= k)
+def vector(queries: DataFrame, units: DataFrame, k: int, scope: DataFrame | None = None, held: list[Row] | None = None) -> DataFrame:
+    """query_id, unit, score, rank: the k best a query by exact cosine, ties by unit (see vectors.search)."""
+    return _best(vectors.search(queries, units, k, scope, held), k)
 
 
-def vector(queries: DataFrame, units: DataFrame, k: int | None) -> DataFrame:
-    """queries: query_id, q (array); units: unit, embedding. Exact cosine, null embeddings excluded, a null score where a vector is all zeros.
-
-    The queries are taken in blocks of QUERY_BLOCK, each sent to the tasks; a task scores its units where they lie and hands on its k best a query."""
-    count, out = queries.count(), None
-    blocks = max(1, -(-count // QUERY_BLOCK))
-    for b in range(blocks):
-        block = queries.select("query_id", "q") if blocks == 1 else queries.select("query_id", "q").where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        hits = _scored(block.collect(), queries.schema["query_id"], units.where("embedding is not null").select("unit", "embedding"), k)
-        out = hits if out is None else out.unionByName(hits)
-    return ranked(out, k)
-
-
-def _scored(asked: list, query_id: T.StructField, units: DataFrame, k: int | None) -> DataFrame:
-    """query_id, unit, score: of each task's units the k best of each query, ties by unit."""
-    schema = T.StructType([T.StructField("query_id", query_id.dataType), units.schema["unit"], T.StructField("score", T.DoubleType())])
-    names = [r["query_id"] for r in asked]
-    matrix = np.array([r["q"] for r in asked], dtype=float).reshape(len(asked), -1).T
-    lengths = np.linalg.norm(matrix, axis=0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[list[tuple]] = [[] for _ in names]
-        for batch in batches:
-            rows = np.array(batch["embedding"].to_pylist(), dtype=float).reshape(batch.num_rows, -1)
-            if not batch.num_rows or not names:
-                continue
-            size = np.linalg.norm(rows, axis=1)[:, None] * lengths
-            with np.errstate(divide="ignore", invalid="ignore"):
-                score = np.round(rows @ matrix / size, 6) + 0.0
-            unit = batch["unit"].to_pylist()
-            for j in range(len(names)):
-                column = np.where(np.isnan(score[:, j]), -np.inf, score[:, j])
-                some = range(len(unit)) if k is None or len(unit) <= k else np.flatnonzero(column >= np.partition(column, len(unit) - k)[len(unit) - k]).tolist()
-                merged = kept[j] + [(-column[i], unit[i]) for i in some]
-                kept[j] = merged if k is None else heapq.nsmallest(k, merged)
-            if k is None:
-                yield made(kept)
-                kept = [[] for _ in names]
-        yield made(kept)
-
-    def made(kept: list[list[tuple]]) -> pa.RecordBatch:
-        rows = [(names[j], u, None if s == np.inf else -s + 0.0) for j, held in enumerate(kept) for s, u in held]
-        arrow = to_arrow_schema(schema)
-        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], type=f.type) for c, f in enumerate(arrow)], schema=arrow)
-
-    return units.mapInArrow(run, schema)
+def vector_lists(queries: DataFrame, index: DataFrame, middle, k: int, probes: int) -> DataFrame:
+    """The same from the inverted lists that each query probes (see vectors.inverted_lists)."""
+    return _best(vectors.approximate(queries, index, middle, k, probes), k)
 
 
 def fuse(lexical_hits: DataFrame, vector_hits: DataFrame, k: int) -> DataFrame:
@@ -170,82 +74,121 @@ def rerank(hits: DataFrame, intent: Column, locked: list | None = None) -> DataF
     return hits.withColumn("final", F.round(F.greatest(final, F.lit(0.0)), 9))
 
 
-def adjusted(hits: DataFrame, chunk: bool | None, locked: list | None = None, confusable: list | None = None) -> DataFrame:
+def confusable_with(pairs: DataFrame, locked: list, strict: bool = True) -> DataFrame | None:
+    """record: those that pairs (a, b, in either direction) list with the one record that a strict lock names; None without such a lock."""
+    if not strict or not locked:
+        return None
+    first = F.lit(locked[0])
+    return pairs.where(F.col("a") == first).select(F.col("b").alias("record")).unionByName(pairs.where(F.col("b") == first).select(F.col("a").alias("record"))).where("record is not null").distinct()
+
+
+def confused(hits: DataFrame, pairs: DataFrame, locked: list, strict: bool = True, record: str = "record", score: str = "score") -> DataFrame:
+    """Scores of records that are easily taken for the locked one are multiplied by 0.08."""
+    partners = confusable_with(pairs, locked, strict)
+    if partners is None:
+        return hits
+    partners = partners.select(F.col("record").alias(record), F.lit(scoring.CONFUSION).alias("__confused"))
+    return hits.join(partners, record, "left").withColumn(score, F.col(score) * F.coalesce("__confused", F.lit(1.0))).drop("__confused").select(hits.columns)
+
+
+def adjusted(hits: DataFrame, chunk: bool | None, locked: list | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """Adds final, the score times four factors for documents (chunk is None), seven for sections and chunks; never below 0.
 
     hits: score, name (of the document), bucket, record, intent, focused, terms; for sections and chunks also section, title, heading, body.
-    confusable: records that are easily taken for a locked one."""
+    locked: the records of a strict lock on one matter. pairs: a, b, records that are easily taken for each other."""
     focused = F.coalesce("focused", F.lit(False))
     factor = scoring.alignment_factor(F.col("name"), focused, F.col("terms")) * F.when(focused & F.coalesce(F.col("bucket").contains("settlement"), F.lit(False)), scoring.SETTLEMENT).otherwise(1.0)
     factor = factor * scoring.lock_factor(F.col("record"), locked or [])
-    if locked and confusable:
-        factor = factor * F.when(F.col("record").isin(confusable), scoring.CONFUSION).otherwise(1.0)
     if chunk is not None:
         factor = factor * scoring.section_prior(F.col("section")) * scoring.intent_factor(F.col("intent"), F.col("section"))
         factor = factor * scoring.content_factor(F.col("body"), F.concat_ws(" ", "title", "heading"), F.col("section"), focused, chunk)
-    return hits.withColumn("final", F.round(F.greatest(F.col("score") * factor, F.lit(0.0)), 9))
+    rows = hits.withColumn("final", F.greatest(F.col("score") * factor, F.lit(0.0)))
+    if pairs is not None:
+        rows = confused(rows, pairs, locked or [], score="final")
+    return rows.withColumn("final", F.round("final", 9))
 
 
 def suppress_headers(hits: DataFrame, by: tuple[str, ...] = ("document",)) -> DataFrame:
-    """A header up to a quarter above its document's best substantive hit is set just below it."""
-    w = Window.partitionBy(*by)
-    best = F.max(F.when(F.col("section") != "header", F.col("final"))).over(w)
-    ratio = F.col("final") / best
-    return hits.withColumn("final", F.round(F.when((F.col("section") == "header") & (ratio > 1) & (ratio <= 1.25), best * 0.995).otherwise(F.col("final")), 9))
+    """For substantive questions: a header up to a quarter above the best operative, findings or directions hit of its document is set just below that.
 
+    hits: section, intent, final."""
+    best = F.max(F.when(F.col("section").isin(*scoring.STRONG), F.col("final"))).over(Window.partitionBy(*by))
+    above = (F.col("section") == "header") & (F.col("intent") == "substantive") & (best > 0) & (F.col("final") > best) & (F.col("final") <= scoring.HEADER_ABOVE * best)
+    return hits.withColumn("final", F.round(F.when(above, best * scoring.HEADER_BELOW).otherwise(F.col("final")), 9))
 
-def diversify(hits: DataFrame, by: tuple[str, ...] = ("document",)) -> DataFrame:
-    """Each further header of a document loses 0.12 more of its score, 0.30 at most, in the order before the change."""
-    w = Window.partitionBy(*by, F.col("section") == "header").orderBy(F.desc("final"), "unit")
-    penalty = F.least(F.lit(0.30), 0.12 * (F.row_number().over(w) - 1))
-    return hits.withColumn("final", F.round(F.when(F.col("section") == "header", F.col("final") * (1 - penalty)).otherwise(F.col("final")), 9))
-
-
-def hybrid(queries: DataFrame, index: DataFrame, grams: DataFrame, units: DataFrame, k: int) -> DataFrame:
-    """Three times k from either side, fused and cut to k."""
-    return fuse(lexical(queries, index, grams, 3 * k), vector(queries, units, 3 * k), k)
 
+#: How hits are ordered: by score, then by what lexical and vector search gave, then by document and unit.
+ORDER = ("-final", "-lexical", "-vector", "document", "unit")
 
-def _level(queries: DataFrame, units: DataFrame, weighted: dict[str, float], alike: list[str], k: int, share: float, parents: DataFrame | None) -> DataFrame:
-    """query_id, unit, score: three times k from either side, fused with the parent's score. parents: query_id, unit, parent; only these are searched."""
-    def side(found: DataFrame) -> DataFrame:
-        found = found.drop("rank")
-        return ranked(found if parents is None else found.join(parents.select("query_id", "unit"), ["query_id", "unit"], "left_semi"), 3 * k)
 
-    a = side(lexical(queries, postings(units, "unit", weighted, queries), gram_postings(units, "unit", alike, queries), None, share))
-    b = side(vector(queries, units.select("unit", "embedding"), None))
-    both = a.select("query_id", "unit", F.col("rank").alias("a")).join(b.select("query_id", "unit", F.col("rank").alias("b")), ["query_id", "unit"], "full_outer")
+def diversify(hits: DataFrame, by: tuple[str, ...] = ("document",)) -> DataFrame:
+    """The k-th further header of a document loses 0.12 k of its score, 0.30 at most. For substantive questions the best substantive hit, if it has
+    at least 0.93 of a higher header, is lifted above it by 1 %, by 8 % of the header's score at most.
+
+    hits: section, intent, final, lexical, vector, document, unit; headers and substantive hits count in ORDER."""
+    section = F.coalesce(F.trim("section"), F.lit(""))
+    kind = F.when(section == "header", "header").when(~section.isin("", *scoring.WEAK), "substantive").otherwise("other")
+    keys = [F.desc(c[1:]) if c[0] == "-" else F.asc(c) for c in ORDER]
+    rows = hits.withColumn("__kind", kind).withColumn("__k", F.row_number().over(Window.partitionBy(*by, "__kind").orderBy(*keys)))
+    header = F.max(F.when(F.col("__kind") == "header", F.col("final"))).over(Window.partitionBy(*by))
+    final = F.col("final")
+    lifted = (F.col("__kind") == "substantive") & (F.col("__k") == 1) & (F.col("intent") == "substantive") & (final > 0) & (final < header) & (final >= scoring.COMPETITIVE * header)
+    bonus = F.least(header - final + F.greatest(0.01 * final, F.lit(1e-6)), 0.08 * header)
+    penalty = final * F.least(F.lit(0.30), 0.12 * (F.col("__k") - 1))
+    changed = F.when(lifted, final + bonus).when(F.col("__kind") == "header", final - penalty).otherwise(final)
+    return rows.withColumn("final", F.round(F.greatest(changed, F.lit(0.0)), 9)).drop("__kind", "__k")
+
+
+def hybrid(queries: DataFrame, texts: DataFrame, weighted: dict[str, float], alike: list[str], units: DataFrame, k: int) -> DataFrame:
+    """Three times k from either side, fused and cut to k. texts: unit and text columns; units: unit, embedding."""
+    return fuse(lexical(queries, texts, weighted, alike, 3 * k), vector(queries, units, 3 * k), k)
+
+
+def _level(queries: DataFrame, held: list[Row], units: DataFrame, weighted: dict[str, float], alike: list[str], k: int, share: float, parents: DataFrame | None) -> DataFrame:
+    """query_id, unit, score, lexical, vector: three times k from either side, fused with the parent's score. parents: query_id, unit, parent; no other unit is scored."""
+    scope = None if parents is None else parents.select("query_id", "unit")
+    a = lexical(queries, units, weighted, alike, 3 * k, share, scope, held)
+    b = vector(queries, units, 3 * k, scope, held)
+    both = a.select("query_id", "unit", F.col("rank").alias("a"), F.col("score").alias("lexical")).join(b.select("query_id", "unit", F.col("rank").alias("b"), F.col("score").alias("vector")), ["query_id", "unit"], "full_outer")
+    both = both.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("lexical", "vector")})
+    above = None
     if parents is not None:
-        return both.join(parents, ["query_id", "unit"]).select("query_id", "unit", scoring.fused(F.col("a"), F.col("b"), F.col("parent")).alias("score"))
-    return both.select("query_id", "unit", scoring.fused(F.col("a"), F.col("b")).alias("score"))
+        both, above = both.join(parents, ["query_id", "unit"]), F.col("parent")
+    return both.select("query_id", "unit", scoring.fused(F.col("a"), F.col("b"), above).alias("score"), "lexical", "vector")
 
 
-def levels(queries: DataFrame, documents: DataFrame, sections: DataFrame, chunks: DataFrame, k: tuple[int, int, int], locked: list | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def levels(queries: DataFrame, documents: DataFrame, sections: DataFrame, chunks: DataFrame, k: tuple[int, int, int], locked: list | None = None, pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The k best documents, sections and chunks of each query: query_id, unit, document, final, rank.
 
     queries: query_id, query, q, intent, focused (on settlement), terms (names asked for). documents: unit, title, body, embedding, bucket,
     record. sections and chunks: unit, document, section_key, section, title, heading, body, embedding. Sections are those of the documents
     found; chunks those of the documents and section keys found, if any section is. A section carries its document's score, a chunk the
-    greater one of its section and document. Ties go by unit."""
+    greater one of its section and document. Ties go by lexical and vector score, document and unit. The first two levels are a few rows a query
+    and are worked out once, here."""
+    held = queries.select("query_id", "query", "q").collect()
     asked = queries.select("query_id", "intent", "focused", "terms")
     about = documents.select(F.col("unit").alias("document"), F.col("title").alias("name"), "bucket", "record")
 
     def judged(hits: DataFrame, units: DataFrame, chunk: bool | None) -> DataFrame:
-        return adjusted(hits.join(units, "unit").join(about, "document").join(asked, "query_id"), chunk, locked)
+        return adjusted(hits.join(units, "unit").join(about, "document").join(asked, "query_id"), chunk, locked, pairs)
 
     def best(rows: DataFrame, n: int) -> DataFrame:
-        found = ranked(rows.drop("score").withColumnRenamed("final", "score"), n)
-        return found.withColumnRenamed("score", "final").select("query_id", "unit", "document", *(["section_key"] if "section_key" in rows.columns else []), "final", "rank")
+        return ranked(rows, n, ORDER).select("query_id", "unit", "document", *(["section_key"] if "section_key" in rows.columns else []), "final", "rank")
+
+    def few(rows: DataFrame) -> DataFrame:
+        """At most k rows a query, as a table of their own: what comes below doesn't work them out again."""
+        return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
 
     by = ("query_id", "document")
-    docs = best(judged(_level(queries, documents, {"title": 1.0, "body": 0.4}, ["title", "body"], k[0], 0.2, None), documents.select("unit", F.col("unit").alias("document")), None), k[0])
+    docs = few(best(judged(_level(queries, held, documents, {"title": 1.0, "body": 0.4}, ["title", "body"], k[0], 0.2, None), documents.select("unit", F.col("unit").alias("document")), None), k[0]))
     of_docs = docs.select("query_id", "document", F.col("final").alias("above"))
     parents = sections.select("unit", "document").join(of_docs, "document").select("query_id", "unit", F.col("above").alias("parent"))
     kept = ["unit", "document", "section_key", "section", "title", "heading", "body"]
-    secs = best(suppress_headers(judged(_level(queries, sections, {"title": 1.0, "heading": 0.4, "body": 0.2}, ["title", "body"], k[1], 0.2, parents), sections.select(*kept), False), by), k[1])
+    found = judged(_level(queries, held, sections, {"title": 1.0, "heading": 0.4, "body": 0.2}, ["title", "body"], k[1], 0.2, parents), sections.select(*kept), False)
+    secs = few(best(suppress_headers(found, by), k[1]))
     of_secs = secs.groupBy("query_id", "document", "section_key").agg(F.max("final").alias("own"))
     keys = secs.groupBy("query_id").agg(F.collect_set("section_key").alias("keys"))
     scope = chunks.select("unit", "document", "section_key").join(of_docs, "document").join(keys, "query_id", "left").where(F.col("keys").isNull() | F.array_contains("keys", F.col("section_key")))
     parents = scope.join(of_secs, ["query_id", "document", "section_key"], "left").select("query_id", "unit", F.greatest("above", F.coalesce("own", F.lit(0.0))).alias("parent"))
-    found = judged(_level(queries, chunks, {"title": 1.0, "body": 0.4}, ["body"], k[2], 0.15, parents), chunks.select(*kept), True)
+    found = judged(_level(queries, held, chunks, {"title": 1.0, "body": 0.4}, ["body"], k[2], 0.15, parents), chunks.select(*kept), True)
     return docs, secs, best(diversify(suppress_headers(found, by), by), k[2])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docketry.functions import text
-from docketry.operators import answers, directory, relational, segmentation
+from docketry.operators import answers, directory, relational, search, segmentation
 from docketry.plans.catalog import query
 from docketry.session import table
 from docketry.sources import html
@@ -109,12 +109,12 @@ def grounding_rates(spark, d):
 
 @query("""with p as (select a.n_nationkey as a, b.n_nationkey as b from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey),
 risk as (select distinct case when a = 3 then b else a end as n from p where a = 3 or b = 3)
-select s_suppkey, greatest(round(s_acctbal / 10000, 6) - case when s_nationkey in (select n from risk) then 0.08::double else 0 end, 0) as score from supplier""")
+select s_suppkey, round(s_acctbal / 10000, 6) * case when s_nationkey in (select n from risk) then 0.08::double else 1 end as score from supplier""")
 def confusion_penalty(spark, d):
     nation = table(spark, d, "nation").select("n_nationkey", "n_regionkey")
     pairs = nation.alias("x").join(nation.alias("y"), "n_regionkey").where("x.n_nationkey < y.n_nationkey").select(F.col("x.n_nationkey").alias("a"), F.col("y.n_nationkey").alias("b"))
     hits = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.round(F.col("s_acctbal") / 10000, 6).alias("score"))
-    return answers.penalised(hits, pairs, "s_nationkey", "score", [3]).select("s_suppkey", "score")
+    return search.confused(hits, pairs, [3], record="s_nationkey").select("s_suppkey", "score")
 
 
 @query("select s_suppkey, n_nationkey from supplier, nation where s_suppkey = n_nationkey or s_nationkey in (n_nationkey, n_regionkey)")

@@ -173,12 +173,11 @@ def priced_pages(spark, d):
     return rows, chunks, moves
 
 
-#: As a number may have commas, the one that follows the highest price stays in its text, not in its value.
 @query(f"""with o as (select o_orderkey as doc, {_DAYS} as day, cast(floor(o_totalprice) as bigint) as a, cast(floor(o_totalprice / 10) as bigint) as b, cast(floor(o_totalprice / 100) as bigint) as c, cast(floor(o_totalprice / 1000) as bigint) as e, 'Co ' || o_orderkey % 5 as s from orders),
 f as (select doc, 'listing_price' as fact_type, s as subject, 'Rs.' || c || '/share' as value_text, c::double as value, 'INR/share' as unit, 'listed on ' || day as context, 1 as page_start, 1 as page_end from o
 union all select doc, 'percentage_change', s, doc % 50 || '.5%', doc % 50 + 0.5, 'percent', day || ' to March 3, 2021', 1, 1 from o
 union all select doc, 'closing_price', s, 'Rs.' || b, b, 'INR', 'on March 3, 2021', 1, 1 from o
-union all select doc, 'highest_price', s, 'Rs.' || a || case when doc % 2 = 0 then ',' else '' end, a, 'INR', 'on ' || day, 1, 1 from o
+union all select doc, 'highest_price', s, 'Rs.' || a, a, 'INR', 'on ' || day, 1, 1 from o
 union all select doc, 'percentage_change_from_listing', s, doc % 300 || '%', doc % 300, 'percent', 'highest price on ' || day, 1, 1 from o where doc % 2 = 0
 union all select doc, 'lowest_price', s, 'Rs.' || e, e, 'INR', case when doc % 3 = 0 then 'on ' || day end, 1, 1 from o
 union all select doc, 'pan', 'Person ' || doc % 7, 'ABCDE1234F', null, 'PAN', null, 1, 1 from o
@@ -198,8 +197,8 @@ def numeric_facts(spark, d):
     return numbers.numeric_facts(*priced_pages(spark, d))
 
 
-@query("""with f as (select o_orderkey as place, o_custkey % 30 as query_id, o_custkey % 4 as record, ['listing_price', 'closing_price', 'percentage_change', 'highest_price', 'percentage_change_from_listing', 'pan'][o_orderkey % 6 + 1] as fact_type,
- case when o_orderkey % 11 = 0 then null else 'v' || o_orderkey % 100 end as value_text, case when o_orderkey % 7 = 0 then null when o_orderkey % 3 = 0 then 'on May 1' else 'May' end as context from orders where o_custkey % 4 <> 3 or o_orderkey % 6 < 2),
+@query("""with f as (select o_orderkey as place, o_custkey % 30 as query_id, o_custkey % 4 as record, case when o_custkey % 4 <> 3 or o_orderkey % 6 < 2 then ['listing_price', 'closing_price', 'percentage_change', 'highest_price', 'percentage_change_from_listing', 'pan'][o_orderkey % 6 + 1] end as fact_type,
+ case when o_orderkey % 11 = 0 then null else 'v' || o_orderkey % 100 end as value_text, case when o_orderkey % 7 = 0 then null when o_orderkey % 3 = 0 then 'on May 1' else 'May' end as context from orders),
 s as (select query_id, record, sum(case when fact_type in ('listing_price', 'closing_price', 'percentage_change', 'highest_price') then 2 else 1 end) as p from f group by all), b as (select query_id, record from (select *, row_number() over (partition by query_id order by p desc, record) as rn from s) where rn = 1),
 x as (select query_id, record, fact_type, arg_min(coalesce(value_text, 'the cited figure'), place) as said, arg_min(coalesce(context, ''), place) as context from f join b using (query_id, record) group by all),
 p as (select query_id, record, max(said) filter (where fact_type = 'listing_price') as l, max(context) filter (where fact_type = 'listing_price') as lc, max(said) filter (where fact_type = 'closing_price') as c, max(context) filter (where fact_type = 'closing_price') as cc,
@@ -210,8 +209,8 @@ select query_id, record, case when l is not null and d is not null then 'The sha
 def price_answers(spark, d):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     kinds = F.array(*map(F.lit, ("listing_price", "closing_price", "percentage_change", "highest_price", "percentage_change_from_listing", "pan")))
-    rows = table(spark, d, "orders").where((c % 4 != 3) | (k % 6 < 2)).select(
-        k.alias("at"), (c % 30).alias("query_id"), (c % 4).alias("record"), F.element_at(kinds, (k % 6 + 1).cast("int")).alias("fact_type"), F.when(k % 11 != 0, F.concat(F.lit("v"), k % 100)).alias("value_text"),
+    rows = table(spark, d, "orders").select(
+        k.alias("at"), (c % 30).alias("query_id"), (c % 4).alias("record"), F.when((c % 4 != 3) | (k % 6 < 2), F.element_at(kinds, (k % 6 + 1).cast("int"))).alias("fact_type"), F.when(k % 11 != 0, F.concat(F.lit("v"), k % 100)).alias("value_text"),
         F.lit(None).cast("double").alias("value"), F.when(k % 7 == 0, None).when(k % 3 == 0, "on May 1").otherwise("May").alias("context"))
     return numbers.price_answers(rows)
 

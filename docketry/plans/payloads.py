@@ -164,4 +164,5 @@ def rerank_full(spark, d):
     rows = table(spark, d, "documents").select(
         n.alias("unit"), picked(["Settlement of Foo Bar", "Foo and others", "In re Baz", ""], "doc_id").alias("name"), F.when(n % 5 == 0, "settlement-orders").otherwise("orders").alias("bucket"), F.col("source").alias("record"), (n % 2 == 0).alias("focused"),
         F.array(F.lit("foo"), F.lit("bar")).alias("terms"), picked(sections, "doc_id").alias("section"), picked(["substantive", "party_or_title", "regulation", "generic"], "doc_id", 13).alias("intent"), (1.0 / (60 + F.col("n_chars") % 100)).alias("score"), body.alias("body"), F.lit("").alias("title"), F.lit("").alias("heading"))
-    return search.adjusted(rows, True, ["src1"], ["src2", "src3"]).select("unit", "section", "intent", "final")
+    pairs = spark.createDataFrame([("src1", "src2"), ("src3", "src1"), ("src0", "src4")], "a string, b string")
+    return search.adjusted(rows, True, ["src1"], pairs).select("unit", "section", "intent", "final")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docketry.functions import scoring, text
-from docketry.operators import entities, evaluation, routing, search
+from docketry.operators import entities, evaluation, routing, search, vectors
 from docketry.plans.catalog import query
 from docketry.session import table
 
@@ -18,26 +18,28 @@ def questions(spark, d):
     return vec
 
 
-def index(spark, d):
-    return search.postings(table(spark, d, "documents"), "doc_id", {"text": 1.0}, questions(spark, d))
-
-
-def grams(spark, d):
-    return search.gram_postings(table(spark, d, "documents"), "doc_id", ["text"], questions(spark, d))
+def texts(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("unit"), "text")
 
 
 def units(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("unit"), "embedding")
 
 
-_WORDS = "with w as (select doc_id as unit, unnest(string_split(trim(regexp_replace(replace(lower(text), '&', ' and '), '[^a-z0-9]+', ' ', 'g')), ' ')) as term from documents), "
-_LEX = _WORDS + f"""p as (select unit, term, count(*) as weight from w where term in (select distinct unnest(string_split('{QUESTION}', ' '))) group by all),
-said as (select unit, sum(ln(1 + weight)) as words from p group by unit),
+#: For each of the question's words the last place up to here; what begins at the earliest of them is a cover if none before begins there.
+_LAST = ", ".join(f"coalesce(max(case when term = '{w}' then pos end) over u, 0)" for w in QUESTION.split())
+_LEX = f"""with said as (select doc_id as unit, string_split(trim(regexp_replace(replace(lower(text), '&', ' and '), '[^a-z0-9]+', ' ', 'g')), ' ') as ws from documents),
+w as (select unit, unnest(ws) as term, generate_subscripts(ws, 1) as pos from said),
+asked as (select distinct unnest(string_split('{QUESTION}', ' ')) as term),
+hit as (select unit, term, pos, row_number() over (partition by unit order by pos) as n from w where term in (select term from asked)),
+ends as (select unit, pos, n, least({_LAST}) as b from hit window u as (partition by unit order by pos)),
+fresh as (select *, max(b) over (partition by unit order by pos rows between unbounded preceding and 1 preceding) as before from ends),
+dense as (select f.unit, sum(1.0::double / (1 + f.pos - f.b + 1 - (f.n - h.n + 1))) as density from fresh f join hit h on h.unit = f.unit and h.pos = f.b where f.b > 0 and (before is null or f.b > before) group by f.unit),
 dw as (select distinct unit, term from w where term <> ''), dg as (select distinct unit, substr('  ' || term || ' ', i, 3) as g from dw, lateral (select unnest(range(1, length(term) + 2)) as i)),
-qw as (select distinct unnest(string_split('{QUESTION}', ' ')) as term), qg as (select distinct substr('  ' || term || ' ', i, 3) as g from qw, lateral (select unnest(range(1, length(term) + 2)) as i)),
+qg as (select distinct substr('  ' || term || ' ', i, 3) as g from asked, lateral (select unnest(range(1, length(term) + 2)) as i)),
 own as (select unit, count(*) as n, count(*) filter (where g in (select g from qg)) as common from dg group by unit),
 alike as (select unit, common / (n + (select count(*) from qg) - common) as similarity from own where common > 0),
-lex as (select coalesce(s.unit, a.unit) as unit, round(0.8::double * coalesce(words, 0) + 0.2::double * coalesce(similarity, 0), 6) as score from said s full join alike a on s.unit = a.unit where words is not null or similarity >= 0.05),
+lex as (select coalesce(s.unit, a.unit) as unit, round(0.8::double * coalesce(density, 0) + 0.2::double * coalesce(similarity, 0), 6) as score from dense s full join alike a on s.unit = a.unit where density is not null or similarity >= 0.05),
 lr as (select *, row_number() over (order by score desc, unit) as rank from lex)"""
 _VEC = """q as (select embedding as q from embeddings where vec_id = 0),
 vec as (select vec_id as unit, round(list_cosine_similarity(embedding::double[], q::double[]), 6) as score from embeddings, q where embedding is not null),
@@ -46,7 +48,20 @@ vr as (select *, row_number() over (order by score desc, unit) as rank from vec)
 
 @query(_LEX + " select 1 as query_id, unit, score, rank from lr where rank <= 30")
 def lexical_search(spark, d):
-    return search.lexical(questions(spark, d), index(spark, d), grams(spark, d), 30)
+    return search.lexical(questions(spark, d), texts(spark, d), {"text": 1.0}, ["text"], 30)
+
+
+def phrased(spark, d):
+    """A query of each benchmark item: its second and third word as a phrase with its fourth; or its first without its last; or its fifth joined to its sixth."""
+    w = text.tokens(F.col("text"))
+    made = F.concat(F.lit('"'), F.concat_ws(" ", F.get("w", F.lit(1)), F.get("w", F.lit(2))), F.lit('" '), F.coalesce(F.get("w", F.lit(3)), F.lit("")), F.lit(" or "), F.coalesce(F.get("w", F.lit(0)), F.lit("")), F.lit(" -"), F.coalesce(F.element_at("w", -1), F.lit("")), F.lit(" OR "), F.concat_ws("-", F.get("w", F.lit(4)), F.get("w", F.lit(5))))
+    return table(spark, d, "benchmark").where("text is not null").withColumn("w", w).where("size(w) > 5").select(F.col("item_id").alias("query_id"), made.alias("query"))
+
+
+@query()
+def phrase_search(spark, d):
+    """The best documents for a query of each benchmark item, with phrases, alternatives and words that must not be there."""
+    return search.lexical(phrased(spark, d), texts(spark, d), {"text": 1.0}, ["text"], 10)
 
 
 @query("with " + _VEC + " select 1 as query_id, unit, score, rank from vr where rank <= 25")
@@ -54,11 +69,26 @@ def vector_topk(spark, d):
     return search.vector(questions(spark, d), units(spark, d), 25)
 
 
+#: Inverted lists of chunk vectors, and the share of true neighbours that the lists a query probes are to hold.
+LISTS, RECALL = 100, 0.95
+
+
+def vector_queries(spark, d):
+    return table(spark, d, "embeddings").where("vec_id % 100 = 0 and embedding is not null").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+@query()
+def vector_lists(spark, d):
+    """The 25 nearest of all vectors for each one whose id is divisible by 100, from the lists that it probes."""
+    middle, probes = vectors.fitted(units(spark, d), LISTS, 25, RECALL)
+    return search.vector_lists(vector_queries(spark, d), vectors.inverted_lists(units(spark, d), middle), middle, 25, probes)
+
+
 @query(_LEX + ", " + _VEC + """, b as (select coalesce(l.unit, v.unit) as unit, l.rank as lexical_rank, v.rank as vector_rank,
 round(coalesce(1.0 / (60 + l.rank), 0) + coalesce(1.15 / (60 + v.rank), 0), 9) as score from (select * from lr where rank <= 30) l full join (select * from vr where rank <= 30) v on l.unit = v.unit),
 r as (select *, row_number() over (order by score desc, unit) as rank from b) select 1 as query_id, unit, lexical_rank, vector_rank, cast(score as double) as score, rank from r where rank <= 10""")
 def hybrid_search(spark, d):
-    return search.hybrid(questions(spark, d), index(spark, d), grams(spark, d), units(spark, d), 10)
+    return search.hybrid(questions(spark, d), texts(spark, d), {"text": 1.0}, ["text"], units(spark, d), 10)
 
 
 TYPES = list(scoring.SECTION_PRIORS)
@@ -110,32 +140,45 @@ def exact_lookup(spark, d):
     return search.exact_lookup(rows, "Red Widget", 50)
 
 
-def hits(spark, d):
-    names = F.array(*[F.lit(n) for n in scoring.SECTION_PRIORS])
-    docs = table(spark, d, "documents")
-    return docs.select(F.col("doc_id").alias("unit"), F.col("source").alias("document"), F.col("source").alias("record"), F.when(F.col("lang") == "de", "settlement").otherwise("orders").alias("bucket"), F.element_at(names, (F.col("doc_id") % 12 + 1).cast("int")).alias("section"), (1.0 / (60 + F.col("n_chars") % 100)).alias("score"))
+def picked(values, at):
+    return F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
 
 
-def _case(column: str, table: dict) -> str:
-    return f"case {column} " + " ".join(f"when '{k}' then {v}" for k, v in table.items()) + " else 1.0 end"
+def hits(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select(F.col("doc_id").alias("unit"), F.col("source").alias("record"), F.when(F.col("lang") == "de", "settlement").otherwise("orders").alias("bucket"), picked(TYPES, F.col("doc_id")).alias("section"), (1.0 / (60 + F.col("n_chars") % 100)).alias("score"))
 
 
-_NAMES = "['" + "','".join(scoring.SECTION_PRIORS) + "']"
-_HITS = f"""h as (select doc_id as unit, source as document, source as record, case when lang = 'de' then 'settlement' else 'orders' end as bucket, {_NAMES}[doc_id % 12 + 1] as section, 1.0::double / (60 + n_chars % 100) as score from documents),
-f as (select *, round(greatest(score * {_case('section', scoring.SECTION_PRIORS)}::double * {_case('section', scoring.INTENT_SECTION['substantive'])}::double * case when bucket = 'settlement' then 1.12 else 1.0 end::double * case when record = 'src1' then 1.45 else 0.62 end::double, 0), 9) as final from h)"""
+_HITS = """h as (select doc_id as unit, source as record, case when lang = 'de' then 'settlement' else 'orders' end as bucket, n_chars,
+['operative_order', 'directions', 'findings', 'issues', 'reply_or_submissions', 'background', 'facts', 'show_cause_notice', 'other', 'table_block', 'annexure', 'header'][doc_id % 12 + 1] as section from documents),
+p as (select *, case section when 'operative_order' then 1.35 when 'directions' then 1.30 when 'findings' then 1.25 when 'issues' then 1.15 when 'reply_or_submissions' then 1.05 when 'background' then 1.00 when 'facts' then 1.00
+  when 'show_cause_notice' then 0.98 when 'other' then 0.92 when 'table_block' then 0.90 when 'annexure' then 0.88 when 'header' then 0.70 end::double as prior,
+ case section when 'operative_order' then 1.20 when 'directions' then 1.18 when 'findings' then 1.15 when 'issues' then 1.08 when 'reply_or_submissions' then 1.03 when 'background' then 0.98 when 'facts' then 0.98
+  when 'show_cause_notice' then 0.96 when 'other' then 0.92 when 'table_block' then 0.92 when 'annexure' then 0.90 when 'header' then 0.75 end::double as substantive,
+ case when bucket = 'settlement' then 1.12 else 1.0 end::double * case when record = 'src1' then 1.45 else 0.62 end::double as others from h)"""
 
 
-@query(f"with {_HITS} select unit, section, final from f")
+@query(f"with {_HITS} select unit, section, round(greatest(1.0::double / (60 + n_chars % 100) * prior * substantive * others, 0), 9) as final from p")
 def priors_rerank(spark, d):
     return search.rerank(hits(spark, d), F.lit("substantive"), ["src1"]).select("unit", "section", "final")
 
 
-@query(f"""with {_HITS}, s as (select *, max(case when section <> 'header' then final end) over (partition by document) as best from f),
-u as (select *, round(case when section = 'header' and final / best > 1 and final / best <= 1.25 then best * 0.995 else final end, 9) as fin from s),
-v as (select *, row_number() over (partition by document, section = 'header' order by fin desc, unit) as k from u)
-select unit, document, round(case when section = 'header' then fin * (1 - least(0.30, 0.12 * (k - 1)))::double else fin end, 9) as final from v""")
+@query("""with h as (select doc_id as unit, doc_id // 12 % 50 as document, n_chars % 3 as lexical, n_chars % 2 as vector, doc_id // 12 % 3 <> 1 as outcome, round(1.0::double / (20 + n_chars % 13), 9) as s0,
+['operative_order', 'header', 'findings', 'issues', 'table_block', 'header', 'facts', 'header', null, 'header', 'annexure', 'header'][doc_id % 12 + 1] as section from documents),
+a as (select *, max(case when section in ('operative_order', 'findings', 'directions') then s0 end) over (partition by document, outcome) as strong from h),
+b as (select *, round(case when outcome and section = 'header' and strong > 0 and s0 > strong and s0 <= 1.25 * strong then strong * 0.995 else s0 end, 9) as s1 from a),
+c as (select *, case when section = 'header' then 'h' when section in ('operative_order', 'findings', 'issues', 'facts') then 's' else 'o' end as kind from b),
+e as (select *, row_number() over (partition by document, outcome, kind order by s1 desc, lexical desc, vector desc, unit) as k, max(case when kind = 'h' then s1 end) over (partition by document, outcome) as top from c)
+select unit, document, section, outcome, round(case when kind = 's' and k = 1 and outcome and s1 > 0 and s1 < top and s1 >= 0.93 * top then s1 + least(top - s1 + greatest(0.01 * s1, 0.000001), 0.08 * top)
+ when kind = 'h' then s1 * (1 - least(0.30, 0.12 * (k - 1))) else s1 end, 9) as final from e""")
 def header_diversity(spark, d):
-    return search.diversify(search.suppress_headers(search.rerank(hits(spark, d), F.lit("substantive"), ["src1"]))).select("unit", "document", "final")
+    """Groups of hits with headers near, above and far above their strong sections; a third of them are for questions that aren't substantive."""
+    n = F.col("doc_id")
+    kinds = ["operative_order", "header", "findings", "issues", "table_block", "header", "facts", "header", None, "header", "annexure", "header"]
+    rows = table(spark, d, "documents").select(n.alias("unit"), (F.floor(n / 12) % 50).alias("document"), (F.col("n_chars") % 3).alias("lexical"), (F.col("n_chars") % 2).alias("vector"), (F.floor(n / 12) % 3 != 1).alias("outcome"), F.round(1.0 / (20 + F.col("n_chars") % 13), 9).alias("final"), picked(kinds, n).alias("section"))
+    rows = rows.withColumn("intent", F.when(F.col("outcome"), "substantive").otherwise("party_or_title"))
+    by = ("document", "outcome")
+    return search.diversify(search.suppress_headers(rows, by), by).select("unit", "document", "section", "outcome", "final")
 
 
 def _cascade(column: str, rules, default: str) -> str:
