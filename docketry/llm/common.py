@@ -33,11 +33,18 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 _written: list[str] = []
 
 
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """The driver removes what is there when it ends, unless discard() has before: results that are read lazily need it until then."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back: lineage ends there and no step runs twice."""
+    """Writes df as a Parquet table in the shared folder and reads it back: lineage ends there and no step runs twice. See gone_at_exit()."""
     path = fresh_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
+    gone_at_exit(df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

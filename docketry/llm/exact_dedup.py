@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import map_arrow, text_or_empty, unused
+from docketry.llm.common import lookup, map_arrow, text_or_empty, unused
 
 #: Bytes of text that a partition's tries hold before a subtree is handed on.
 TRIE_BYTES = 48 << 20
 #: Bits of the content hash that deal the texts of a length class.
 BITS = 12
+#: The rows of a text are dealt into this many parts to be given their owner.
+PARTS = 256
 _PARTIAL = "size_class int, bits int, text binary, owner long, n long"
 _NO_ID = -(2**63)
 
@@ -229,7 +231,12 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", larg
 def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = True) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 for every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(text_or_empty(text_col), 256).alias("text_sha256"))
-    return rows.join(owners(docs, id_col, text_col, largest), "text_sha256").select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
+    # a text without an owner here is held by one row; the rows of a common text are dealt into parts
+    shared = owners(docs, id_col, text_col, largest).where("group_size > 1")
+    found = lookup(rows, ["text_sha256"], shared, ["doc_id"], PARTS, "left")
+    alone = F.col("group_size").isNull()
+    keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
+    return found.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = True) -> DataFrame:

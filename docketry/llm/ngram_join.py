@@ -11,8 +11,8 @@ link count of each node and one edge to its component. Buckets with the same mem
 compared once; in the others a pair belongs to the first band that it shares, so that each is
 verified once. Only the MinHash values of a bucket's nodes travel at first; the n-gram sets follow
 for the nodes that have a partner left. Buckets of over BLOCK nodes are compared block by block, in as many tasks as
-there are pairs of blocks; as a bucket has MAX_BLOCKS blocks at most, no node is copied more often than that, and a task goes
-through larger blocks tile by tile. With the defaults a pair at the threshold shares no band with a
+there are pairs of blocks. How many blocks a bucket has follows from the bytes of its sets: a node is copied MAX_BLOCKS times at most
+until these come to MAX_BLOCKS times MOST_BYTES, and no task holds more than two blocks of MOST_BYTES, which it goes through tile by tile. With the defaults a pair at the threshold shares no band with a
 probability of 5e-8.
 
 Defined results: words are what stands between white space, in lower case; a text of fewer than
@@ -42,8 +42,8 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
 HASHES, STEP = BANDS * ROWS, 16
 TOLERANCE = 1e-8
-#: Nodes of a bucket that are compared in one task, or twice as many for two blocks, until there are MAX_BLOCKS blocks.
-BLOCK, MAX_BLOCKS = 256, 64
+#: Nodes of a block, and bytes of their n-gram sets, until a bucket has MAX_BLOCKS blocks; beyond, a block grows to MOST_BYTES, and then their number goes on.
+BLOCK, BLOCK_BYTES, MAX_BLOCKS, MOST_BYTES = 256, 1 << 20, 64, 64 << 20
 #: Nodes on each side whose pairs are made at once, and pairs that are verified at once.
 TILE, PAIRS = 256, 1 << 20
 #: Stands for a null id: it comes after every other one.
@@ -260,19 +260,20 @@ class Join:
 
     def _blocks(self) -> DataFrame:
         """Rows dealt by (band, key, i, j): nodes with their sets, a bucket or a pair of its blocks in one task."""
-        members = self.nodes.select("rep", "tie", "copies", F.posexplode("sig").alias("band", "key"))
+        members = self.nodes.select("rep", "tie", "copies", "size", F.posexplode("sig").alias("band", "key"))
         one = F.xxhash64("rep", "tie")
-        buckets = members.groupBy("band", "key").agg(F.count("*").alias("c"), F.bit_xor(one).alias("x"), F.min(one).alias("lo"), F.max(one).alias("hi")).where("c > 1")
-        unique = buckets.groupBy("c", "x", "lo", "hi").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key", "c")
-        blocks = F.least(F.ceil(F.col("c") / self.block), F.lit(self.max_blocks)).cast("int")
-        members = members.join(unique, ["band", "key"]).join(self.nodes.select("rep", "tie", "sig", "size"), ["rep", "tie"])
+        buckets = members.groupBy("band", "key").agg(F.count("*").alias("c"), F.sum(8 * F.col("size") + 2 * HASHES).alias("bytes"), F.bit_xor(one).alias("x"), F.min(one).alias("lo"), F.max(one).alias("hi")).where("c > 1")
+        unique = buckets.groupBy("c", "bytes", "x", "lo", "hi").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key", "c", "bytes")
+        wanted = F.greatest(F.ceil(F.col("c") / self.block), F.ceil(F.col("bytes") / BLOCK_BYTES))
+        blocks = F.greatest(F.least(wanted, F.lit(self.max_blocks)), F.ceil(F.col("bytes") / MOST_BYTES)).cast("int")
+        members = members.drop("size").join(unique, ["band", "key"]).join(self.nodes.select("rep", "tie", "sig", "size"), ["rep", "tie"])
         placed = members.withColumn("own", F.pmod(one, blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         placed = placed.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "tie", "copies", "sig", "size")
         self.likely = likely = self._likely(_dealt(placed, "sig", "size"))
         names = likely.select("rep", "tie").distinct()
         texts = self.docs.select(F.col(self.id_col).alias("id"), text_or_empty(self.text_col).alias("text"))
-        # shuffled at every size: a plan that changes to it only on large tables can't be measured on small ones
-        texts = named(texts, "id", "text").select("rep", "tie", "text").join(names.hint("shuffle_hash"), ["rep", "tie"], "left_semi")
+        # shuffled and sorted at every size: a plan that changes to it only on large tables can't be measured on small ones
+        texts = named(texts, "id", "text").select("rep", "tie", "text").join(names.hint("merge"), ["rep", "tie"], "left_semi")
         n = self.n
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

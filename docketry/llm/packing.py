@@ -8,12 +8,13 @@ as long as they are worth nearly that; then the lengths are priced anew, until e
 that are full enough are rounded down, and best fit completes what rounding leaves over; how full is enough is what gives the
 fewest sequences, the most patterns where several do. Pieces then find their place from their rank among the pieces of their length.
 
-Defined results: a null text is empty and still has its end token; repeated rows are packed
-each for itself; an empty table gives no rows; other columns of the input are ignored.
+Defined results: a null text is empty and still has its end token; pieces of one length take their places in the order of their
+partition and place in it; repeated rows are packed each for itself; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import logging
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -27,11 +28,12 @@ from pyspark.sql import functions as F
 from docketry.llm.common import map_arrow, materialise, text_or_empty
 from docketry.llm.tokens import byte_tokenizer
 
+log = logging.getLogger(__name__)
 CAPACITY, END_ID = 2048, 0
 #: How strongly a covered length loses weight, and what a pattern may lack of the best one's value before lengths are priced anew.
 ETA, SLACK = 0.5, 0.002
 #: Gaps that a pattern may have to count as full enough.
-GAPS = (None, 64, 16, 8, 4, 2, 1, 0, -1)
+GAPS = (None, 64, 16, 8, 4, 2, 1, 0)
 #: A length's first weight is its share of a sequence to this power: long pieces fit in fewer places and are priced above their length.
 START = 0.3
 
@@ -167,13 +169,15 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict
     left = {int(n): int(c) for n, c in histogram.items() if c > 0}
     if any(not 0 < n <= capacity for n in left):
         raise ValueError(f"piece lengths must be from 1 to {capacity}")
-    patterns, best, fewest = solve(left, capacity), [], None
+    patterns, best, fewest, whole = solve(left, capacity), [], None, 0
     for gap in GAPS:
         out, rest = rounded(patterns, left, capacity, gap)
+        solved = sum(times for _, times in out)
         out = out + best_fit(rest, capacity)
         total = sum(times for _, times in out)
         if fewest is None or total < fewest:
-            best, fewest = out, total
+            best, fewest, whole = out, total, solved
+    log.info("%d sequences, %d of them by the program's patterns", fewest or 0, whole)
     return best
 
 

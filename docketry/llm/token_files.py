@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import fresh_dir, local_path, map_arrow, materialise, open_store, publish, tasks_for, text_or_empty
+from docketry.llm.common import fresh_dir, gone_at_exit, local_path, map_arrow, materialise, open_store, publish, tasks_for, text_or_empty
 from docketry.llm.ranges import bounds, bucket_of
 from docketry.llm.tokens import word_tokenizer
 
@@ -125,8 +125,9 @@ class Reader:
 
 
 def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, length: int = LENGTH, end_id: int = END_ID, file_tokens: int = FILE_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
-    """Writes the files; returns where each document is (doc_id, file, place in the file, bucket, place in the bucket, n_tokens) and the tokens of each bucket."""
+    """Writes the files (to a folder that goes with the driver where none is given); returns where each document is (doc_id, file, place in the file, bucket, place in the bucket, n_tokens) and the tokens of each bucket."""
     spark = docs.sparkSession
+    own = folder is None
     folder = folder or fresh_dir(spark, "tokens")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     dealt = rows.withColumn("bucket", bucket_of(F.col("doc_id"), bounds(docs, id_col))).repartition("bucket")
@@ -163,6 +164,8 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, lengt
             last, before = bucket, before + int(n.sum())
 
     index = materialise(map_arrow(dealt, run, "doc_id long, file string, place long, bucket int, at long, n_tokens long", text="text"), "token-index")
+    if own:
+        gone_at_exit(spark, folder)
     totals = {r["bucket"]: r["n"] for r in index.groupBy("bucket").agg(F.sum("n_tokens").alias("n")).collect()}
     return index, totals
 

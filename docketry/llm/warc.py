@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import fresh_dir, lookup, map_arrow, materialise, open_store, publish, tasks_for
+from docketry.llm.common import fresh_dir, gone_at_exit, lookup, map_arrow, materialise, open_store, publish, tasks_for
 
 MIN_SHARED, BLOCK = 100, 256
 #: Archives are closed at this size; a part of the index is for so many bytes of them, in MOST_PARTS parts at most.
@@ -257,8 +257,11 @@ def read_back(pages: DataFrame, archives: str, index: str, top: list[tuple[str,
 
 
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Archives all pages under folder (a new shared one), then reads every record back through the index."""
+    """Archives all pages under folder (a new shared one that goes with the driver), then reads every record back through the index."""
+    own = folder is None
     folder = folder or fresh_dir(pages.sparkSession, "warc")
     captures = write_archives(classify(pages), f"{folder}/archives")
     top = write_index(captures, f"{folder}/index")
+    if own:
+        gone_at_exit(pages.sparkSession, folder)
     return read_back(pages, f"{folder}/archives", f"{folder}/index", top)
