@@ -11,26 +11,31 @@ from docketry.session import ship
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the classifier rejects go. An empty or null text is scored like others; rows that repeat id and text go or stay together; an empty table gives no rows."""
     ship(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the classifier rejects go, with the same cases."""
     ship(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row with the largest id of equal texts stays, null texts being empty ones; of rows that repeat id and text one."""
     ship(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row with the smallest id of each class stays (null ids last); rows without words all stay."""
     ship(spark)
     return ngram_join.drop_near_copies(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece; null texts are empty and have their end token; repeated rows are packed each for itself."""
     ship(spark)
     return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"))
 
