@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -22,9 +23,10 @@ FUZZY = {"whole": 0.42, "compact": 0.33, "shared": 0.25, "last": 0.05, "short":
 #: Scores from which a match counts, is worth asking about, is trusted, and how far the next one has to be.
 LEAST, MEDIUM, CONFIDENT, GAP = 0.72, 0.82, 0.84, 0.05
 _HONORIFIC = re.compile(r"\b(?:" + "|".join(HONORIFICS) + r")\b")
-_FOUND = T.StructType([T.StructField(n, T.DoubleType()) for n in ("score", "shared", "first", "last")] + [T.StructField("how", T.StringType()), T.StructField("words", T.IntegerType())])
+_FOUND = T.StructType([T.StructField(n, T.DoubleType()) for n in ("score", "shared", "first", "last")] + [T.StructField("how", T.StringType()), T.StructField("words", T.DoubleType())])
 
 
+@lru_cache(100_000)
 def normalize_fuzzy(value: str | None) -> str:
     """ASCII, lower case, without honorifics, & as and, letters and digits."""
     plain = unicodedata.normalize("NFKD", value or "").encode("ascii", "ignore").decode().lower()
@@ -57,9 +59,27 @@ def fuzzy_score(query: str | None, candidate: str | None) -> tuple[float, str]:
     return found["score"], found["how"]
 
 
-@F.pandas_udf(_FOUND)
-def fuzzy(query: pd.Series, candidate: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([fuzzy_match(q, c) for q, c in zip(query, candidate, strict=True)], columns=_FOUND.names)
+def fuzzy_most(query: str | None, candidate: str | None) -> float:
+    """No less than the score of fuzzy_match(), from lengths and words alone."""
+    q, c = normalize_fuzzy(query), normalize_fuzzy(candidate)
+    if not q or not c or q in c or c in q:
+        return 1.0
+    a, b = q.split(), c.split()
+    likest = lambda x, y: 2 * min(x, y) / (x + y)
+    shared, whole, compact = len({*a} & {*b}) / max(len({*a}), len({*b})), likest(len(q), len(c)), likest(len(q) - len(a) + 1, len(c) - len(b) + 1)
+    out = FUZZY["whole"] * whole + FUZZY["compact"] * compact + FUZZY["shared"] * shared + FUZZY["last"]
+    return max(out, NAMES["base"] + NAMES["first"] + NAMES["shared"] * shared + NAMES["compact"] * compact) if len(a) > 1 and a[-1] == b[-1] else out
+
+
+def fuzzy(query: Column, candidate: Column, least: float = 0.0) -> Column:
+    """fuzzy_match(), null where it can't reach ``least`` (rounded to four places)."""
+
+    @F.pandas_udf(_FOUND)
+    def scored(query: pd.Series, candidate: pd.Series) -> pd.DataFrame:
+        found = [fuzzy_match(q, c) if fuzzy_most(q, c) >= least - 1e-4 else dict.fromkeys(_FOUND.names) for q, c in zip(query, candidate, strict=True)]
+        return pd.DataFrame(found, columns=_FOUND.names)
+
+    return scored(query, candidate)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -77,18 +97,18 @@ def fuzzy_candidates(queries: DataFrame, values: DataFrame, least: float = LEAST
     names = values.select("value").distinct()
     q = queries.select("query_id", F.explode(folded_trigrams("query")).alias("gram"))
     pairs = q.join(names.select("value", F.explode(folded_trigrams("value")).alias("gram")), "gram").select("query_id", "value").distinct()
-    scored = pairs.join(queries.select("query_id", "query"), "query_id").withColumn("m", fuzzy("query", "value")).where(F.col("m.score") >= least)
+    scored = pairs.join(queries.select("query_id", "query"), "query_id").withColumn("m", fuzzy(F.col("query"), F.col("value"), least)).where(F.col("m.score") >= least)
     cols = [F.round(f"m.{c}", 4).alias(c) for c in ("score", "shared", "first", "last")]
-    return scored.select("query_id", "value", *cols, F.col("m.how").alias("how"), F.col("m.words").alias("words")).join(values.select("value_id", "value"), "value")
+    return scored.select("query_id", "value", *cols, F.col("m.how").alias("how"), F.col("m.words").cast("int").alias("words")).join(values.select("value_id", "value"), "value")
 
 
-def match_band(how: Column, words: Column, score: Column, second: Column, shared: Column, first: Column, last: Column) -> Column:
+def match_band(how: Column, words: Column, score: Column, second: Column, shared: Column, first: Column, last: Column, confident: float = CONFIDENT, medium: float = MEDIUM, gap: float = GAP) -> Column:
     """high, medium or low for the best match of a query; second: the next score or null."""
-    clear = second.isNull() | (second <= F.round(score - GAP, 6))
-    one = F.when((score >= max(CONFIDENT + 0.08, 0.92)) & clear, "high").when((score >= MEDIUM) & clear, "medium").otherwise("low")
-    high = (score >= CONFIDENT) & (first >= 0.86) & (shared >= 0.5) & clear
-    medium = clear & ((score >= MEDIUM) & (last >= 0.995) & (first >= 0.45) | (score >= CONFIDENT + 0.04) & (shared >= 0.5))
-    return F.when(how == "exact", "high").when(words == 1, one).when(high, "high").when(medium, "medium").otherwise("low")
+    clear = second.isNull() | (second <= F.round(score - gap, 6))
+    one = F.when((score >= max(confident + 0.08, 0.92)) & clear, "high").when((score >= medium) & clear, "medium").otherwise("low")
+    high = (score >= confident) & (first >= 0.86) & (shared >= 0.5) & clear
+    likely = clear & ((score >= medium) & (last >= 0.995) & (first >= 0.45) | (score >= confident + 0.04) & (shared >= 0.5))
+    return F.when(how == "exact", "high").when(words == 1, one).when(high, "high").when(likely, "medium").otherwise("low")
 
 
 def ranked_matches(found: DataFrame) -> DataFrame:
@@ -118,27 +138,43 @@ GROUP_LABELS = {
 
 def designation(title: Column) -> Column:
     """A title in lower case, short forms written out; empty for a null one."""
-    low = F.trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"\s+", " "))
-    key = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.replace(low, F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", " ")), F.lit(" "))
+    return text.bound(F.struct(_low(title).alias("low"), _key(_low(title)).alias("key")), lambda x: _written_out(x["low"], x["key"]))
+
 
-    def written_out(x: Column) -> Column:
-        out = F.replace(x["low"], F.lit("-"), F.lit(" "))
-        for name, forms in reversed(DESIGNATIONS.items()):
-            out = F.when(x["key"].rlike(" (" + "|".join(forms) + ") "), F.lit(name)).otherwise(out)
-        return out
+def _low(title: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"\s+", " "))
 
-    return text.bound(F.struct(low.alias("low"), key.alias("key")), written_out)
+
+def _key(low: Column) -> Column:
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.replace(low, F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", " ")), F.lit(" "))
+
+
+def _written_out(low: Column, key: Column) -> Column:
+    out = F.replace(low, F.lit("-"), F.lit(" "))
+    for name, forms in reversed(DESIGNATIONS.items()):
+        out = F.when(key.rlike(" (" + "|".join(forms) + ") "), F.lit(name)).otherwise(out)
+    return out
+
+
+def _code(c: Column | None) -> Column:
+    return F.lit("") if c is None else F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), "[- ]", "_")
 
 
 def designation_group(title: Column, role_group: Column | None = None, board_category: Column | None = None, board_role: Column | None = None) -> Column:
     """The group of a person: by board category and role group first, then by the title's words, then by what is left."""
-    code = lambda c: F.lit("") if c is None else F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), "[- ]", "_")
     board = F.lit("") if board_role is None else F.trim(F.coalesce(board_role, F.lit("")))
-    parts = F.struct(designation(title).alias("named"), code(role_group).alias("role"), code(board_category).alias("category"), board.alias("board"))
+    parts = F.struct(designation(title).alias("named"), _code(role_group).alias("role"), _code(board_category).alias("category"), board.alias("board"))
     # bound once: the rules would work out each part for every comparison
     return text.bound(parts, lambda x: _group(x["named"], x["role"], x["category"], x["board"]))
 
 
+def with_group(rows: DataFrame, name: str, title: str, role_group: str, board_category: str, board_role: str) -> DataFrame:
+    """rows with designation_group() in a column of this name. Each step is a projection of its own, so that generated code stays small and compiles."""
+    steps = rows.withColumn("__low", _low(F.col(title))).withColumn("__key", _key(F.col("__low")))
+    steps = steps.withColumns({"__named": _written_out(F.col("__low"), F.col("__key")), "__role": _code(F.col(role_group)), "__category": _code(F.col(board_category)), "__board": F.trim(F.coalesce(board_role, F.lit("")))})
+    return steps.withColumn(name, _group(*(F.col(c) for c in ("__named", "__role", "__category", "__board")))).drop("__low", "__key", "__named", "__role", "__category", "__board")
+
+
 def _group(named: Column, role: Column, category: Column, board: Column) -> Column:
     begins = lambda name: (named == name) | named.startswith(name + " ")
     out = F.when((category == "chairperson") | (role == "chairperson"), "chairperson").when((category == "whole_time_member") | (role == "wtm"), "whole_time_member")

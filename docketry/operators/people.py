@@ -29,10 +29,6 @@ IDENTITY = ("same_staff_no", "same_email", "same_phone")
 SHAPE = ("source_type", "source_url", "row_key", "name", "designation", "role_group", "department", "office", "email", "phone", "joined", "staff_no", "board_role", "board_category")
 
 
-def blank(c: str) -> Column:
-    return F.coalesce(text.whitespace_or_null(F.col(c)), F.lit(""))
-
-
 def title_role(title: Column) -> Column:
     """The role group that a title names, or null."""
     low = F.lower(F.coalesce(title, F.lit("")))
@@ -61,17 +57,22 @@ def source_rows(people: DataFrame, board: DataFrame, org: DataFrame) -> DataFram
 
 def keyed(rows: DataFrame, office_key: Column | None = None) -> DataFrame:
     """rows with what they are compared by: name_key, group and keys of values; rows without a name go. office_key: see directory.office_label."""
-    clean = F.regexp_replace(text.person_name(text.whitespace_or_null(F.col("name"))), r"(?i)^\s*(?:shri|smt|mrs|mr|ms|dr)\.?\s+", "")
-    clean = F.trim(F.regexp_replace(clean, r"^[ ,.]+|[ ,.]+$", ""))
+    # a projection for each step: in one, their generated code is too long to compile
+    # bound, as the filter on the key is pushed down with all that it is made of
+    name = text.bound(text.whitespace_or_null(F.col("name")), text.person_name)
+    rows = rows.withColumn("clean", F.btrim(F.regexp_replace(name, r"(?i)^\s*(?:shri|smt|mrs|mr|ms|dr)\.?\s+", ""), F.lit(" ,.")))
+    rows = rows.withColumn("name_key", text.lookup_key(F.col("clean"))).where(F.coalesce("name_key", F.lit("")) != "")
     rank = lambda c, table: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col(c)), F.lit(0))
-    full = [F.when(blank(c) != "", 1).otherwise(0) for c in ("designation", "department", "office", "email", "phone", "joined", "staff_no", "board_role", "board_category")]
+    held = ("designation", "department", "office", "email", "phone", "joined", "staff_no", "board_role", "board_category")
+    rows = rows.withColumn("__full", F.transform(F.array(*[F.col(c) for c in held]), lambda v: F.coalesce(text.whitespace_or_null(v), F.lit(""))))
+    rows = rows.withColumn("__keys", F.transform(F.array(*[F.col("__full")[held.index(c)] for c in ("department", "office", "board_role")]), text.lookup_key))
+    at = {c: F.col("__full")[k] for k, c in enumerate(held)}
     rows = rows.withColumns({
-        "clean": clean, "name_key": text.lookup_key(clean), "group": entities.designation_group(F.col("designation"), F.col("role_group"), F.col("board_category"), F.col("board_role")),
-        "department_key": text.lookup_key(blank("department")), "office_key": text.lookup_key(blank("office")) if office_key is None else F.coalesce(office_key, F.lit("")),
-        "email_key": F.coalesce(text.email(F.col("email")), F.lit("")), "phone_key": blank("phone"), "staff_key": blank("staff_no"), "board_key": text.lookup_key(blank("board_role")),
-        "source_rank": rank("source_type", SOURCE_PRIORITY), "role_rank": rank("role_group", ROLE_PRIORITY), "richness": sum(full[1:], full[0]),
-    })
-    return rows.where(F.coalesce("name_key", F.lit("")) != "")
+        "department_key": F.col("__keys")[0], "office_key": F.col("__keys")[1] if office_key is None else F.coalesce(office_key, F.lit("")),
+        "email_key": F.coalesce(text.email(F.col("email")), F.lit("")), "phone_key": at["phone"], "staff_key": at["staff_no"], "board_key": F.col("__keys")[2],
+        "source_rank": rank("source_type", SOURCE_PRIORITY), "role_rank": rank("role_group", ROLE_PRIORITY), "richness": F.size(F.filter("__full", lambda v: v != "")),
+    }).drop("__full", "__keys")
+    return entities.with_group(rows, "group", "designation", "role_group", "board_category", "board_role")
 
 
 @dataclass
@@ -191,9 +192,8 @@ def merged(rows: DataFrame, found: DataFrame) -> DataFrame:
     words = F.split("name", " ")
     first, last = words[0], F.element_at(words, -1)
     aliases = F.when(F.size(words) > 1, F.array(F.col("name"), first, last, F.concat_ws(" ", first, words[1]), F.concat_ws(" ", first, last))).otherwise(F.array(F.col("name"), first))
-    out = out.withColumns({
-        "designation_group": entities.designation_group(F.col("designation"), F.col("role_group"), F.col("board_category"), F.col("board_role")), "aliases": F.array_distinct(aliases),
-        "source_types": F.transform("s", lambda x: x["source_type"]), "reasons": F.transform("w", lambda x: x["reason"]),
+    out = entities.with_group(out, "designation_group", "designation", "role_group", "board_category", "board_role").withColumns({
+        "aliases": F.array_distinct(aliases), "source_types": F.transform("s", lambda x: x["source_type"]), "reasons": F.transform("w", lambda x: x["reason"]),
     }).drop("s", "w")
     parts = ("name_key", "designation_group", "department", "office", "staff_no", "email", "cluster")
     signature = F.array_join(F.filter(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in parts]), lambda x: x != ""), "|")

@@ -165,3 +165,14 @@ def test_three_sources_give_one_shape(spark):
     assert got["4:leader"].role_group == "department_head" and got["5:executive_director"].email == "ed[at]x[dot]org"
     keys = {r.row_key: (r.name_key, r.group, r.email_key) for r in people.keyed(people.source_rows(directory, board, org)).collect()}
     assert keys["2"] == ("rao", "chairperson", "") and keys["5:executive_director"] == ("ex dir", "executive_director", "ed@x.org")
+
+
+def test_generated_code_compiles(spark):
+    """Without a fall-back to interpreted rows: a projection whose code is too long fails here."""
+    before = spark.conf.get("spark.sql.codegen.fallback")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        rows = plans.directory_rows(spark, "/root/testdata/sf0.001")
+        assert people.merged(rows, people.clusters(rows)).count() > 0 and rows.count() > 0
+    finally:
+        spark.conf.set("spark.sql.codegen.fallback", before)
