@@ -18,6 +18,7 @@ SECTIONS = (
     ("reply_or_submissions", r"\brepl(y|ies)\b|\bsubmissions?\b"), ("show_cause_notice", r"\bshow cause\b"), ("background", r"\bbackground\b"), ("facts", r"\bfacts\b"), ("annexure", r"\bannexures?\b"),
 )
 _NUMBERED, _LETTERED = re.compile(r"^\(?\d+(\.\d+)*[.)]?\s+\S"), re.compile(r"^\(?[A-Z][.)]\s+\S")
+LONGEST_HEADING = 160
 _FOOTER = re.compile(r"^\s*page\s+\d+(\s+of\s+\d+)?\s*$", re.IGNORECASE)
 
 
@@ -29,7 +30,7 @@ def count_tokens(value: str) -> int:
 def heading_level(line: str, caps: float = 0.6) -> int | None:
     """1 for headings in capitals, by depth for numbered ones, 2 for lettered ones; None for other lines."""
     line = line.strip()
-    if not line or len(line) > 160 or line[-1] in ".;,":
+    if not line or len(line) > LONGEST_HEADING or line[-1] in ".;,":
         return None
     if _NUMBERED.match(line) and len(line.split()) <= 14:
         return line.split()[0].strip("().").count(".") + 1
@@ -41,18 +42,24 @@ def heading_level(line: str, caps: float = 0.6) -> int | None:
 
 def normalized(value: str) -> str:
     """Without zero-width characters and page footers; hyphenated line ends are joined, and lines that go on in lower case are merged."""
-    lines: list[str] = []
+    lines: list[list[str]] = []  # the pieces of each line: what goes on and on is joined once
+    size = 0
     for raw in re.sub(r"\r\n?", "\n", re.sub("[​-‍﻿]", "", value or "")).split("\n"):
         line = re.sub(r"[ \t\f\v]+", " ", raw).strip()
         if _FOOTER.match(line):
             continue
-        if lines and line and lines[-1].endswith("-") and line[0].islower():
-            lines[-1] = lines[-1][:-1] + line
-        elif lines and line and lines[-1] and line[0].islower() and heading_level(lines[-1]) is None:
-            lines[-1] += " " + line
+        goes_on = bool(lines and line and line[0].islower() and lines[-1][-1])
+        if goes_on and lines[-1][-1].endswith("-"):
+            lines[-1][-1] = lines[-1][-1][:-1]
+            lines[-1].append(line)
+        elif goes_on and (size > LONGEST_HEADING or heading_level("".join(lines[-1])) is None):
+            lines[-1] += [" ", line]
+            size += 1
         else:
-            lines.append(line)
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
+            lines.append([line])
+            size = 0
+        size += len(line)
+    return re.sub(r"\n{3,}", "\n\n", "\n".join("".join(pieces) for pieces in lines)).strip()
 
 
 def section_type(c: Column) -> Column:

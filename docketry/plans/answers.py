@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docketry.functions import text
-from docketry.operators import answers, directory, relational, search, segmentation
+from docketry.operators import answers, blocks, directory, relational, search, segmentation
 from docketry.plans.catalog import query
 from docketry.session import table
 from docketry.sources import html
@@ -297,3 +297,21 @@ def stated_values(spark, d):
     from docketry.operators import facts
 
     return table(spark, d, "events").select("event_id", facts.states_value(F.col("props"), F.col("value")).alias("stated"))
+
+
+def document_pages(spark, d):
+    """Pages of documents: the documents of a source and language in the order of their ids are the pages of one document, and every seventh begins with a heading."""
+    n = F.col("doc_id")
+    head = F.when(n % 7 == 0, "ORDER PASSED IN THE MATTER").when(n % 7 == 1, "2. Findings on the Issues").when(n % 7 == 2, "Issue II: Whether notices were served").when(n % 7 == 3, "a | b | c").otherwise("")
+    key = F.concat_ws("-", "source", "lang", F.floor(n / 40).cast("string"))
+    return table(spark, d, "documents").select(key.alias("doc"), (n % 40 + 1).cast("int").alias("page"), F.concat(head, F.lit("\n\n"), F.regexp_replace("text", r"\n", "\n\n")).alias("body"))
+
+
+@query()
+def document_blocks(spark, d):
+    return blocks.document_blocks(document_pages(spark, d))
+
+
+@query()
+def typed_chunks(spark, d):
+    return blocks.typed_chunks(document_pages(spark, d))
