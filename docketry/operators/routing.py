@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Intents by the first rule that holds.
-INTENTS = (("substantive", r"\b(penalt\w*|direct\w*|finding\w*|held|violat\w*|settle\w*|appeal\w*)\b"), ("party_or_title", r"\b(versus|vs|in the matter of|limited|ltd)\b"), ("regulation", r"\b(section|regulation|act|rule)s?\b"))
+#: Routes by the first rule that holds.
 ROUTES = (("greeting", r"^\s*(hi|hello|hey|thanks)\b"), ("corpus_stats", r"\bhow many (orders|documents)\b"), ("directory", r"\b(chairman|director|office|phone|email|address)\b"), ("current_news", r"\b(latest|today|news)\b"), ("exact_lookup", r"\b(order|matter) (of|in)\b"))
 
 
@@ -17,20 +16,10 @@ def cascade(c: Column, rules, default: str) -> Column:
     return out
 
 
-def intent(c: Column) -> Column:
-    return cascade(c, INTENTS, "generic")
-
-
 def route(c: Column) -> Column:
     return cascade(c, ROUTES, "hierarchical_search")
 
 
-def signals(c: Column) -> dict[str, Column]:
-    low = F.lower(c)
-    found = {"has_number": r"[0-9]", "has_quote": "\"", "asks_who": r"\bwho\b", "asks_when": r"\bwhen\b", "asks_amount": r"\b(amount|how much|price)\b", "asks_compare": r"\b(compare|difference|versus)\b", "is_question": r"\?\s*$"}
-    return {k: F.coalesce(low.rlike(p), F.lit(False)) for k, p in found.items()}
-
-
 #: What a question's signals lead to: the plan, its reason, and the condition on the signals; the first that holds counts.
 PLANS = (
     ("abstain", "empty_query", "empty"), ("general_knowledge", "smalltalk", "smalltalk"), ("current_news", "current_news_lookup", "current_news"), ("order_metadata", "corpus_metadata_first", "corpus_metadata"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docketry.functions import text
-from docketry.operators import answers, blocks, directory, relational, search, segmentation
+from docketry.operators import answers, blocks, catalogue, directory, relational, search, segmentation
 from docketry.plans.catalog import query
 from docketry.session import table
 from docketry.sources import html
@@ -179,9 +179,12 @@ def link_kinds(spark, d):
 
 
 @query("""select page_id, nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), '') as title_tag,
-'1' as next_value, cast(null as integer) as total_pages, false as has_next from pages""")
+case when page_id % 3 = 1 then cast(page_id % 17 as varchar) else '1' end as next_value, case when page_id % 5 = 1 then cast(page_id % 23 as integer) end as total_pages, page_id % 4 = 1 as has_next from pages""")
 def page_paging(spark, d):
-    pages = table(spark, d, "pages")
+    n, pages = F.col("page_id"), table(spark, d, "pages")
+    hidden = lambda name, by: F.concat(F.lit(f'<input type="hidden" name="{name}" class="p" value="'), (n % by).cast("string"), F.lit('">'))
+    more = F.concat(F.when(n % 3 == 1, hidden("nextValue", 17)).otherwise(""), F.when(n % 5 == 1, hidden("totalpage", 23)).otherwise(""), F.when(n % 4 == 1, "<a href='#' title='Next'>&gt;</a>").otherwise("<a title='Previous'>&lt;</a>"))
+    pages = pages.withColumn("html", F.concat(F.coalesce("html", F.lit("")), more))
     tag = F.regexp_replace(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), "<[^>]*>", " ")
     return html.paging(pages).join(pages.select("page_id", text.whitespace_or_null(tag).alias("title_tag")), "page_id")
 
@@ -203,36 +206,29 @@ def best_sources(spark, d):
 @query("select doc_id, lang, source from documents where lang = 'en' or doc_id in (select doc_id from labels where quality = 1)")
 def union_scope(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang", "source")
-    ids = docs.where("lang = 'en'").select("doc_id").unionByName(table(spark, d, "labels").where("quality = 1").select("doc_id")).distinct()
-    return docs.join(ids, "doc_id", "left_semi")
+    return catalogue.in_either(docs, "doc_id", docs.where("lang = 'en'"), table(spark, d, "labels").where("quality = 1"))
 
 
 @query("select c_custkey, coalesce(n, 0) as n_orders from customer left join (select o_custkey, count(*) as n from orders group by o_custkey) on o_custkey = c_custkey")
 def processed_counts(spark, d):
-    n = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
-    return table(spark, d, "customer").join(n, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"))
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return catalogue.with_counts(table(spark, d, "customer"), orders, "c_custkey", "n_orders").select("c_custkey", "n_orders")
 
 
 @query("select l_orderkey, string_agg(cast(l_partkey as varchar), ',' order by l_linenumber, l_partkey) as parts from lineitem group by l_orderkey")
 def parts_in_order(spark, d):
-    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("p"))
-    return rows.select("l_orderkey", F.array_join(F.transform("p", lambda x: x["l_partkey"].cast("string")), ",").alias("parts"))
+    return catalogue.in_order(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "parts")
 
 
 @query("select doc_id, toxic, row_number() over (partition by source order by toxic desc nulls last, doc_id) as place from documents left join labels using (doc_id)")
 def facts_nulls_last(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source").orderBy(F.desc_nulls_last("toxic"), "doc_id")
     rows = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels"), "doc_id", "left")
-    return rows.select("doc_id", "toxic", F.row_number().over(w).alias("place"))
+    return catalogue.numbered(rows, "source", F.desc_nulls_last("toxic"), F.col("doc_id")).select("doc_id", "toxic", "place")
 
 
 @query("""select item_id, 'case:' || coalesce(nullif(substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 72), ''), 'case') || ':' || substr(sha1(text), 1, 10) as case_id from benchmark""")
 def case_ids(spark, d):
-    bare = F.regexp_replace(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    slug = F.coalesce(F.nullif(F.substring(bare, 1, 72), F.lit("")), F.lit("case"))
-    return table(spark, d, "benchmark").select("item_id", F.concat(F.lit("case:"), slug, F.lit(":"), F.substring(F.sha1("text"), 1, 10)).alias("case_id"))
+    return table(spark, d, "benchmark").select("item_id", catalogue.case_id(F.col("text")).alias("case_id"))
 
 
 @query("""with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as line_no from documents),
@@ -250,18 +246,17 @@ def tidy_chunks(spark, d):
 
 @query("select * from (select user_id, event_id, ts from events qualify row_number() over (order by ts desc, event_id desc) <= 20)")
 def recent_top(spark, d):
-    return table(spark, d, "events").select("user_id", "event_id", "ts").orderBy(F.desc("ts"), F.desc("event_id")).limit(20)
+    return catalogue.latest(table(spark, d, "events").select("user_id", "event_id", "ts"), 20, "ts", "event_id")
 
 
 @query("select c_nationkey, count(*) as cases, min(c_acctbal) as least, max(c_acctbal) as most, greatest(100 - count(*), 0) as missing from customer group by c_nationkey")
 def bucket_ranges(spark, d):
-    return table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("cases"), F.min("c_acctbal").alias("least"), F.max("c_acctbal").alias("most"), F.greatest(100 - F.count("*"), F.lit(0)).alias("missing"))
+    return catalogue.value_ranges(table(spark, d, "customer"), "c_nationkey", "c_acctbal", 100)
 
 
 @query("select user_id, last(value order by event_id) filter (where event_type = 'click') as last_click, last(value order by event_id) filter (where event_type = 'view') as last_view from events group by user_id")
 def last_contacts(spark, d):
-    last = lambda kind: F.max_by("value", F.when(F.col("event_type") == kind, F.col("event_id")))
-    return table(spark, d, "events").groupBy("user_id").agg(last("click").alias("last_click"), last("view").alias("last_view"))
+    return catalogue.last_of_kinds(table(spark, d, "events"), "user_id", "event_type", "event_id", "value", ["click", "view"])
 
 
 @query("select source, doc_id, n_chars from (select *, row_number() over (partition by source order by n_chars desc, doc_id) as rn from documents) where rn <= 2")

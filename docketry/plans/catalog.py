@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docketry.functions import text
-from docketry.operators import facts, relational, segmentation
+from docketry.operators import catalogue, facts, relational, segmentation
 from docketry.session import table
 from docketry.sources import manifest
 from docketry.streaming import events as streams
@@ -59,9 +59,7 @@ def session_summary(spark, d):
 
 @query("select conv_id, row_number() over (partition by conv_id order by turn) as turn_no, role, length(text) as n_chars from conversations")
 def session_turns(spark, d):
-    from pyspark.sql import Window
-
-    return table(spark, d, "conversations").select("conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("turn_no"), "role", F.length("text").alias("n_chars"))
+    return catalogue.numbered(table(spark, d, "conversations"), "conv_id", "turn", name="turn_no").select("conv_id", "turn_no", "role", F.length("text").alias("n_chars"))
 
 
 @query("""with c as (select *, case when lag(event_type) over w = event_type then 0 else 1 end as ch from events window w as (partition by user_id order by event_id)),
@@ -102,27 +100,19 @@ def duplicate_text_flags(spark, d):
 
 @query("select source, round(1 - count(distinct sha256(text)) / count(*), 6) as redundancy, round(1 - count(distinct n_chars) / count(*), 6) as duplicate_ratio from documents group by source")
 def redundancy_ratios(spark, d):
-    rows = table(spark, d, "documents").withColumn("sha", F.sha2("text", 256))
-    return rows.groupBy("source").agg(F.round(1 - F.countDistinct("sha") / F.count("*"), 6).alias("redundancy"), F.round(1 - F.countDistinct("n_chars") / F.count("*"), 6).alias("duplicate_ratio"))
+    return catalogue.repeated_shares(table(spark, d, "documents"), "source", {"redundancy": F.sha2("text", 256), "duplicate_ratio": F.col("n_chars")})
 
 
 @query("""select count(*) as docs, count(*) filter (where o_orderstatus = 'F') as finished, count(distinct o_custkey) as customers,
 count(distinct o_custkey) filter (where o_totalprice > 100000) as big_customers, (select count(distinct l_orderkey) from lineitem where l_returnflag = 'R' and l_orderkey in (select o_orderkey from orders where o_orderstatus = 'F')) as returned_orders from orders""")
 def backfill_coverage(spark, d):
-    orders, items = table(spark, d, "orders"), table(spark, d, "lineitem")
-    done = orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    a = orders.agg(F.count("*").alias("docs"), F.count_if(F.col("o_orderstatus") == "F").alias("finished"), F.countDistinct("o_custkey").alias("customers"), F.countDistinct(F.when(F.col("o_totalprice") > 100000, F.col("o_custkey"))).alias("big_customers"))
-    b = items.where("l_returnflag = 'R'").join(done, "l_orderkey", "left_semi").agg(F.countDistinct("l_orderkey").alias("returned_orders"))
-    return a.crossJoin(b)  # one row each
+    found = catalogue.coverage(table(spark, d, "orders"), F.col("o_orderstatus") == "F", "o_custkey", F.col("o_totalprice") > 100000, table(spark, d, "lineitem").where("l_returnflag = 'R'"), "o_orderkey", "l_orderkey")
+    return found.toDF("docs", "finished", "customers", "big_customers", "returned_orders")
 
 
 @query("select src, count(*) as n from (select 'customer' as src from customer union all select 'supplier' from supplier union all select 'part' from part union all select 'nation' from nation) group by src")
 def union_source_counts(spark, d):
-    names = ("customer", "supplier", "part", "nation")
-    out = table(spark, d, names[0]).select(F.lit(names[0]).alias("src"))
-    for n in names[1:]:
-        out = out.unionByName(table(spark, d, n).select(F.lit(n).alias("src")))
-    return out.groupBy("src").agg(F.count("*").alias("n"))
+    return catalogue.source_counts({n: table(spark, d, n) for n in ("customer", "supplier", "part", "nation")})
 
 
 @query("select doc_id, source from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)")
@@ -204,8 +194,7 @@ def context_budget(spark, d):
 
 @query("""select source, count(*) as n_docs, count(*) filter (where n_chars > 1000) as local_docs, greatest(count(*) - count(*) filter (where n_chars > 1000), 0) as missing, min(doc_id) as first_id, max(doc_id) as last_id from documents group by source""")
 def corpus_snapshot(spark, d):
-    local = F.count_if(F.col("n_chars") > 1000)
-    return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n_docs"), local.alias("local_docs"), F.greatest(F.count("*") - local, F.lit(0)).alias("missing"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    return catalogue.local_share(table(spark, d, "documents"), "source", F.col("n_chars") > 1000, "doc_id")
 
 
 @query("select doc_id, source, lang from documents where source in ('src1', 'src2') and lang = 'en' and n_chars > 500")
@@ -268,10 +257,15 @@ def amount_extraction(spark, d):
     return facts.amounts(rows, "id").select("id", "amount_text", "amount", "unit")
 
 
-@query("""select 'Section' as kind, 'Sample Act, 1992' as statute, cast(l_linenumber as varchar) as reference, l_orderkey from lineitem group by all""")
+@query("""with s as (select *, ['Section', 'Regulation', 'Rule', 'Schedule'][l_linenumber % 4 + 1] as kind,
+case l_partkey % 4 when 0 then 'SEBI Act, 1992' when 1 then 'Settlement Regulations' when 2 then 'Carriage By ' || l_returnflag || ' Act, 1992' else 'Sample Rules, 2001' end as statute from lineitem)
+select kind, statute, cast(l_linenumber as varchar) as reference, l_orderkey from s union select kind, statute, l_suppkey % 50 + 60 || 'A', l_orderkey from s""")
 def legal_provisions(spark, d):
-    rows = table(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("Under section "), F.col("l_linenumber").cast("string"), F.lit(" of the Sample Act, 1992 it was held.")).alias("body"))
-    return facts.provisions(rows, "l_orderkey", "body").select("kind", "statute", "reference", "l_orderkey")
+    k, n = F.col("l_partkey"), F.col("l_linenumber")
+    kind = F.element_at(F.array(*map(F.lit, ("section", "Regulation", "rules", "Schedule"))), n % 4 + 1)
+    statute = F.when(k % 4 == 0, "SEBI Act").when(k % 4 == 1, "settlement regulations, 2018").when(k % 4 == 2, F.concat(F.lit("Carriage by "), "l_returnflag", F.lit(" Act, 1992"))).otherwise("Sample Rules, 2001")
+    said = F.concat(F.lit("Under "), kind, F.lit(" "), n.cast("string"), F.lit(" and "), (F.col("l_suppkey") % 50 + 60).cast("string"), F.lit("A of the "), statute, F.lit(" it was held."))
+    return facts.provisions(table(spark, d, "lineitem").select("l_orderkey", said.alias("body")), "l_orderkey", "body").select("kind", "statute", "reference", "l_orderkey")
 
 
 @query("select time_bucket(interval 1 hour, ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
@@ -297,3 +291,11 @@ def change_detection(spark, d):
 @query()
 def document_chunks(spark, d):
     return segmentation.chunks(table(spark, d, "documents"))
+
+
+@query("""with j as (select source, sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","n_chars":' || n_chars || ',"source":"' || source || '"}') as s from documents),
+l as (select source, count(*) as n_rows, sum(('0x' || substr(s, 1, 15))::hugeint) % 1152921504606846976 as a, sum(('0x' || substr(s, 16, 15))::hugeint) % 1152921504606846976 as b, sum(('0x' || substr(s, 31, 15))::hugeint) % 1152921504606846976 as c, sum(('0x' || substr(s, 46, 15))::hugeint) % 1152921504606846976 as e from j group by source)
+select source, n_rows, substr(sha1(n_rows || format('{:015x}{:015x}{:015x}{:015x}', a::bigint, b::bigint, c::bigint, e::bigint)), 1, 12) as version from l""")
+def dataset_versions(spark, d):
+    """A version for each source, which a row more, less or other changes."""
+    return catalogue.dataset_version(table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars"), ["source"])

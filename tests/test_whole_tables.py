@@ -10,8 +10,12 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_provisions_of_every_line(spark):
-    want = duckdb.sql(f"select distinct l_orderkey, cast(l_linenumber as varchar) from '{SF}/lineitem.parquet'").fetchall()
-    got = [(r.l_orderkey, r.reference) for r in registry.QUERIES["legal_provisions"](spark, SF).collect()]
+    lines = duckdb.sql(f"select l_orderkey, l_linenumber, l_suppkey, l_partkey, l_returnflag from '{SF}/lineitem.parquet'").fetchall()
+    want = set()
+    for order, line, supplier, part, flag in lines:
+        kind, statute = ("Section", "Regulation", "Rule", "Schedule")[line % 4], ("SEBI Act, 1992", "Settlement Regulations", f"Carriage By {flag} Act, 1992", "Sample Rules, 2001")[part % 4]
+        want |= {(order, kind, statute, str(line)), (order, kind, statute, f"{supplier % 50 + 60}A")}
+    got = [(r.l_orderkey, r.kind, r.statute, r.reference) for r in registry.QUERIES["legal_provisions"](spark, SF).collect()]
     assert sorted(got) == sorted(want)
 
 
