@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -184,3 +185,106 @@ def details(pages: DataFrame, page: str = "page_id", html: str = "html") -> Data
     files = F.filter(hrefs, lambda h: h.rlike(r"(?i)\.(pdf|docx?|xlsx?|zip)($|[?#])"))
     day = F.regexp_extract(F.coalesce(html, F.lit("")), r"\b([A-Z][a-z]{2,8} \d{1,2}, \d{4})\b", 1)
     return pages.select(page, title.alias("title"), text.any_date(day, ("MMM d, yyyy", "MMMM d, yyyy")).alias("day"), F.get(files, F.lit(0)).alias("file"))
+
+
+#: Elements that hold headings of their own, and elements without an end tag.
+CONTAINERS, VOID = ("article", "body", "div", "li", "section", "td"), ("area", "base", "br", "col", "hr", "img", "input", "link", "meta", "source", "wbr")
+
+
+class Cards(HTMLParser):
+    """Containers with headings of at least two levels right inside of them, each with the heading that it stands under.
+
+    A stack holds the open containers. The end of a container ends all that are open in it; an end tag without a start is passed over; what is
+    open at the end of the page ends there."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.open: list[tuple[str, dict[str, str]]] = [("page", {})]
+        self.heading: tuple[str, list[str]] | None = None
+        self.cards: list[dict] = []
+
+    def handle_starttag(self, tag, attrs):
+        if re.fullmatch("h[1-6]", tag):
+            self._end_heading()
+            self.heading = tag, []
+        elif tag in CONTAINERS:
+            self._end_heading()
+            self.open.append((tag, {}))
+        elif self.heading and tag in VOID:
+            self.heading[1].append(" ")
+
+    def handle_data(self, data):
+        if self.heading:
+            self.heading[1].append(data)
+
+    def handle_endtag(self, tag):
+        if self.heading and tag == self.heading[0]:
+            self._end_heading()
+        elif tag in CONTAINERS and any(t == tag for t, _ in self.open):
+            self._end_heading()
+            while self._end_container() != tag:
+                pass
+
+    def _end_heading(self) -> None:
+        if self.heading:
+            level, parts = self.heading
+            said = " ".join("".join(parts).split())
+            if said:
+                self.open[-1][1].setdefault(level, said)
+            self.heading = None
+
+    def _end_container(self) -> str:
+        tag, own = self.open.pop()
+        if len(own) > 1:
+            above = next((held[max(held)] for _, held in reversed(self.open) if held), None)
+            self.cards.append({"card_no": len(self.cards), "under": above, "headings": own})
+        return tag
+
+    def close(self):
+        super().close()
+        self._end_heading()
+        while self.open:
+            self._end_container()
+
+
+def cards(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
+    """page, card_no, under (the heading above, or null) and headings (level to text) of each card."""
+    kind = dict(pages.dtypes)[page]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for p, h in zip(frame[page], frame[html], strict=True):
+                parser = Cards()
+                parser.feed(h or "")
+                parser.close()
+                rows += [{page: p, **c} for c in parser.cards]
+            yield pd.DataFrame(rows, columns=[page, "card_no", "under", "headings"])
+
+    return pages.select(page, html).mapInPandas(run, f"{page} {kind}, card_no int, under string, headings map<string,string>")
+
+
+def leader(heading: Column) -> tuple[Column, Column]:
+    """Name and role of a heading that is a name, a comma and a role; without a comma a name alone."""
+    parts = F.split(F.coalesce(heading, F.lit("")), ",", 2)
+    return text.person_name(text.whitespace_or_null(parts[0])), text.whitespace_or_null(F.get(parts, F.lit(1)))
+
+
+def org_rows(table_rows: DataFrame, page: str) -> DataFrame:
+    """The organisation chart as people.source_rows() takes it: the rows of tables() under the heading of their leader, with department, director (a name,
+    with a role after a comma) and contact (phone and email). Equal rows of a page are one."""
+    cell = lambda k: text.whitespace_or_null(F.get("cells", F.lit(k)))
+    name, role = leader(F.col("heading"))
+    director, designation = leader(cell(1))
+    rows = table_rows.where("not is_header").select(page, name.alias("leader_name"), role.alias("leader_role"), cell(0).alias("department"), director.alias("director_name"), designation.alias("director_role"), cell(2).alias("__contact"))
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce("__contact", F.lit("")), r"\s*[\[(]\s*at\s*[\])]\s*", "@"), r"\s*[\[(]\s*dot\s*[\])]\s*", ".")
+    mail, phone = F.regexp_extract(plain, r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+)", 1), F.regexp_extract(F.regexp_replace(plain, r"\S*@\S*", " "), r"(\+?\d[\d -]{5,}\d)", 1)
+    rows = rows.withColumns({"director_email": F.nullif(F.lower(mail), F.lit("")), "director_phone": text.phone(phone)}).drop("__contact").where("department is not null")
+    return rows.withColumn("row_key", F.sha2(F.to_json(F.struct(*sorted(rows.columns))), 256)).dropDuplicates([page, "row_key"])
+
+
+def chart_people(card_rows: DataFrame, page: str) -> DataFrame:
+    """People of an organisation chart: cards with a name (h3) and a role (h4), and an email (h5) if there is one; equal ones of a page are one."""
+    at = lambda k: text.whitespace_or_null(F.try_element_at("headings", F.lit(k)))
+    rows = card_rows.select(page, text.person_name(at("h3")).alias("name"), at("h4").alias("designation"), text.email(at("h5")).alias("email"), "under").where("name is not null and designation is not null")
+    return rows.dropDuplicates([page, "name", "designation", "email"])
