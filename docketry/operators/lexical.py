@@ -112,15 +112,20 @@ class Block:
     groups: list[list[Group]]
     by_word: dict[str, list[int]] = field(default_factory=dict)
     vocabulary: set[str] = field(default_factory=set)
-    by_gram: dict[str, np.ndarray] = field(default_factory=dict)
+    #: the words that a unit must have for each group of a query
+    needed: list[list[frozenset[str]]] = field(default_factory=list)
+    #: trigrams by their place, and of which queries each is one
+    grams: dict[str, int] = field(default_factory=dict)
+    of_gram: list[list[int]] = field(default_factory=list)
     asked: np.ndarray | None = None
+    _table: np.ndarray | None = None
 
     @classmethod
     def of(cls, queries: list[Row]) -> Block:
         out = cls([q["query_id"] for q in queries], [parse(q["query"]) for q in queries])
-        grams: dict[str, list[int]] = {}
         sizes = []
         for k, (query, groups) in enumerate(zip(queries, out.groups, strict=True)):
+            out.needed.append([frozenset(w for atom in g.wanted for w in atom) for g in groups])
             for g in groups:
                 out.vocabulary.update(w for atom in (*g.wanted, *g.unwanted) for w in atom)
                 # every unit that matches the group has this word
@@ -128,16 +133,21 @@ class Block:
             own = {t for w in set(words(query["query"])) for t in trigrams(w)}
             sizes.append(len(own))
             for t in own:
-                grams.setdefault(t, []).append(k)
-        out.by_gram = {t: np.array(k) for t, k in grams.items()}
+                if t not in out.grams:
+                    out.grams[t] = len(out.grams)
+                    out.of_gram.append([])
+                out.of_gram[out.grams[t]].append(k)
         out.asked = np.array(sizes)
         return out
 
     def similarity(self, grams: set[str]) -> np.ndarray:
         """Shared trigrams among all of each query and a field with these."""
-        both = np.zeros(len(self.names))
-        for t in grams & self.by_gram.keys():
-            both[self.by_gram[t]] += 1
+        if self._table is None:  # made in the task
+            self._table = np.zeros((len(self.grams), len(self.names)), dtype=np.uint8)
+            for t, queries in enumerate(self.of_gram):
+                self._table[t, queries] = 1
+        at = [self.grams[t] for t in grams if t in self.grams]
+        both = self._table[at].sum(axis=0, dtype=np.int32)
         return both / np.maximum(len(grams) + self.asked - both, 1)
 
     def scores(self, texts: dict[str, list[str]], weighted: dict[str, float], alike: list[str], share: float, grams_of) -> np.ndarray:
@@ -157,6 +167,8 @@ class Block:
             np.maximum(similar, self.similarity(grams_of(texts[name])), out=similar)
         density = np.full(len(self.names), np.nan)
         for k in {k for w in places for k in self.by_word.get(w, ())}:
+            if not any(places.keys() >= ws for ws in self.needed[k]):
+                continue
             found = cover_density(self.groups[k], places, weight_of)
             if found is not None:
                 density[k] = found
@@ -232,14 +244,13 @@ def _task(block: Block, columns: list[str], weighted: dict[str, float], alike: l
         known: dict[str, list[str]] = {}
 
         def grams_of(said: list[str]) -> set[str]:
-            out: set[str] = set()
-            for w in set(said):
+            own = set(said)
+            if len(known) > _KEPT_WORDS:
+                known.clear()
+            for w in own:
                 if w not in known:
-                    if len(known) > _KEPT_WORDS:
-                        known.clear()
                     known[w] = trigrams(w)
-                out.update(known[w])
-            return out
+            return set().union(*map(known.__getitem__, own))
 
         for batch in batches:
             asked = batch["__asked"] if scoped else None

@@ -182,6 +182,9 @@ def levels(queries: DataFrame, documents: DataFrame, sections: DataFrame, chunks
     by = ("query_id", "document")
     docs = few(best(judged(_level(queries, held, documents, {"title": 1.0, "body": 0.4}, ["title", "body"], k[0], 0.2, None), documents.select("unit", F.col("unit").alias("document")), None), k[0]))
     of_docs = docs.select("query_id", "document", F.col("final").alias("above"))
+    # the documents found are named to the scans: what is made from other documents isn't made at all
+    some = [r["document"] for r in docs.select("document").distinct().collect()]
+    sections, chunks, about = (rows.where(F.col("document").isin(some)) for rows in (sections, chunks, about))
     parents = sections.select("unit", "document").join(of_docs, "document").select("query_id", "unit", F.col("above").alias("parent"))
     kept = ["unit", "document", "section_key", "section", "title", "heading", "body"]
     found = judged(_level(queries, held, sections, {"title": 1.0, "heading": 0.4, "body": 0.2}, ["title", "body"], k[1], 0.2, parents), sections.select(*kept), False)
