@@ -84,6 +84,9 @@ def cover_density(groups: Iterable[Group], places: dict[str, list[int]], weight_
     if not matching:
         return None
     atoms = {a for g in matching for a in g.wanted}
+    if len(atoms) == 1 and len(word := next(iter(atoms))) == 1:
+        # one word: each place of it is a cover
+        return float(sum(map(weight_of, places[word[0]])))
     at = sorted({p for a in atoms for w in a for p in places[w]})
     inverse = [0.0]
     for p in at:
