@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import text
 from docketry.operators.failures import count, is_set, items, mean
+from docketry.operators.relational import sharing
 
 
 def locked_scope(scope: dict, lock: dict | None) -> dict:
@@ -208,8 +209,9 @@ def same_city(offices: DataFrame, city: Column) -> DataFrame:
 def memory_scope(states: DataFrame, versions: DataFrame) -> DataFrame:
     """session_id and version: what a session's state names, or else the current versions of its records and documents. states: session_id,
     version_ids, record_keys, document_ids (arrays); versions: version, record_key, document_id, current."""
-    named = states.select("session_id", F.explode("version_ids").alias("version"))
-    rest = states.where(F.size(F.coalesce("version_ids", F.array().cast("array<long>"))) == 0)
-    now = versions.where("current")
-    by = lambda array, key: rest.select("session_id", F.explode(array).alias(key)).join(now, key).select("session_id", "version")
-    return named.unionByName(by("record_keys", "record_key")).unionByName(by("document_ids", "document_id")).distinct()
+    key = lambda kind, c: F.concat(F.lit(kind), F.coalesce(c.cast("string"), F.lit("")) if kind == "v" else c.cast("string"))
+    keys = lambda kind, c: F.transform(F.coalesce(c, F.array().cast("array<long>")), lambda x: key(kind, x))
+    wanted = F.when(F.size("version_ids") > 0, keys("v", F.col("version_ids"))).otherwise(F.concat(keys("r", F.col("record_keys")), keys("d", F.col("document_ids"))))
+    named = states.select(F.explode("version_ids").alias("version")).distinct().select("version", key("v", F.col("version")).alias("__key"))
+    now = versions.where("current").select("version", F.explode(F.array(key("r", F.col("record_key")), key("d", F.col("document_id")))).alias("__key"))
+    return sharing(states.select("session_id", F.explode(wanted).alias("__key")), named.unionByName(now), "session_id", "version")

@@ -177,6 +177,26 @@ def patch(seed: DataFrame, patches: DataFrame, key: str, columns: list[str], rea
     return out.withColumns({c: F.coalesce(F.col(f"__p.{c}"), F.col(c)) for c in columns}).drop("__p")
 
 
+#: Parts that the right side of a common key is dealt into, so that its pairs are made by many tasks.
+DEALT = 32
+
+
+def sharing(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
+    """left_id and right_id of the rows that have a key in common, each pair once. left, right: their id and __key.
+
+    Each side carries all keys of its ids, and a pair is made at the least key that both have: no pair is shuffled to find it again.
+    The right side of a key is dealt into DEALT parts, which the left one (better the smaller) goes to all of."""
+    spark = left.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    keyed = lambda df, i, own: df.select(i, "__key").where("__key is not null").groupBy(i).agg(F.collect_set("__key").alias(own)).select(i, own, F.explode(own).alias("__key"))
+    a = keyed(left, left_id, "__a").withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    b = keyed(right, right_id, "__b").withColumn("__part", F.pmod(F.xxhash64(right_id), F.lit(DEALT)).cast("int"))
+    # few bytes make many pairs: the number of partitions is given, or they would be put together by their bytes
+    deal = lambda df: df.repartition(parts, "__key", "__part")
+    first = F.when((F.size("__a") == 1) | (F.size("__b") == 1), F.lit(True)).otherwise(F.col("__key") == F.array_min(F.array_intersect("__a", "__b")))
+    return deal(b).join(deal(a), ["__key", "__part"]).where(first).select(left_id, right_id)
+
+
 def best_target(links: DataFrame, targets: DataFrame, link: str, target: str, words: str) -> DataFrame:
     """Each link's target with the most shared words, ties by target; links that share none have no row. A join on words, not of all pairs."""
     spread = lambda df, i: df.select(i, F.explode(F.array_distinct(words)).alias("__w"))
