@@ -105,11 +105,12 @@ def staff_lookup(asked: DataFrame, raw: DataFrame, people: DataFrame) -> DataFra
     """query_id and person_id of who has a staff number, by the person's own number or by a merged raw row with it. asked: query_id, staff_no;
     raw: staff_no, row_key; people: person_id, staff_no, row_keys (array)."""
     number = lambda c: F.nullif(F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), "[^a-z0-9]", ""), F.lit(""))
-    q = asked.select("query_id", number("staff_no").alias("__no")).where("__no is not null")
-    own = people.select("person_id", number("staff_no").alias("__no")).join(q, "__no").select("query_id", "person_id")
-    rows = raw.select("row_key", number("staff_no").alias("__no")).join(q, "__no").select("query_id", "row_key")
-    merged = people.select("person_id", F.explode("row_keys").alias("row_key")).join(rows, "row_key").select("query_id", "person_id")
-    return own.unionByName(merged).distinct()
+    q = asked.select("query_id", number("staff_no").alias("__key"))
+    rows = raw.select("row_key", number("staff_no").alias("__key")).where("__key is not null").distinct()
+    merged = people.select("person_id", F.explode("row_keys").alias("row_key")).join(rows, "row_key").select("person_id", "__key")
+    # the numbers of each person, by whichever way: pairs are made from them once
+    numbers = people.select("person_id", number("staff_no").alias("__key")).unionByName(merged)
+    return sharing(q, numbers, "query_id", "person_id")
 
 
 def session_state(context: DataFrame, order: str = "turn") -> DataFrame:

@@ -24,6 +24,19 @@ def test_memory_scope(spark):
     assert exchanges(found) == 0
 
 
+def test_staff_lookup(spark):
+    asked = [(1, "E-1"), (1, "e 2"), (2, "E2"), (3, None), (4, " - "), (5, "zz"), (2, "E2")]
+    raw = [("r1", "E1"), ("r2", "e-1"), ("r3", "E2"), ("r4", None), (None, "E2")]
+    people = [(n, f"e{n % 3}", [f"r{n % 4}", "x"]) for n in range(20)] + [(20, None, ["r1", "r2", "r3"]), (21, "zz", None), (20, "E.1", None)]
+    key = lambda t: "".join(c for c in (t or "").lower() if c.isascii() and c.isalnum())
+    want = {(q, p) for q, n in asked for p, own, rows in people if key(n) and (key(own) == key(n) or any(r in (rows or ()) for r, m in raw if r and key(m) == key(n)))}
+    a, b = spark.createDataFrame(asked, "query_id int, staff_no string"), spark.createDataFrame(raw, "row_key string, staff_no string")
+    found = matters.staff_lookup(a, b, spark.createDataFrame(people, "person_id long, staff_no string, row_keys array<string>"))
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert exchanges(found) == 0
+
+
 def test_a_frequent_key_is_dealt(spark):
     left, right = spark.range(5).select(F.col("id").alias("a"), F.lit("k").alias("__key")), spark.range(2000).select(F.col("id").alias("b"), F.lit("k").alias("__key"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
