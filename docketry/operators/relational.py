@@ -198,7 +198,13 @@ def sharing(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> D
 
 
 def best_target(links: DataFrame, targets: DataFrame, link: str, target: str, words: str) -> DataFrame:
-    """Each link's target with the most shared words, ties by target; links that share none have no row. A join on words, not of all pairs."""
-    spread = lambda df, i: df.select(i, F.explode(F.array_distinct(words)).alias("__w"))
-    score = spread(links, link).join(spread(targets, target), "__w").groupBy(link, target).agg(F.count("*").alias("score"))
-    return score.groupBy(link).agg(F.min_by(F.struct(target, "score"), F.struct(-F.col("score"), F.col(target))).alias("b")).select(link, f"b.{target}", "b.score")
+    """Each link's target with the most shared words, ties by target; links that share none have no row. A join on words, not of all pairs.
+
+    Links with the same words are looked up once, and targets with the same words count by the least of them."""
+    sets = lambda df, i: df.select(i, F.explode(F.array_distinct(words)).alias("__w")).groupBy(i).agg(F.array_sort(F.collect_list("__w")).alias("__words"))
+    own = sets(links, link)
+    asked = own.select("__words").distinct()
+    named = sets(targets, target).groupBy(F.col("__words").alias("__of")).agg(F.min(F.struct(target))[target].alias(target))
+    score = asked.select("__words", F.explode("__words").alias("__w")).join(named.select(target, F.explode("__of").alias("__w")), "__w").groupBy("__words", target).agg(F.count("*").alias("score"))
+    best = score.groupBy("__words").agg(F.min_by(F.struct(target, "score"), F.struct(-F.col("score"), F.col(target))).alias("b"))
+    return own.join(best, "__words").select(link, f"b.{target}", "b.score")
