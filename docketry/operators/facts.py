@@ -63,7 +63,8 @@ def provisions(units: DataFrame, doc: str, body: str) -> DataFrame:
     refs = F.regexp_replace(sides[0], rf"(?i)^{_KIND}\s+", "")
     found = F.regexp_extract_all(refs, F.lit(rf"(?i)(?:^|\G(?<!^){_BETWEEN})({_REF})"), F.lit(1))
     rows = hits.select(doc, kind.alias("kind"), statute_name(sides[1]).alias("statute"), F.explode(found).alias("reference"))
-    return rows.withColumn("row_sha", row_sha(F.col(doc), F.col("kind"), F.col("reference"), F.col("statute"))).dropDuplicates(["row_sha"])
+    # the columns themselves are compared: hashes would be most of what is shuffled
+    return rows.distinct().withColumn("row_sha", row_sha(F.col(doc), F.col("kind"), F.col("reference"), F.col("statute")))
 
 
 def signatories(pages: DataFrame, doc: str, page: str, body: str) -> DataFrame:
