@@ -195,6 +195,21 @@ class Best:
                 self.held[q] = dict(self.best(q))
                 self.bar[q] = min(self.held[q].values())
 
+    def add_some(self, units: list, queries: np.ndarray, scores: np.ndarray) -> None:
+        """scores: [unit, query] for some of the queries."""
+        bar, n = self.bar[queries], len(scores)
+        if n > self.k:
+            bar = np.maximum(bar, np.partition(scores, n - self.k, axis=0)[n - self.k])
+        for i, j in np.argwhere(scores >= bar).tolist():
+            q, s = int(queries[j]), float(scores[i, j])
+            if s < self.bar[q]:
+                continue
+            held = self.held[q]
+            held[units[i]] = max(held.get(units[i], -np.inf), s)
+            if len(held) >= 2 * self.k + 64:
+                self.held[q] = dict(self.best(q))
+                self.bar[q] = min(self.held[q].values())
+
     def best(self, q: int) -> list[tuple]:
         return [(u, -s) for s, u in heapq.nsmallest(self.k, ((-s, u) for u, s in self.held[q].items()))]
 

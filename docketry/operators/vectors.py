@@ -13,6 +13,8 @@ from docketry.operators.lexical import Best, as_batch, blocks, hits_schema, in_s
 
 #: Vectors that centroids are fitted on at most, and the rounds of fitting.
 MOST_FITTED, ROUNDS = 20_000, 10
+#: Vectors that a task scores at once.
+SLICE = 1024
 
 
 def matrix(column: pa.Array, d: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -45,6 +47,10 @@ def search(queries: DataFrame, units: DataFrame, k: int, scope: DataFrame | None
     return out
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(i, SLICE) for i in range(0, batch.num_rows, SLICE))
+
+
 #: Orders vectors without a direction after all others.
 _LAST = -2.0
 
@@ -53,21 +59,19 @@ def _task(names: list, q: np.ndarray, k: int, scoped: bool, schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, place = Best(len(names), k), {n: i for i, n in enumerate(names)}
         for batch in batches:
-            if not names:
-                continue
-            rows, at = matrix(batch["embedding"], q.shape[1])
-            score = np.nan_to_num(cosines(rows, q), nan=_LAST)
-            unit = batch["unit"].to_pylist()
-            asked = batch["__asked"].to_pylist() if scoped else None
-            # only rows that come near some query's k best are looked at one by one
-            bar = best.bar if scoped or len(score) <= k else np.maximum(best.bar, np.partition(score, len(score) - k, axis=0)[len(score) - k])
-            for i in np.flatnonzero((score >= bar).any(axis=1)).tolist():
-                own = np.where(score[i] >= bar, score[i], np.nan)
-                if scoped:
-                    some = only(asked[at[i]], place)
-                    own = np.full(len(names), np.nan)
-                    own[some] = score[i, some]
-                best.add(unit[at[i]], own)
+            for part in slices(batch) if names else ():
+                rows, at = matrix(part["embedding"], q.shape[1])
+                score = np.nan_to_num(cosines(rows, q), nan=_LAST)
+                unit = part["unit"].to_pylist()
+                # only rows that come near some query's k best are looked at one by one
+                bar = best.bar if scoped or len(score) <= k else np.maximum(best.bar, np.partition(score, len(score) - k, axis=0)[len(score) - k])
+                for i in np.flatnonzero((score >= bar).any(axis=1)).tolist():
+                    own = np.where(score[i] >= bar, score[i], np.nan)
+                    if scoped:
+                        some = only(part["__asked"][at[i]].as_py(), place)
+                        own = np.full(len(names), np.nan)
+                        own[some] = score[i, some]
+                    best.add(unit[at[i]], own)
         yield as_batch([(n, u, None if s == _LAST else s) for n, u, s in best.rows(names)], schema)
 
     return run
@@ -134,22 +138,39 @@ def inverted_lists(units: DataFrame, middle: np.ndarray) -> DataFrame:
     return units.where("embedding is not null").select("unit", "embedding", nearest(F.col("embedding").cast("array<double>")).alias("list"))
 
 
-def probed(queries: DataFrame, middle: np.ndarray, probes: int) -> DataFrame:
-    """query_id, list: the lists whose centroids are nearest to each query."""
-    d, spark = middle.shape[1], queries.sparkSession
-    rows = queries.select("query_id", "q").collect()
-    near = np.argsort(-(np.array([r["q"] for r in rows], dtype=float).reshape(len(rows), d) @ middle.T), axis=1, kind="stable")[:, :probes]
-    pairs = [(r["query_id"], int(c)) for r, own in zip(rows, near, strict=True) for c in own]
-    return spark.createDataFrame(pairs, f"query_id {queries.schema['query_id'].dataType.simpleString()}, list int")
+def probed(queries: np.ndarray, middle: np.ndarray, probes: int) -> np.ndarray:
+    """[list, query]: whether the list's centroid is among the nearest to the query."""
+    near = np.argsort(-(queries @ middle.T), axis=1, kind="stable")[:, :probes]
+    out = np.zeros((len(middle), len(queries)), dtype=bool)
+    out[near, np.arange(len(queries))[:, None]] = True
+    return out
 
 
 def approximate(queries: DataFrame, index: DataFrame, middle: np.ndarray, k: int, probes: int) -> DataFrame:
-    """Like search(), over the units of the lists that each query probes. Vectors of zeros are in list 0, those of another length than the centroids in none."""
-    lists = probed(queries, middle, probes).groupBy("list").agg(F.collect_set("query_id").alias("__asked"))
+    """Like search(), over the units of the lists that each query probes. Vectors of zeros are in list 0, those of another length than the centroids in none.
+
+    Which queries probe a list goes to the tasks once, not with each unit of the list."""
     schema = hits_schema(queries.schema["query_id"], index)
-    rows = index.join(F.broadcast(lists), "list").select("unit", F.col("embedding").cast("array<double>").alias("embedding"), "__asked")  # a row a list
+    rows = index.select("unit", F.col("embedding").cast("array<double>").alias("embedding"), "list")
     out = None
     for part in blocks(queries.select("query_id", "q").collect()):
-        hits = rows.mapInArrow(_task([q["query_id"] for q in part], np.array([q["q"] for q in part], dtype=float).reshape(len(part), -1), k, True, schema), schema)
+        q = np.array([r["q"] for r in part], dtype=float).reshape(len(part), middle.shape[1])
+        hits = rows.mapInArrow(_lists_task([r["query_id"] for r in part], q, probed(q, middle, probes), k, schema), schema)
         out = hits if out is None else out.unionByName(hits)
     return out
+
+
+def _lists_task(names: list, q: np.ndarray, asked: np.ndarray, k: int, schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(len(names), k)
+        for batch in batches:
+            for part in slices(batch) if names else ():
+                rows, at = matrix(part["embedding"], q.shape[1])
+                unit, own = part["unit"].to_pylist(), part["list"].to_numpy(zero_copy_only=False)[at]
+                for c in np.unique(own[own >= 0]).tolist():
+                    mine, some = np.flatnonzero(own == c), np.flatnonzero(asked[c])
+                    if len(some):
+                        best.add_some([unit[i] for i in at[mine]], some, np.nan_to_num(cosines(rows[mine], q[some]), nan=_LAST))
+        yield as_batch([(n, u, None if s == _LAST else s) for n, u, s in best.rows(names)], schema)
+
+    return run
