@@ -10,6 +10,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -115,8 +116,10 @@ class Block:
     groups: list[list[Group]]
     by_word: dict[str, list[int]] = field(default_factory=dict)
     vocabulary: set[str] = field(default_factory=set)
-    #: the words that a unit must have for each group of a query
-    needed: list[list[frozenset[str]]] = field(default_factory=list)
+    #: for each group of a query the words and the neighbours in phrases that a unit must have, and the words that it must not have
+    needed: list[list[tuple[frozenset[str], frozenset[tuple[str, str]], frozenset[str]]]] = field(default_factory=list)
+    #: neighbours in the phrases of all queries
+    neighbours: set[tuple[str, str]] = field(default_factory=set)
     #: trigrams by their place, and of which queries each is one
     grams: dict[str, int] = field(default_factory=dict)
     of_gram: list[list[int]] = field(default_factory=list)
@@ -128,7 +131,8 @@ class Block:
         out = cls([q["query_id"] for q in queries], [parse(q["query"]) for q in queries])
         sizes = []
         for k, (query, groups) in enumerate(zip(queries, out.groups, strict=True)):
-            out.needed.append([frozenset(w for atom in g.wanted for w in atom) for g in groups])
+            out.needed.append([(frozenset(w for a in g.wanted for w in a), frozenset(p for a in g.wanted for p in pairwise(a)), frozenset(a[0] for a in g.unwanted if len(a) == 1)) for g in groups])
+            out.neighbours.update(p for _, pairs, _ in out.needed[-1] for p in pairs)
             for g in groups:
                 out.vocabulary.update(w for atom in (*g.wanted, *g.unwanted) for w in atom)
                 # every unit that matches the group has this word
@@ -153,26 +157,45 @@ class Block:
         both = self._table[at].sum(axis=0, dtype=np.int32)
         return both / np.maximum(len(grams) + self.asked - both, 1)
 
+    @staticmethod
+    def alone(groups: list[Group]) -> str | None:
+        """The word that is all that the groups want, if it is one and no phrase is unwanted: its places are the covers."""
+        first = groups[0].wanted[0]
+        same = len(first) == 1 and all(g.wanted == (first,) and all(len(a) == 1 for a in g.unwanted) for g in groups)
+        return first[0] if same else None
+
     def scores(self, texts: dict[str, list[str]], weighted: dict[str, float], alike: list[str], share: float, grams_of) -> np.ndarray:
         """The score of a unit for each query, nan where it isn't found."""
         places: dict[str, list[int]] = {}
         starts, weights, offset = [], [], 0
+        beside: set[tuple[str, str]] = set()
         for name, weight in weighted.items():
+            if self.neighbours:
+                beside |= self.neighbours.intersection(pairwise(texts[name]))
             starts.append(offset)
             weights.append(weight)
+            for w in self.vocabulary.intersection(texts[name]):
+                places.setdefault(w, [])
             for p, w in enumerate(texts[name], offset):
-                if w in self.vocabulary:
-                    places.setdefault(w, []).append(p)
+                if w in places:
+                    places[w].append(p)
             offset += len(texts[name]) + 1  # no phrase goes on in the next field
         weight_of = lambda p: weights[bisect_right(starts, p) - 1]
         similar = np.zeros(len(self.names))
         for name in alike:
             np.maximum(similar, self.similarity(grams_of(texts[name])), out=similar)
         density = np.full(len(self.names), np.nan)
-        for k in {k for w in places for k in self.by_word.get(w, ())}:
-            if not any(places.keys() >= ws for ws in self.needed[k]):
+        single: dict[str, float] = {}
+        have = set(places)
+        for k in {k for w in have & self.by_word.keys() for k in self.by_word[w]}:
+            live = [g for g, (ws, pairs, none) in zip(self.groups[k], self.needed[k], strict=True) if ws <= have and pairs <= beside and have.isdisjoint(none)]
+            if not live:
                 continue
-            found = cover_density(self.groups[k], places, weight_of)
+            alone = self.alone(live)
+            if alone is None:
+                found = cover_density(live, places, weight_of)
+            elif (found := single.get(alone)) is None:
+                found = single[alone] = float(sum(map(weight_of, places[alone])))
             if found is not None:
                 density[k] = found
         score = np.round((1 - share) * np.nan_to_num(density) + share * similar, 6)
