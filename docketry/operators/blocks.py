@@ -222,7 +222,8 @@ def _streamed(pages: DataFrame, per_document, schema: str) -> DataFrame:
     dealt = rows.repartition("__key").sortWithinPartitions("__key", F.col("doc").isNotNull(), "page", F.xxhash64("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream = ((d, n, b) for batch in batches for d, n, b in zip(batch["doc"].to_pylist(), batch["page"].to_pylist(), batch["body"].to_pylist(), strict=True))
+        # pages become Python's one by one: a batch has thousands
+        stream = ((batch["doc"][i].as_py(), batch["page"][i].as_py(), batch["body"][i].as_py()) for batch in batches for i in range(batch.num_rows))
         ahead = next(stream, None)
         held: list[tuple] = []
         size = 0

@@ -1,8 +1,10 @@
-"""What is worked out once: frames of running text."""
+"""What is worked out once: frames of running text, and pages one at a time."""
+
+import tracemalloc
 
 from pyspark.sql import functions as F
 
-from docketry.operators import numbers
+from docketry.operators import blocks, numbers
 
 
 def test_frames_are_looked_for_once(spark):
@@ -19,3 +21,20 @@ def test_frames_are_looked_for_once(spark):
     assert sorted(map(str, alone)) == sorted(str(r) for r in found.drop("doc", "page_start", "page_end").collect())
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract(said#") == len(numbers.GROUPS)
+
+
+def test_pages_are_read_one_at_a_time(spark):
+    def peak(pages):
+        tracemalloc.start()
+        held = sorted(tracemalloc.get_traced_memory()[0] for _ in pages)
+        tracemalloc.stop()
+        yield len(held), "", held[len(held) // 2]
+
+    pages = spark.range(900).select(F.lit("a").alias("doc"), F.col("id").cast("int").alias("page"), F.repeat(F.lit("x"), 50_000).alias("body"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 300)
+    try:
+        (row,) = blocks._streamed(pages, peak, "doc string, n int, body string, top long").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # a batch has 15 MB; its pages all at once would be 15 MB more
+    assert row.n == 900 and row.top < 22 << 20
