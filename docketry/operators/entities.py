@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -59,14 +60,21 @@ def fuzzy_score(query: str | None, candidate: str | None) -> tuple[float, str]:
     return found["score"], found["how"]
 
 
+@lru_cache(100_000)
+def letter_counts(name: str) -> dict[str, int]:
+    """How often a name has each letter, without blanks."""
+    return Counter(name.replace(" ", ""))
+
+
 def fuzzy_most(query: str | None, candidate: str | None) -> float:
-    """No less than the score of fuzzy_match(), from lengths and words alone."""
+    """No less than the score of fuzzy_match(), from letters and words alone, wherever they stand."""
     q, c = normalize_fuzzy(query), normalize_fuzzy(candidate)
     if not q or not c or q in c or c in q:
         return 1.0
     a, b = q.split(), c.split()
-    likest = lambda x, y: 2 * min(x, y) / (x + y)
-    shared, whole, compact = len({*a} & {*b}) / max(len({*a}), len({*b})), likest(len(q), len(c)), likest(len(q) - len(a) + 1, len(c) - len(b) + 1)
+    x, y = letter_counts(q), letter_counts(c)
+    both, blanks = sum(min(n, y[k]) for k, n in x.items() if k in y), min(len(a), len(b)) - 1
+    shared, whole, compact = len({*a} & {*b}) / max(len({*a}), len({*b})), 2 * (both + blanks) / (len(q) + len(c)), 2 * both / (len(q) - len(a) + 1 + len(c) - len(b) + 1)
     out = FUZZY["whole"] * whole + FUZZY["compact"] * compact + FUZZY["shared"] * shared + FUZZY["last"]
     return max(out, NAMES["base"] + NAMES["first"] + NAMES["shared"] * shared + NAMES["compact"] * compact) if len(a) > 1 and a[-1] == b[-1] else out
 
@@ -88,16 +96,17 @@ def folded_trigrams(value: pd.Series) -> pd.Series:
     return value.map(lambda v: sorted({f"  {w} "[i : i + 3] for w in normalize_fuzzy(v).split() for i in range(len(w) + 1)}))
 
 
-def fuzzy_candidates(queries: DataFrame, values: DataFrame, least: float = LEAST) -> DataFrame:
+def fuzzy_candidates(queries: DataFrame, values: DataFrame, least: float = LEAST, tasks: int | None = None) -> DataFrame:
     """queries: query_id, query; values: value_id, value. The pairs that score ``least`` (rounded to four places) with score, how, shared, first, last, words.
 
     Only pairs that share a folded trigram are scored. No other pair reaches 0.52: without a common trigram no three letters in a row
     and no word are common, so at most two letters of three are matched, and 0.75 of 0.67 is 0.5. Each name is scored once a query,
-    however many values have it."""
+    however many values have it. tasks: how many to deal the pairs to, where few bytes would else be scored in one."""
     names = values.select("value").distinct()
     q = queries.select("query_id", F.explode(folded_trigrams("query")).alias("gram"))
     pairs = q.join(names.select("value", F.explode(folded_trigrams("value")).alias("gram")), "gram").select("query_id", "value").distinct()
-    scored = pairs.join(queries.select("query_id", "query"), "query_id").withColumn("m", fuzzy(F.col("query"), F.col("value"), least)).where(F.col("m.score") >= least)
+    pairs = pairs.join(queries.select("query_id", "query"), "query_id")
+    scored = (pairs.repartition(tasks) if tasks else pairs).withColumn("m", fuzzy(F.col("query"), F.col("value"), least)).where(F.col("m.score") >= least)
     cols = [F.round(f"m.{c}", 4).alias(c) for c in ("score", "shared", "first", "last")]
     return scored.select("query_id", "value", *cols, F.col("m.how").alias("how"), F.col("m.words").cast("int").alias("words")).join(values.select("value_id", "value"), "value")
 

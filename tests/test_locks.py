@@ -4,6 +4,7 @@ import difflib
 import re
 from itertools import pairwise
 
+import numpy as np
 import pytest
 
 from docketry.operators import locks
@@ -161,3 +162,42 @@ def test_copies_of_a_title(spark):
     assert sorted(len(r.records) for r in titles) == [1, 1, 3, 5]
     locked = {r.query_id: r for r in locks.matter_locks(queries, index, aliases).collect()}
     assert len(locked) == 4 and locked[1].candidates == locked[4].candidates == ["299", "7", "8", "0", "1"] and locked[2].record == "77"
+
+
+def test_letters_are_compared_where_they_can_count(spark, monkeypatch):
+    """Titles are first scored without letters: what these scores rule out is not compared, and the best ones stay."""
+    names = [f"{a} {b} {n}" for a in ("red", "blue", "old", "hot") for b in ("bolt", "ring", "gear") for n in range(10)]
+    asked = [question(f"tell me about {n}", query_id=k, court=k % 3 == 0) for k, n in enumerate(names)]
+    rows = [(str(k), f"In the matter of {n}" if k % 2 else n, "orders of sat", None, [n.rsplit(" ", 1)[0] + " Ltd."], [n] if k % 5 == 0 else []) for k, n in enumerate(names)]
+    aliases = {n: [k, (k + 1) % len(names)] for k, n in enumerate(names)}
+    calls = []
+    likeness = locks.Scorer.likeness
+    monkeypatch.setattr(locks.Scorer, "likeness", lambda *x: calls.append(1) or likeness(*x))
+
+    def best(bar):
+        scorer, found = locks.Scorer(asked, aliases), {}
+        for row in rows:
+            for k, c in scorer.candidates(*row, bar):
+                found.setdefault(k, []).append(c)
+        return {k: sorted(c, key=locks.in_order)[: locks.KEPT] for k, c in found.items()}
+
+    everything, all_calls = best(np.full(len(asked), locks.LEAST)), len(calls)
+    scorer = locks.Scorer(asked, aliases)
+    least = np.array([scorer.least(*row) for row in rows])
+    bars = np.maximum(np.sort(least, axis=0)[-locks.KEPT] - 1e-4, locks.LEAST)
+    calls.clear()
+    assert best(bars) == everything and len(calls) < all_calls / 4
+    for n, row in enumerate(rows):
+        own = dict(locks.Scorer(asked, aliases).candidates(*row, np.zeros(len(asked))))
+        assert all(c[2] >= least[n, k] - 1e-4 for k, c in own.items())
+
+
+def test_each_focus_is_compared_once(spark, monkeypatch):
+    seen = []
+    plain = locks.entities.fuzzy_candidates
+    monkeypatch.setattr(locks.entities, "fuzzy_candidates", lambda q, *x, **y: seen.append(q.count()) or plain(q, *x, **y))
+    queries = spark.createDataFrame([(1, "tell me about zenith globl"), (2, "summary of zenith globl"), (3, "tell me more about zenith globl")], "query_id long, query string")
+    aliases = spark.createDataFrame([("Zenith Global", ["e"])], "alias string, records array<string>")
+    asked = [locks.Question.of(r) for r in locks.optional(queries).collect()]
+    assert {(r.query_id, r.alias) for r in locks.alias_pairs(queries, aliases, asked).collect()} == {(k, "zenith global") for k in (1, 2, 3)}
+    assert seen == [1]
