@@ -38,3 +38,18 @@ def test_pages_are_read_one_at_a_time(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     # a batch has 15 MB; its pages all at once would be 15 MB more
     assert row.n == 900 and row.top < 22 << 20
+
+
+def test_facts_are_not_dealt(spark):
+    """The texts are, so that equal facts meet: of a page that comes twice, or in two texts, each fact stays once."""
+    pages = spark.createDataFrame([(1, "X", 1, "a low price of Rs. 5 on May 1, 2020"), (1, "X", 1, "its low price of Rs. 5 on May 1, 2020 was\n  seen"), (1, "X", 2, "a low price of Rs. 5 on May 1, 2020")], "doc int, title string, page int, body string")
+    chunks = spark.createDataFrame([(1, "X", 2, 3, "A fine and fee of Rs. 2 crore. No penalty."), (1, "X", 2, 3, "A fine and fee of Rs. 2 crore.")], "doc int, title string, page_start int, page_end int, body string")
+    found = numbers.numeric_facts(pages, chunks)
+    got = sorted((r.fact_type, r.value, r.unit, r.page_start) for r in found.collect())
+    assert got == [("fee_amount", 2e7, "INR_crore", 2), ("lowest_price", 5.0, "INR", 1), ("lowest_price", 5.0, "INR", 2), ("penalty_amount", 2e7, "INR_crore", 2)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    plan = plan[plan.index("== Initial Plan ==") :] if "== Initial Plan ==" in plan else plan
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(moved) == 2 and all("fact_type" not in line for line in moved)
+    # the text is marked once: its condition is on the sentence as it is
+    assert "Filter RLIKE" in plan and "Filter Contains" not in plan
